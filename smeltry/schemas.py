@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _type(name: str) -> T.DataType:
+    if name.startswith("decimal("):
+        precision, scale = name[len("decimal("):-1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return _TYPES[name]
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema from "name type, name type"; needs no session, unlike DDL text."""
+    pairs = (f.split(" ") for f in fields.split(", "))
+    return T.StructType([T.StructField(n, _type(t), True) for n, t in pairs])
 
 
 # Wire formats: times stay text until parsed.

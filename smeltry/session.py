@@ -22,7 +22,9 @@ COMMON = {
 }
 
 PRESETS = {
-    "local": {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"},
+    "local": {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    },
     "development": {"spark.sql.shuffle.partitions": "10"},
     "testing": {"spark.sql.shuffle.partitions": "50"},
     # AQE coalesces down from the initial number, so start wide: a partition
