@@ -149,7 +149,7 @@ def customer_metrics(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
         totals.join(categories, F.col("customer_sk") == F.col("_sk"), "left")
         .withColumns(
             {
-                "avg_transaction_value": C.ratio(F.col("total_spend"), F.col("_amounts"), 4),
+                "avg_transaction_value": C.ratio(F.col("total_spend"), F.col("_amounts"), 6),
                 "unique_categories": F.coalesce("_categories", F.lit(0)),
             }
         )
