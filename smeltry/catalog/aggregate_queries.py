@@ -5,7 +5,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from smeltry.catalog.registry import query
-from smeltry.catalog.tables import big, day, dbl, each
+from smeltry.catalog.tables import day, dbl, mean, share
 from smeltry.operators import aggregates as A
 from smeltry.plans import features, gold, late
 
@@ -42,7 +42,7 @@ def _(w):
 @query(
     "customer_metrics",
     f"""SELECT f.customer_sk, count(DISTINCT f.sale_id) AS total_transactions, {dbl('sum(f.total_amount)', 'total_spend')},
-      {day('max(f.date_id)', 'last_purchase_date')}, round(CAST(sum(f.total_amount) AS DOUBLE) / count(f.total_amount), 6) AS avg_transaction_value,
+      {day('max(f.date_id)', 'last_purchase_date')}, {mean('sum(f.total_amount)', 'count(f.total_amount)', 6)} AS avg_transaction_value,
       count(DISTINCT p.category) AS unique_categories
     FROM fact_sales f LEFT JOIN dim_product p ON f.product_id = p.product_id WHERE f.customer_sk IS NOT NULL GROUP BY f.customer_sk""",
 )
@@ -127,8 +127,8 @@ def _(w):
 
 @query(
     "popularity_in_category",
-    """SELECT product_id, category, n AS recent_purchases,
-      CASE WHEN max(n) OVER (PARTITION BY category) > 0 THEN round(CAST(n AS DOUBLE) / max(n) OVER (PARTITION BY category), 4) ELSE 0.0 END AS product_popularity_score
+    f"""SELECT product_id, category, n AS recent_purchases,
+      CASE WHEN max(n) OVER (PARTITION BY category) > 0 THEN {share('n', 'max(n) OVER (PARTITION BY category)')} ELSE 0.0 END AS product_popularity_score
     FROM (SELECT p.product_id, p.category, count(s.sale_id) AS n FROM dim_product p LEFT JOIN silver_sales s
       ON p.product_id = s.product_id AND s.transaction_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY p.product_id, p.category)""",
 )
@@ -139,8 +139,8 @@ def _(w):
 
 @query(
     "category_share",
-    """SELECT s.customer_id, p.category, count(*) AS category_purchase_count,
-      round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY s.customer_id), 4) AS category_affinity_score
+    f"""SELECT s.customer_id, p.category, count(*) AS category_purchase_count,
+      {share('count(*)', 'sum(count(*)) OVER (PARTITION BY s.customer_id)')} AS category_affinity_score
     FROM silver_sales s JOIN dim_product p ON s.product_id = p.product_id
     WHERE s.transaction_date BETWEEN DATE '2024-01-31' - 90 AND DATE '2024-01-31' GROUP BY s.customer_id, p.category""",
 )

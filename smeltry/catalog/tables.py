@@ -31,6 +31,18 @@ def big(column: str, name: str | None = None) -> str:
     return f"CAST({column} AS BIGINT) AS {name or column}"
 
 
+def mean(total: str, n: str, digits: int = 2) -> str:
+    """Exact half-up mean of an amount with two decimals, in integer arithmetic."""
+    up = 10 ** digits
+    return f"CAST((2 * CAST({total} * 100 AS HUGEINT) * {up} + 100 * {n}) // (200 * nullif({n}, 0)) AS DOUBLE) / {up}"
+
+
+def share(part: str, whole: str, digits: int = 4) -> str:
+    """Exact half-up ratio of two counts, in integer arithmetic."""
+    up = 10 ** digits
+    return f"CAST((2 * {up} * CAST({part} AS HUGEINT) + {whole}) // (2 * nullif({whole}, 0)) AS DOUBLE) / {up}"
+
+
 def each(maker, *columns: str) -> str:
     return ", ".join(maker(c) for c in columns)
 
@@ -194,10 +206,10 @@ CTES: dict[str, str] = {
         UNION ALL
         SELECT date_id, 'mobile_app', count(DISTINCT customer_id) FROM fact_activity
         WHERE device_type = 'mobile' AND page_url LIKE '%/app/%' GROUP BY date_id""",
-    "sales_performance": """
+    "sales_performance": f"""
         SELECT d.date_id, d.channel, d.total_revenue, d.total_transactions, d.unique_customers,
-          round(CAST(d.total_revenue AS DOUBLE) / d.total_transactions, 2) AS avg_transaction_value,
-          CASE WHEN v.total_visitors > 0 THEN round(CAST(d.unique_customers AS DOUBLE) / v.total_visitors, 4) ELSE 0.0 END AS conversion_rate
+          {mean('d.total_revenue', 'd.total_transactions')} AS avg_transaction_value,
+          CASE WHEN v.total_visitors > 0 THEN {share('d.unique_customers', 'v.total_visitors')} ELSE 0.0 END AS conversion_rate
         FROM daily_sales d LEFT JOIN channel_visitors v ON d.date_id = v.date_id AND d.channel = v.channel""",
 }
 

@@ -120,6 +120,11 @@ def ratio(part: Column, whole: Column, digits: int) -> Column:
     return F.round(F.when(w != 0, part.cast("double") / w), digits)
 
 
+def exact_mean(total: Column, n: Column, digits: int) -> Column:
+    """Decimal total / n, rounded half up in decimal arithmetic; NULL when n is 0."""
+    return F.round(total / F.when(n != 0, n), digits)
+
+
 def severity(status: Column) -> Column:
     """PASS < WARN < FAIL < ERROR (and their long spellings) as a sortable number."""
     order = {"PASS": 0, "PASSED": 0, "SKIPPED": 0, "WARN": 1, "WARNING": 1, "FAIL": 2, "FAILED": 2, "ERROR": 3}

@@ -61,7 +61,7 @@ def recency_features(
         A.count_within(view, ago, 90).alias("view_count_90d"),
         A.count_within(cart, ago, 7).alias("cart_add_count_7d"),
         A.count_within(cart, ago, 30).alias("cart_add_count_30d"),
-        C.ratio(F.sum(spent), F.count(spent), 2).alias("avg_time_spent_seconds"),
+        C.exact_mean(F.sum(spent), F.count(spent), 2).alias("avg_time_spent_seconds"),
         F.min(ago).alias("last_interaction_days_ago"),
         (F.coalesce(F.bool_or(cart), F.lit(False)) & ~F.coalesce(F.bool_or(bought), F.lit(False))).alias("cart_abandon_flag"),
     ]
@@ -119,7 +119,7 @@ def customer_features(sales: DataFrame, as_of: date | str) -> DataFrame:
     return sales.filter(until).groupBy("customer_id").agg(
         C.days_before(as_of, F.min("transaction_time")).alias("customer_tenure_days"),
         F.count(F.lit(1)).alias("customer_total_purchases"),
-        C.ratio(F.sum("total_amount"), F.count("total_amount"), 2).alias("customer_avg_order_value"),
+        C.exact_mean(F.sum("total_amount"), F.count("total_amount"), 2).alias("customer_avg_order_value"),
     )
 
 

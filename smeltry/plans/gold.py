@@ -78,7 +78,7 @@ def sales_performance(
     )
     return both.select(
         "date_id", "channel", "total_revenue", "total_transactions", "unique_customers",
-        C.ratio(F.col("total_revenue"), F.col("total_transactions"), 2).alias("avg_transaction_value"),
+        C.exact_mean(F.col("total_revenue"), F.col("total_transactions"), 2).alias("avg_transaction_value"),
         F.coalesce(C.ratio(F.col("unique_customers"), F.col("total_visitors"), 4), F.lit(0.0)).alias("conversion_rate"),
     )
 
@@ -112,7 +112,7 @@ def campaign_effectiveness(
         "campaign_id", "date_id", "spend", "revenue",
         F.when(spend > 0, C.ratio(revenue - spend, spend, 4)).otherwise(F.lit(0.0)).alias("roi"),
         "conversions",
-        F.coalesce(C.ratio(spend, F.col("conversions"), 2), F.lit(0.0)).alias("cost_per_acquisition"),
+        F.coalesce(C.exact_mean(spend, F.col("conversions"), 2), F.lit(0)).alias("cost_per_acquisition"),
         F.col("label").alias("channel"), "customer_segment",
     )
 
@@ -149,7 +149,7 @@ def customer_metrics(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
         totals.join(categories, F.col("customer_sk") == F.col("_sk"), "left")
         .withColumns(
             {
-                "avg_transaction_value": C.ratio(F.col("total_spend"), F.col("_amounts"), 6),
+                "avg_transaction_value": C.exact_mean(F.col("total_spend"), F.col("_amounts"), 6),
                 "unique_categories": F.coalesce("_categories", F.lit(0)),
             }
         )
