@@ -131,4 +131,6 @@ def _(w):
     LEFT JOIN p ON p.product_id = r.product_id LEFT JOIN l ON l.customer_id = r.customer_id AND l.product_id = r.product_id""",
 )
 def _(w):
-    return features.feature_table(w.silver_events, w.silver_sales, w.dim_product, FEATURE_DAY, stamp=STAMP)
+    return features.feature_table(
+        w.silver_events, w.stored_silver_sales, w.dim_product, FEATURE_DAY, stamp=STAMP
+    )

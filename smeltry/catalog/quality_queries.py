@@ -181,7 +181,7 @@ def _(w):
 )
 def _(w):
     return Q.referential_integrity(
-        w.fact_sales, "fact_sales", {"customer_sk": w.dim_customer, "product_id": w.dim_product.filter("is_active")}
+        w.stored_fact_sales, "fact_sales", {"customer_sk": w.dim_customer, "product_id": w.dim_product.filter("is_active")}
     )
 
 
@@ -255,11 +255,11 @@ def _(w):
       {dbl('total_revenue', 'fact_revenue')}, CASE WHEN channel = 'website' THEN 'FAIL' ELSE 'PASS' END AS status FROM daily_sales""",
 )
 def _(w):
-    stored = gold.sales_performance(w.fact_sales, w.fact_activity).withColumn(
+    metrics = gold.sales_performance(w.stored_fact_sales, w.fact_activity).withColumn(
         "total_revenue",
         F.col("total_revenue") + F.when(F.col("channel") == "website", F.lit(1)).otherwise(F.lit(0)),
     )
-    return Q.metrics_validation(stored, w.fact_sales)
+    return Q.metrics_validation(metrics, w.stored_fact_sales)
 
 
 @query(
@@ -276,8 +276,8 @@ def _(w):
     return Q.cross_layer_reconciliation(
         [
             ("bronze", w.bronze_sales.filter("amount > 0"), "transaction_time", "amount"),
-            ("silver", w.silver_sales, "transaction_time", "total_amount"),
-            ("gold", w.fact_sales, "transaction_time", "total_amount"),
+            ("silver", w.stored_silver_sales, "transaction_time", "total_amount"),
+            ("gold", gold.fact_sales(w.stored_silver_sales, w.dim_customer), "transaction_time", "total_amount"),
         ]
     )
 
@@ -292,7 +292,7 @@ def _(w):
     ),
 )
 def _(w):
-    return Q.silver_post_load(w.silver_sales, "standardized_sales", "sale_id", ["sale_id", "customer_id"], "transaction_time")
+    return Q.silver_post_load(w.stored_silver_sales, "standardized_sales", "sale_id", ["sale_id", "customer_id"], "transaction_time")
 
 
 # --- expectations -------------------------------------------------------------
@@ -350,7 +350,7 @@ SUITE_SQL = f"""SELECT 'silver_events' AS suite, CAST(i AS BIGINT) AS position,
 
 @query("expectation_suite", SUITE_SQL)
 def _(w):
-    return X.run_suite(w.silver_events, SUITE)
+    return X.run_suite(w.stored_silver_events, SUITE)
 
 
 EASY = X.load_suite(
@@ -369,7 +369,10 @@ EASY = X.load_suite(
 
 def _checkpoint(w):
     return X.run_checkpoint(
-        [("standardized_user_events", w.silver_events, SUITE, None), ("standardized_sales", w.silver_sales, EASY, None)]
+        [
+            ("standardized_user_events", w.stored_silver_events, SUITE, None),
+            ("standardized_sales", w.stored_silver_sales, EASY, None),
+        ]
     )
 
 
@@ -388,9 +391,9 @@ def _(w):
 
 
 def _rules(w):
-    events = Rl.run_rules(w.silver_events, "standardized_user_events", [Rl.completeness("event_id"), Rl.unique("event_id")])
+    events = Rl.run_rules(w.stored_silver_events, "standardized_user_events", [Rl.completeness("event_id"), Rl.unique("event_id")])
     sales = Rl.run_rules(
-        w.silver_sales, "standardized_sales",
+        w.stored_silver_sales, "standardized_sales",
         [Rl.completeness("sale_id"), Rl.business_rule("dollars", "currency = 'USD'")],
     )
     return events.unionByName(sales)
@@ -534,6 +537,6 @@ def _(w):
 )
 def _(w):
     return Q.validate_layer(
-        {"fact_sales": w.fact_sales}, Q.LAYER_RULES["gold"],
+        {"fact_sales": w.stored_fact_sales}, Q.LAYER_RULES["gold"],
         {"dim_customer_scd": w.dim_customer, "dim_product": w.dim_product},
     )

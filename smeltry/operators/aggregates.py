@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,35 +55,37 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def correlations(
     df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.5, digits: int = 4,
 ) -> DataFrame:
-    """Column pairs with |Pearson r| above the bound, all pairs in one pass."""
+    """Column pairs with |Pearson r| above the bound, in one scan.
+
+    Each row is fanned out into its pairs, which are combined map-side under the
+    pair's number. One aggregate with a column per pair would outgrow generated
+    code at a few dozen pairs. Rows with a NULL in a pair do not count for it.
+    """
     cols = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = [
+    pairs = list(combinations(cols, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    fan_out = [
         F.struct(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r"),
+            F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"),
+            F.col(b).cast("double").alias("_y"),
         )
-        for a, b in pairs
+        for i, (a, b) in enumerate(pairs)
     ]
-    if not parts:
-        parts = [
-            F.struct(
-                F.lit(None).cast("string").alias("column_a"),
-                F.lit(None).cast("string").alias("column_b"), F.lit(None).cast("double").alias("r"),
-            )
-        ]
+    first, second = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
     return (
-        df.agg(F.array(*parts).alias("_all"))
-        .select(F.inline("_all"))
+        df.select(F.inline(F.array(*fan_out)))
+        .groupBy("_pair").agg(F.corr("_x", "_y").alias("r"))
         .filter(F.abs("r") > above)
-        .withColumn("r", F.round("r", digits))
+        .select(
+            F.get(first, F.col("_pair")).alias("column_a"),
+            F.get(second, F.col("_pair")).alias("column_b"), F.round("r", digits).alias("r"),
+        )
     )
 
 
 def share_of_group(df: DataFrame, group: Sequence[str], value: str, out: str, digits: int = 4) -> DataFrame:
     """value / group total, for frames already aggregated to few rows per group."""
-    from pyspark.sql import Window as W
-
     total = F.sum(value).over(W.partitionBy(*group))
     return df.withColumn(
         out, F.round(F.when(total != 0, F.col(value).cast("double") / total), digits)

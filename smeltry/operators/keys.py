@@ -11,6 +11,7 @@ Each stays balanced when one key owns a large share of the rows:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,17 @@ from pyspark.sql import functions as F
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first under ``order``, which should be total.
 
-    NULL keys form one group each, as in ``dropDuplicates``.
+    NULL keys form one group each, as in ``dropDuplicates``. The key's hash leads
+    the partitioning: text keys often share a long prefix, and sorting on the
+    hash settles nearly all comparisons in one word.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    w = W.partitionBy("_hash", *keys).orderBy(*order)
+    return (
+        df.withColumn("_hash", F.xxhash64(*keys))
+        .withColumn("_rn", F.row_number().over(w))
+        .filter("_rn = 1")
+        .drop("_rn", "_hash")
+    )
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
@@ -111,24 +119,31 @@ def spread_index(df: DataFrame, key: str, out: str, start: Column | int = 0, hex
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the session's checkpoint folder, so lost executors can re-read it.
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared checkpoint folder and read back.
 
-    A folder of our own is set only where the session has none, which is allowed
-    for local runs only: elsewhere it would not be shared.
+    Use it where several branches need the same costly or order-dependent rows:
+    lost executors re-read the files, and readers still prune columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
+
+    A folder of our own is used only where the session has none, which is
+    allowed for local runs only: elsewhere it would not be shared.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if configured is None and not sc.master.startswith("local"):
+    known = configured or spark.sparkContext.getCheckpointDir()
+    if known is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return configured or sc.getCheckpointDir()
+        known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known
 
 
 def row_number_by_range(
@@ -138,12 +153,12 @@ def row_number_by_range(
 
     A window would put a whole group into one task. Here rows are range
     partitioned by (keys, order), so a large group spans many partitions; the
-    layout is checkpointed, rows are numbered inside (partition, key), and each
+    layout is stored, rows are numbered inside (partition, key), and each
     part is shifted by the rows of its key in earlier partitions. ``order`` must
     be total. The parts table has at most (partitions + keys) rows.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = checkpointed(
+    laid_out = stored(
         df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
     )
     parts = laid_out.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))

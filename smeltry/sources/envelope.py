@@ -14,11 +14,17 @@ from smeltry.operators import rows as R
 
 
 def parse_envelope(df: DataFrame, schema: T.StructType, ts_col: str = "timestamp") -> DataFrame:
-    """JSON value to the schema's columns, with the envelope's own columns behind them."""
+    """JSON value to the schema's columns, with the envelope's own columns behind them.
+
+    The document goes through a generator, past which filters are not pushed:
+    otherwise each filtered field would parse the document once more. A value
+    that is not JSON gives NULL columns.
+    """
+    document = F.from_json(F.col("value").cast("string"), schema)
     return df.select(
-        F.from_json(F.col("value").cast("string"), schema).alias("data"),
+        F.inline(F.array(document)),
         "topic", "partition", "offset", F.col(ts_col).alias("kafka_timestamp"),
-    ).select("data.*", "topic", "partition", "offset", "kafka_timestamp")
+    )
 
 
 def _kafka_columns(df: DataFrame) -> DataFrame:
