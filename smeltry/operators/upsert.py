@@ -20,7 +20,7 @@ def upsert(
     """
     if order is not None:
         source = K.latest_per_key(source, keys, order)
-    kept = target.join(source.select(*keys), list(keys), "left_anti")
+    kept = target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*target.columns))
 
 
@@ -33,7 +33,7 @@ def replace_slice(
     slices that have no fresh rows.
     """
     touched = (dates if dates is not None else fresh).select(date_col).distinct()
-    kept = target.join(touched, date_col, "left_anti")
+    kept = target.join(touched, date_col, "left_anti").select(*target.columns)
     return kept.unionByName(fresh.select(*target.columns))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +35,27 @@ def stream_append(
     return writer.trigger(**trigger).start(path)
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    """Partition overwrite that keeps other partitions; inserts read it from the session only."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def overwrite_partition(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``.
+    """Replace only the partitions present in ``df``, whatever the session's overwrite mode.
 
-    The overwrite mode is set on this write, so other slices survive whatever
-    the session says. Rows are rebalanced by partition value first: each value
-    goes to few files, and AQE splits a value that is large.
+    Rows are rebalanced by partition value first: each value goes to few files,
+    and AQE splits a value that is large.
     """
-    frame = _aligned(df, table)
-    frame.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).insertInto(table)
+    frame = _aligned(df, table).hint("rebalance", *[F.col(c) for c in partition_by])
+    with _dynamic_overwrite(df.sparkSession):
+        frame.write.mode("overwrite").insertInto(table)
 
 
 def overwrite_table(df: DataFrame, table: str) -> None:
