@@ -90,7 +90,7 @@ def _(w):
 
 @query("affected_dates", f"SELECT DISTINCT {day('event_date')} FROM ({LATE_SQL})")
 def _(w):
-    return late.affected_dates(late.late_arrivals(w.bronze_sales, DAY, 48))
+    return late.affected_dates(late.late_rows(w.bronze_sales, DAY, 48))
 
 
 REPAIRED_OUT = f"""SELECT sale_id, customer_id, product_id, channel, {dbl('total_amount')}, {big('quantity')}, {day('transaction_date')} FROM ({REPAIRED_SQL})"""
@@ -98,7 +98,7 @@ REPAIRED_OUT = f"""SELECT sale_id, customer_id, product_id, channel, {dbl('total
 
 @query("reprocess_dates", REPAIRED_OUT)
 def _(w):
-    dates = late.affected_dates(late.late_arrivals(w.bronze_sales, DAY, 48))
+    dates = late.affected_dates(late.late_rows(w.bronze_sales, DAY, 48))
     return late.reprocess(
         w.bronze_sales, _before(w), dates, F.col("buyer_id"), w.channel, STAMP
     ).select(*REPAIRED_COLUMNS)

@@ -208,17 +208,19 @@ def assemble_features(
 
     The recency groups are exactly the distinct base pairs, so they start the
     chain. Frequency and labels are keyed and partitioned like them and join
-    without a further shuffle. Affinity is joined by (customer, category) after
-    the product's category is known.
+    without a further shuffle. Product features are put beside the category on
+    the dimension's side, so that the pairs meet the products once; affinity
+    then joins by (customer, category).
     """
-    categories = dim_product.filter("is_current").select("product_id", "category")
+    catalogue = dim_product.filter("is_current").select("product_id", "category").join(
+        products, "product_id", "left"
+    )
     return (
         recency.join(frequency, PAIR, "left")
         .join(labels, PAIR, "left")
-        .join(categories, "product_id", "left")
+        .join(catalogue, "product_id", "left")
         .join(affinity, ["customer_id", "category"], "left")
         .join(customers, "customer_id", "left")
-        .join(products, "product_id", "left")
         .drop("category")
     )
 

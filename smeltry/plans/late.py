@@ -35,19 +35,31 @@ def with_arrival_delay(df: DataFrame, ts: str = "transaction_time", ingest: str
     )
 
 
-def late_arrivals(
+def late_rows(
     df: DataFrame, day: date | str, lookback_hours: int = 48, ts: str = "transaction_time",
     ingest: str = "ingestion_time",
 ) -> DataFrame:
-    """Rows ingested on ``day`` whose event lies in the hours before it, latest first."""
+    """Rows ingested on ``day`` whose event lies in the hours before it."""
     start = datetime.combine(C.as_date(day), datetime.min.time())
     window = df.filter(
         C.on_day(ingest, day)
         & (F.col(ts) >= F.lit(start - timedelta(hours=lookback_hours)).cast("timestamp"))
         & (F.col(ts) < F.lit(start).cast("timestamp"))
     )
-    return with_arrival_delay(window, ts, ingest).filter("is_late_arrival").orderBy(
-        F.desc("arrival_delay_hours")
+    return with_arrival_delay(window, ts, ingest).filter("is_late_arrival")
+
+
+def late_arrivals(
+    df: DataFrame, day: date | str, lookback_hours: int = 48, ts: str = "transaction_time",
+    ingest: str = "ingestion_time", ties: Sequence[str] = ("transaction_id", "product_id"),
+) -> DataFrame:
+    """``late_rows`` with the longest delay first.
+
+    Many rows share a delay; ``ties`` lets the sort split them over tasks.
+    """
+    rows = late_rows(df, day, lookback_hours, ts, ingest)
+    return rows.orderBy(
+        F.desc("arrival_delay_hours"), ts, *[c for c in ties if c in rows.columns]
     )
 
 
@@ -160,7 +172,7 @@ def late_repair(
     customer: Column | None = None, channel: Column | None = None, processed: datetime | None = None,
 ) -> LateRepair:
     """The whole late-arrival run of a day: find, resolve, rebuild, compare."""
-    late = late_arrivals(bronze, day, lookback_hours)
+    late = late_rows(bronze, day, lookback_hours)
     resolved = keep_latest_by_business_key(late)
     repaired = reprocess(bronze, silver, affected_dates(resolved), customer, channel, processed)
     start = datetime.combine(C.as_date(day), datetime.min.time())

@@ -22,7 +22,12 @@ COMMON = {
 }
 
 PRESETS = {
-    "local": {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    "local": {
+        "spark.sql.shuffle.partitions": "8",
+        # A small file is one scan task; joining it by shuffle brings the other
+        # cores in, which a broadcast would leave idle.
+        "spark.sql.autoBroadcastJoinThreshold": "1MB",
+        "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     },
     "development": {"spark.sql.shuffle.partitions": "10"},
@@ -42,6 +47,8 @@ PRESETS = {
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
+        # Sessions of a hot key are merged before the shuffle.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.streaming.stopGracefullyOnShutdown": "true",
         "spark.sql.streaming.metricsEnabled": "true",
     },

@@ -50,7 +50,12 @@ def stream_upsert(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        sinks.upsert_table(batch, table, keys, partition_by, order)
+        # The batch is read for its days, its keys and its rows.
+        batch.persist()
+        try:
+            sinks.upsert_table(batch, table, keys, partition_by, order)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
