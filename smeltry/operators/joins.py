@@ -86,7 +86,8 @@ def salted_join(
     A key is hot when it holds at least ``hot_share`` of the left rows, so there
     are at most ``1 / hot_share`` hot keys, whatever the data size. Their left
     rows are spread over ``salts`` tasks by the row's hash and their right rows
-    repeated once per salt; all other keys keep salt 0.
+    repeated once per salt; all other keys keep salt 0. Rows without a key match
+    nothing and are spread as well.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
@@ -101,8 +102,10 @@ def salted_join(
         left.join(hot, F.col(left_key) == F.col("_hot"), "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts)))
-            .otherwise(F.lit(0).cast("bigint")),
+            F.when(
+                F.col("_hot").isNotNull() | F.col(left_key).isNull(),
+                F.pmod(F.xxhash64(*spread), F.lit(salts)),
+            ).otherwise(F.lit(0).cast("bigint")),
         )
         .drop("_hot")
     )

@@ -214,7 +214,7 @@ def validate_table(
         parts.append(
             schema_check(df, table, expected.get("columns", ()), expected.get("types"), config.get("required_columns", ()))
         )
-    rules = Q.rules_from_config(config)
+    rules = Q.rules_from_config(config, df.columns)
     if rules:
         parts.append(Q.run_rules(df, table, rules))
     refs = {k: parents[v] for k, v in config.get("referential_integrity", {}).items() if parents and v in parents}

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ class Rule:
     threshold: float | None = None
     distinct_on: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
+    condition: str | None = None
 
 
 def _fail_if(bad: Column) -> Column:
@@ -149,7 +151,7 @@ def business_rule(name: str, condition: str, severity: str = "WARNING") -> Rule:
     worse = "FAIL" if severity == "CRITICAL" else "WARN"
     return Rule(
         "business_rule", name, "violation_count", F.count_if(F.expr(f"NOT ({condition})")),
-        lambda v, t: F.when(v > 0, F.lit(worse)).otherwise(F.lit("PASS")), 0.0,
+        lambda v, t: F.when(v > 0, F.lit(worse)).otherwise(F.lit("PASS")), 0.0, condition=condition,
     )
 
 
@@ -176,11 +178,25 @@ def _evaluate(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def _resolves(df: DataFrame, condition: str | None) -> bool:
+    """Whether the condition can be analysed against the frame; runs no job."""
+    if condition is None:
+        return True
+    try:
+        return df.filter(F.expr(condition)).schema is not None
+    except AnalysisException:
+        return False
+
+
 def run_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
-    """Result rows of all rules. Rules on absent columns give an ERROR row."""
+    """Result rows of all rules.
+
+    A rule on an absent column, or with a condition Spark cannot resolve, gives
+    an ERROR row and leaves the others running.
+    """
     have = set(df.columns)
-    usable = [r for r in rules if set(r.needs) <= have]
-    absent = [r for r in rules if not set(r.needs) <= have]
+    usable = [r for r in rules if set(r.needs) <= have and _resolves(df, r.condition)]
+    absent = [r for r in rules if not any(r is u for u in usable)]
     parts = []
     simple = [r for r in usable if not r.distinct_on]
     exact = [r for r in usable if r.distinct_on]
@@ -203,17 +219,19 @@ def _literal_rows(df: DataFrame, rows: Sequence[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(rows), CHECK_RESULT)
 
 
-def rules_from_config(config: Mapping) -> list[Rule]:
+def rules_from_config(config: Mapping, columns: Sequence[str] = ()) -> list[Rule]:
     """Rules of a table from its configuration.
 
-    Keys: ``null_rules`` {column: level}, ``non_null_columns``, ``key_columns``,
+    Keys: ``null_rules`` {column: level} (``columns`` it does not name are held to
+    the optional level), ``non_null_columns``, ``key_columns``,
     ``unique_columns``, ``range_checks`` {column: {min_value|min_date, max_value|
     max_date}}, ``pattern_rules`` {column: {pattern|type, threshold}},
     ``business_rules`` [{name, condition, severity}], ``valid_values`` {column: [..]}.
     """
     out: list[Rule] = []
-    for column, level in config.get("null_rules", {}).items():
-        out.append(null_limit(column, level))
+    if "null_rules" in config:
+        levels = {c: "optional_fields" for c in columns} | dict(config["null_rules"])
+        out += [null_limit(c, level) for c, level in levels.items()]
     for column in config.get("non_null_columns", []):
         out.append(completeness(column))
     if config.get("key_columns"):

@@ -97,6 +97,13 @@ def test_salted_join_spreads_the_hot_key(spark, skewed):
     assert len(parts) > 3 and max(r["count"] for r in parts) < 700
 
 
+def test_salted_left_join_keeps_rows_without_key(spark):
+    df = spark.range(60).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("k"), "id")
+    right = spark.createDataFrame([("a", 1)], "name string, v int")
+    out = J.salted_join(df, right, "k", "name", "left", 4).collect()
+    assert len(out) == 60 and sum(r.v is None for r in out) == 20
+
+
 def test_orphans_counts_rows(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "fk int")
     parent = spark.createDataFrame([(2, True), (1, False)], "fk int, is_current boolean")

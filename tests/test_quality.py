@@ -147,3 +147,15 @@ def test_layer_status_caps_error_as_fail(spark):
 def test_freshness_of_nothing_fails(spark):
     df = spark.createDataFrame([], "t timestamp")
     assert Q.freshness(df, "t", "t", "2024-01-01 00:00:00", 24).first().status == "FAIL"
+
+
+def test_unresolvable_rule_does_not_stop_the_others(dq):
+    rules = [R.business_rule("broken", "no_such_column > 0"), R.business_rule("syntax", "num >"), R.business_rule("fine", "num >= 0")]
+    got = {r.column_name: r.status for r in R.run_rules(dq, "t", rules).collect()}
+    assert got == {"broken": "ERROR", "syntax": "ERROR", "fine": "WARN"}
+
+
+def test_null_rules_cover_unnamed_columns(dq):
+    out = Q.validate_table(dq, "t", {"null_rules": {"n5": "critical_fields"}})
+    got = {r.column_name: r.status for r in out.collect()}
+    assert set(got) == set(dq.columns) and got["n5"] == "FAIL" and got["n6"] == "PASS"
