@@ -70,7 +70,9 @@ class ByteLevel:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         alphabet = {b: t for b, t in enumerate(self._alphabet())}
         self.letters = str.maketrans({chr(b): t for b, t in alphabet.items()})
-        self.tokens, self.words = Chunks(self._token), Chunks(self._word)
+        self.tokens = Chunks(self._token)
+        #: By the word behind one space, and by the run of white space with its word.
+        self.words, self.runs = Chunks(self._word), Chunks(self._run)
 
     @staticmethod
     def _alphabet() -> list[str]:
@@ -79,14 +81,22 @@ class ByteLevel:
         rest = iter(range(256, 512))
         return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
 
     def _token(self, token: str) -> bytes:
         return self._pack([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))])
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(word)))
+        first, *rest = self.pattern.findall(" " + word)
+        if not rest:
+            return self._token(first)
+        # the word itself without the marks behind it, or a mark that stands first
+        head = self.words[first[1:]] if len(first) > 1 else self.tokens[first]
+        return b"".join((head, *map(self.tokens.__getitem__, rest)))
+
+    def _run(self, run: str) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, self.pattern.findall(run)))
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text, as the tokenizer gives them without special tokens added."""
@@ -95,11 +105,12 @@ class ByteLevel:
         if any(x in text for x in self.added):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if "  " in text or text[0] == " " or _SPACED.search(text):
-            return b"".join(map(self.words.__getitem__, _CHUNK.findall(text)))
-        first, *rest = text.split(" ")
-        out = b"".join((self.words[first], *map(self.words.__getitem__, map(" ".__add__, rest))))
-        self.words.keep_small()
-        self.tokens.keep_small()
+            out = b"".join(map(self.runs.__getitem__, _CHUNK.findall(text)))
+        else:
+            first, *rest = text.split(" ")
+            out = b"".join((self.runs[first], *map(self.words.__getitem__, rest)))
+        for known in (self.words, self.runs, self.tokens):
+            known.keep_small()
         return out
 
 
