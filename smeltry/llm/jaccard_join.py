@@ -250,7 +250,8 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, key: str, text
     pairs = written(_could_link(pairs, facts))
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(facts.select("set_id", F.col("doc_id").alias("rep")), "set_id"))
     few = ids.count() <= BROADCAST_SETS
-    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "rep")
+    rows = docs.select(F.col(key).alias("own_rep"), F.col(text).alias("text"))
+    texts = rows.join(F.broadcast(ids) if few else ids, F.col("own_rep").eqNullSafe(F.col("rep")))
     sets = _batches(texts, "set_id", "text", lambda s: (s.view(np.int64).tolist(), set_id(s)), "shingles array<bigint>, own long", ["shingles", "own"])
     sets = written(sets.where("own = set_id").drop("own"))
     of = lambda s: sets.select(F.col("set_id").alias(s), F.col("shingles").alias(f"s_{s}"))
@@ -329,5 +330,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("doc_id").alias(key), "n_shingles", own.alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents but for those that a link joins to a smaller key; rows with a null key stay."""
+    more = classes(docs, key, text).where(F.col("component_id") < F.col(key)).select(key).distinct()
+    return docs.join(more, key, "left_anti").select(*docs.columns)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smeltry.llm.common import table, written
-from smeltry.llm.text_stats import text_stats
+from smeltry.llm.text_stats import text_stats, with_stats
 
 #: Bound of the rows on which rules are fitted; they are held by the driver.
 MAX_LABELLED = 20_000
@@ -167,14 +167,11 @@ def judged(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None) -
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns; a row passes by its own text.
 
-    The rules are fitted on the labelled documents alone; the statistics of all rows are
-    then computed beside their rows, so no text is shuffled.
+    Statistics are computed once for fitting and again beside the rows, which costs less
+    than a shuffle of the texts.
     """
-    from smeltry.llm.text_stats import with_stats
-
-    known = labels.select(F.col("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
-    rules = fit(written(text_stats(docs.join(known, "doc_id", "left_semi"))), labels)
-    return with_stats(docs).where(~base_failed() & (verdict(rules) == 0)).select(*docs.columns)
+    rules = fit(written(text_stats(docs)), labels)
+    return with_stats(docs).where(~base_failed() & (verdict(rules) == 0)).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

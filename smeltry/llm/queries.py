@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from smeltry.llm import sentence_pieces, token_counts, token_files
+import corpus_pipeline
+from smeltry.llm import decontaminate, html_text, jaccard_join, kd_shards, quality_rules, sentence_pieces, substring_dedup, token_counts, token_files, url_templates
+from smeltry.llm.sql import SQL as _SQL
 
 QUERIES = {
     f.__name__: f
     for f in (
+        html_text.op1_html_text,
+        kd_shards.op2_kd_shards,
         sentence_pieces.op3_sentence_pieces,
+        quality_rules.op4_quality_rules,
+        decontaminate.op5_decontaminate,
+        substring_dedup.op6_substring_dedup,
+        url_templates.op7_url_templates,
         token_counts.op8_token_counts,
         token_files.op9_token_files,
+        jaccard_join.op10_jaccard_join,
     )
-}
-SQL: dict[str, str] = {}
+} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {k: v for k, v in (_SQL | {"pipeline": corpus_pipeline.ORACLE_SQL}).items() if v}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smeltry.llm import piece_bpe
@@ -62,15 +62,15 @@ def decode(df: DataFrame, model_file: str, key: str = "doc_id", ids: str = "ids"
     return source.mapInArrow(run, f"key {kind}, decoded string").withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, with begin and end ids."""
-    return encode(docs, model_file, decoded=True).select(
-        "doc_id",
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from ids and decoded."""
+    return [
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    ]
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return rows.select("doc_id", *digest_columns())

@@ -86,3 +86,20 @@ def text_stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], ["key", *STATS])
 
     return source.mapInArrow(run, f"key {kind}, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("key", key)
+
+
+def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """`row` (all columns of df, as a struct) beside the statistics of its text; nothing is shuffled."""
+    source = df.select(F.struct(*df.columns).alias("row"), F.col(text).cast("string").alias("text"))
+
+    def run(batches):
+        known = Chunks(word_hash)
+        for part in _slices(batches):
+            rows = []
+            for x in part.column("text").to_pylist():
+                rows.append(stats_of(x, known))
+                known.keep_small()
+            yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], ["row", *STATS])
+
+    kind = source.schema["row"].dataType.simpleString()
+    return source.mapInArrow(run, f"row {kind}, " + ", ".join(f"{s} long" for s in STATS))
