@@ -89,7 +89,7 @@ def _(w):
       quantile_disc(l_extendedprice, 0.25) AS l_extendedprice_q1, quantile_disc(l_extendedprice, 0.75) AS l_extendedprice_q3 FROM lineitem""",
 )
 def _(w):
-    return A.quantiles(w.table("lineitem"), ["l_quantity", "l_extendedprice"])
+    return A.exact_quantiles(w.table("lineitem"), ["l_quantity", "l_extendedprice"])
 
 
 @query(

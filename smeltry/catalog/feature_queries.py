@@ -115,9 +115,7 @@ def _(w):
     return features.purchase_labels(w.silver_sales, FEATURE_DAY, strict=True)
 
 
-@query(
-    "feature_table",
-    f"""WITH r AS ({RECENCY_SQL}), f AS ({FREQUENCY_SQL}), a AS ({AFFINITY_SQL}), c AS ({CUSTOMER_SQL}), p AS ({PRODUCT_SQL}), l AS ({LABEL_SQL})
+FEATURE_TABLE_SQL = f"""WITH r AS ({RECENCY_SQL}), f AS ({FREQUENCY_SQL}), a AS ({AFFINITY_SQL}), c AS ({CUSTOMER_SQL}), p AS ({PRODUCT_SQL}), l AS ({LABEL_SQL})
     SELECT r.customer_id, r.product_id, r.view_count_7d, r.view_count_30d, r.view_count_90d, coalesce(f.purchase_count_7d, 0) AS purchase_count_7d,
       coalesce(f.purchase_count_30d, 0) AS purchase_count_30d, r.cart_add_count_7d, r.cart_add_count_30d, coalesce(r.avg_time_spent_seconds, 0.0) AS avg_time_spent_seconds,
       r.cart_abandon_flag, r.last_interaction_days_ago, coalesce(a.category_purchase_count, 0) AS category_purchase_count,
@@ -128,9 +126,11 @@ def _(w):
       coalesce(l.purchased_next_30d, FALSE) AS purchased_next_30d, '{FEATURE_DAY}' AS feature_date, '2024-02-01 00:00:00.000000' AS created_time
     FROM r LEFT JOIN f ON r.customer_id = f.customer_id AND r.product_id = f.product_id LEFT JOIN dim_product d ON r.product_id = d.product_id
     LEFT JOIN a ON a.customer_id = r.customer_id AND a.category = d.category LEFT JOIN c ON c.customer_id = r.customer_id
-    LEFT JOIN p ON p.product_id = r.product_id LEFT JOIN l ON l.customer_id = r.customer_id AND l.product_id = r.product_id""",
-)
-def _(w):
+    LEFT JOIN p ON p.product_id = r.product_id LEFT JOIN l ON l.customer_id = r.customer_id AND l.product_id = r.product_id"""
+
+
+@query("feature_table", FEATURE_TABLE_SQL)
+def feature_table(w):
     return features.feature_table(
-        w.silver_events, w.stored_silver_sales, w.dim_product, FEATURE_DAY, stamp=STAMP
+        w.silver_events, w.silver_sales, w.dim_product, FEATURE_DAY, stamp=STAMP
     )

@@ -68,7 +68,7 @@ def _(w):
     ),
 )
 def _(w):
-    return _rounded(P.profile_table(w.table("part")))
+    return _rounded(P.profile_table(w.table("part"), approximate=False))
 
 
 @query(
@@ -77,4 +77,4 @@ def _(w):
     SELECT event_id, value, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS value_is_outlier FROM events, q""",
 )
 def _(w):
-    return P.flag_outliers(w.table("events").select("event_id", "value"), ["value"])
+    return P.flag_outliers(w.table("events").select("event_id", "value"), ["value"], exact=True)

@@ -84,3 +84,30 @@ def _(w):
         "transaction_date", F.lit("fresh").alias("origin"),
     )
     return U.replace_slice(target, fresh, "transaction_date")
+
+
+@query(
+    "upsert_null_keys",
+    f"""SELECT NULL AS event_id, event_type, {day('event_time', 'event_date')}, 'late' AS origin FROM bronze_events WHERE NOT ({ON_TIME})
+    UNION ALL SELECT event_id, event_type, {day('event_time', 'event_date')}, 'kept' FROM bronze_events""",
+)
+def _(w):
+    cols = ["event_type", F.to_date("event_time").alias("event_date")]
+    same_day = F.to_date("event_time") == F.to_date("ingestion_time")
+    target = w.bronze_events.select("event_id", *cols, F.lit("kept").alias("origin"))
+    source = w.bronze_events.filter(~same_day).select(
+        F.lit(None).cast("string").alias("event_id"), *cols, F.lit("late").alias("origin"), "ingestion_time"
+    )
+    return U.upsert(target, source, ["event_id"], [F.col("ingestion_time").desc()])
+
+
+@query(
+    "replace_slice_emptied",
+    f"""SELECT sale_id, {dbl('total_amount')}, {day('transaction_date')} FROM silver_sales
+      WHERE NOT coalesce(transaction_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12', FALSE)
+    UNION ALL SELECT sale_id, {dbl('total_amount')}, {day('transaction_date')} FROM silver_sales WHERE transaction_date = DATE '2024-01-11'""",
+)
+def _(w):
+    target = w.silver_sales.select("sale_id", "total_amount", "transaction_date")
+    dates = target.select("transaction_date").filter("transaction_date BETWEEN '2024-01-10' AND '2024-01-12'")
+    return U.replace_slice(target, target.filter("transaction_date = '2024-01-11'"), "transaction_date", dates)

@@ -19,19 +19,52 @@ def null_tallies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns])
 
 
-def quantiles(df: DataFrame, columns: Sequence[str], accuracy: int = 1_000_000) -> DataFrame:
-    """First and third quartile of each column, all in one pass.
+QUARTILES = {"q1": 0.25, "q3": 0.75}
 
-    The sketch is bounded by ``accuracy``; at 1,000,000 it is exact for groups
-    up to that size.
+
+def quantiles(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, probs: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """One row with ``{column}_{name}`` for each probability, all in one pass.
+
+    Ranks are within 1 / ``accuracy`` of the rows. One sketch serves all
+    probabilities of a column; its size depends on ``accuracy`` alone.
     """
-    return df.agg(
-        *[
-            F.percentile_approx(c, p, accuracy).alias(f"{c}_{q}")
-            for c in columns
-            for q, p in (("q1", 0.25), ("q3", 0.75))
-        ]
+    sketches = df.agg(*[F.percentile_approx(c, list(probs.values()), accuracy).alias(c) for c in columns])
+    return sketches.select(*[F.get(c, F.lit(k)).alias(f"{c}_{n}") for c in columns for k, n in enumerate(probs)])
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, probs: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """``quantiles`` without error, at any size: the smallest value whose rank reaches the share.
+
+    A first pass brackets each quantile by two approximate ones. A second counts
+    the rows below each bracket, and the values inside, a few in 10,000 rows,
+    which are combined map-side and ranked from there.
+    """
+    slack = 2.0 / accuracy
+    around = {f"{n}_{side}": min(1.0, max(0.0, p + d)) for n, p in probs.items() for side, d in (("lo", -slack), ("hi", slack))}
+    approx = quantiles(df, columns, accuracy, around)
+    fence = approx.select(F.struct(*approx.columns).alias("f")).scalar()
+    slots = [(c, n, p) for c in columns for n, p in probs.items()]
+    counts = df.agg(
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.count_if(F.col(c) < fence[f"{c}_{n}_lo"]).alias(f"below_{c}_{n}") for c, n, _ in slots],
     )
+    known = counts.select(F.struct(*counts.columns).alias("k")).scalar()
+    kind = T.DoubleType() if any(isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType) for c in columns) else None
+    value = (lambda c: F.col(c).cast(kind)) if kind else F.col
+    inside = F.array(*[
+        F.struct(
+            F.lit(i).alias("slot"),
+            F.when(F.col(c).between(fence[f"{c}_{n}_lo"], fence[f"{c}_{n}_hi"]), value(c)).alias("v"),
+        )
+        for i, (c, n, _) in enumerate(slots)
+    ])
+    near = df.select(F.inline(inside)).filter("v IS NOT NULL").groupBy("slot", "v").agg(F.count(F.lit(1)).alias("rows"))
+    upto = near.withColumn("upto", F.sum("rows").over(W.partitionBy("slot").orderBy("v")))
+    aggs = []
+    for i, (c, n, p) in enumerate(slots):
+        rank = F.greatest(F.lit(1), F.ceil(known[f"n_{c}"] * F.lit(p))) - known[f"below_{c}_{n}"]
+        aggs.append(F.min(F.when((F.col("slot") == i) & (F.col("upto") >= rank), F.col("v"))).cast(df.schema[c].dataType).alias(f"{c}_{n}"))
+    return upto.agg(*aggs)
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -52,36 +85,34 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+#: Correlations in one aggregate: more would outgrow generated code.
+PAIRS_AT_ONCE = 16
+
+
 def correlations(
     df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.5, digits: int = 4,
 ) -> DataFrame:
-    """Column pairs with |Pearson r| above the bound, in one scan.
+    """Column pairs with |Pearson r| above the bound.
 
-    Each row is fanned out into its pairs, which are combined map-side under the
-    pair's number. One aggregate with a column per pair would outgrow generated
-    code at a few dozen pairs. Rows with a NULL in a pair do not count for it.
+    Pairs are aggregates of their own, a few in each pass over the rows, so no row
+    is multiplied. Rows with a NULL in a pair do not count for it.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(cols, 2))
-    if not pairs:
+    out = None
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        some = pairs[at : at + PAIRS_AT_ONCE]
+        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{k}") for k, (a, b) in enumerate(some)])
+        rows = [
+            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_r{k}").alias("r"))
+            for k, (a, b) in enumerate(some)
+        ]
+        # one row of a few numbers becomes a row for each pair
+        part = wide.select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
-    fan_out = [
-        F.struct(
-            F.lit(i).alias("_pair"), F.col(a).cast("double").alias("_x"),
-            F.col(b).cast("double").alias("_y"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ]
-    first, second = (F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1))
-    return (
-        df.select(F.inline(F.array(*fan_out)))
-        .groupBy("_pair").agg(F.corr("_x", "_y").alias("r"))
-        .filter(F.abs("r") > above)
-        .select(
-            F.get(first, F.col("_pair")).alias("column_a"),
-            F.get(second, F.col("_pair")).alias("column_b"), F.round("r", digits).alias("r"),
-        )
-    )
+    return out.filter(F.abs("r") > above).withColumn("r", F.round("r", digits))
 
 
 def share_of_group(df: DataFrame, group: Sequence[str], value: str, out: str, digits: int = 4) -> DataFrame:

@@ -5,16 +5,14 @@ Each stays balanced when one key owns a large share of the rows:
 * ``latest_per_key`` filters a ``row_number`` to 1, which Spark turns into a
   group limit *before* the shuffle, so a task ships at most one row per key.
 * ``spread_index`` numbers rows without a single-task window.
-* ``row_number_by_range`` ranks inside huge groups by range partitioning.
+* ``row_number_in_steps`` ranks inside huge groups, one step of the order at a time.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,14 +37,14 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None =
     """``dropDuplicates`` with a defined survivor.
 
     Without ``order`` the survivor is the smallest row by all other columns, so
-    the result does not depend on how the input was partitioned.
+    the result does not depend on how the input was partitioned. Columns that
+    hold maps, which have no order, are compared by their JSON text.
     """
     if order is None:
-        comparable = [
-            f.name for f in df.schema.fields
-            if f.name not in keys and "map<" not in f.dataType.simpleString()
-        ]
-        order = [F.col(c).asc_nulls_last() for c in comparable] or [F.lit(1)]
+        order = [
+            (F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name)).asc_nulls_last()
+            for f in df.schema.fields if f.name not in keys
+        ] or [F.lit(1)]
     return latest_per_key(df, keys, order)
 
 
@@ -119,61 +117,28 @@ def spread_index(df: DataFrame, key: str, out: str, start: Column | int = 0, hex
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written once to the shared checkpoint folder and read back.
-
-    Use it where several branches need the same costly or order-dependent rows:
-    lost executors re-read the files, and readers still prune columns.
-    """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
-
-    A folder of our own is used only where the session has none, which is
-    allowed for local runs only: elsewhere it would not be shared.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    known = configured or spark.sparkContext.getCheckpointDir()
-    if known is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
-def row_number_by_range(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str,
+def row_number_in_steps(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], step: Column, out: str,
 ) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)`` for groups of any size.
 
-    A window would put a whole group into one task. Here rows are range
-    partitioned by (keys, order), so a large group spans many partitions; the
-    layout is stored, rows are numbered inside (partition, key), and each
-    part is shifted by the rows of its key in earlier partitions. ``order`` must
-    be total. The parts table has at most (partitions + keys) rows.
+    A window would put a whole group into one task. ``step`` is a coarse value
+    that never falls under ``order`` (a price in whole dollars, a day): rows are
+    numbered inside (keys, step), and shifted by the rows of earlier steps,
+    which are counted map-side. So a task holds one step of a group. ``order``
+    must be total.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = stored(
-        df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
-    )
-    parts = laid_out.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = parts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_part").alias("_k_part"),
+    stepped = df.withColumn("_step", step)
+    counts = stepped.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_step").alias("_k_step"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
     )
-    numbered = laid_out.withColumn(
-        "_rn", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
-    )
+    numbered = stepped.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_step").orderBy(*order)))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return (
-        numbered.join(shifts, [F.col("_part") == F.col("_k_part"), *same], "inner")
+        numbered.join(shifts, [F.col("_step").eqNullSafe(F.col("_k_step")), *same], "inner")
         .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("bigint"))
         .select(*df.columns, out)
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smeltry.functions import columns as C
 from smeltry.operators import keys as K
 
 
@@ -19,7 +20,8 @@ def upsert(
     match and are inserted, as in MERGE.
     """
     if order is not None:
-        source = K.latest_per_key(source, keys, order)
+        known = C.all_of([F.col(k).isNotNull() for k in keys])
+        source = K.latest_per_key(source.filter(known), keys, order).unionByName(source.filter(~known))
     kept = target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns)
     return kept.unionByName(source.select(*target.columns))
 
@@ -30,10 +32,10 @@ def replace_slice(
     """Target with the slices named by ``dates`` replaced by ``fresh``.
 
     ``dates`` defaults to the dates present in ``fresh``; pass it to also empty
-    slices that have no fresh rows.
+    slices that have no fresh rows. Rows without a date are a slice of their own.
     """
-    touched = (dates if dates is not None else fresh).select(date_col).distinct()
-    kept = target.join(touched, date_col, "left_anti").select(*target.columns)
+    touched = (dates if dates is not None else fresh).select(F.col(date_col).alias("_touched")).distinct()
+    kept = target.join(touched, F.col(date_col).eqNullSafe(F.col("_touched")), "left_anti").select(*target.columns)
     return kept.unionByName(fresh.select(*target.columns))
 
 

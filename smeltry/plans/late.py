@@ -14,6 +14,7 @@ from smeltry.functions.ladders import BATCH_DELAY, bucket
 from smeltry.operators import keys as K
 from smeltry.operators import upsert as U
 from smeltry.plans.silver import silver_sales
+from smeltry.sources import sinks
 
 BUSINESS_KEY = ["marketplace_name", "seller_id", "product_id", "transaction_time"]
 
@@ -37,10 +38,16 @@ def with_arrival_delay(df: DataFrame, ts: str = "transaction_time", ingest: str
 
 def late_rows(
     df: DataFrame, day: date | str, lookback_hours: int = 48, ts: str = "transaction_time",
-    ingest: str = "ingestion_time",
+    ingest: str = "ingestion_time", partition: str | None = None,
 ) -> DataFrame:
-    """Rows ingested on ``day`` whose event lies in the hours before it."""
+    """Rows ingested on ``day`` whose event lies in the hours before it.
+
+    ``partition`` is the day column by which ``ts`` is laid out in files.
+    """
     start = datetime.combine(C.as_date(day), datetime.min.time())
+    if partition is not None:
+        first = (start - timedelta(hours=lookback_hours)).date()
+        df = df.filter(F.col(partition).between(F.lit(first), C.day_lit(day)))
     window = df.filter(
         C.on_day(ingest, day)
         & (F.col(ts) >= F.lit(start - timedelta(hours=lookback_hours)).cast("timestamp"))
@@ -107,14 +114,22 @@ def affected_dates(late: DataFrame) -> DataFrame:
     return late.select("event_date").distinct()
 
 
+def rebuilt(
+    bronze: DataFrame, days: DataFrame, customer: Column | None = None, channel: Column | None = None,
+    processed: datetime | None = None,
+) -> DataFrame:
+    """Silver rows of the days in column ``_day``."""
+    rows = bronze.join(days, F.to_date("transaction_time") == F.col("_day"), "left_semi")
+    return silver_sales(rows, customer=customer, channel=channel, processed=processed)
+
+
 def reprocess(
     bronze: DataFrame, silver: DataFrame, dates: DataFrame, customer: Column | None = None,
     channel: Column | None = None, processed: datetime | None = None,
 ) -> DataFrame:
     """Silver with all affected days rebuilt from bronze in one pass."""
     touched = dates.select(F.col("event_date").alias("_day")).distinct()
-    rows = bronze.join(touched, F.to_date("transaction_time") == F.col("_day"), "left_semi")
-    fresh = silver_sales(rows, customer=customer, channel=channel, processed=processed)
+    fresh = rebuilt(bronze, touched, customer, channel, processed)
     return U.replace_slice(
         silver, fresh, "transaction_date", touched.withColumnRenamed("_day", "transaction_date")
     )
@@ -180,3 +195,25 @@ def late_repair(
         late, resolved, repaired,
         reconcile(bronze, repaired, start - timedelta(hours=lookback_hours), start),
     )
+
+
+def repair_table(
+    bronze: DataFrame, silver_table: str, day: date | str, lookback_hours: int = 48,
+    customer: Column | None = None, channel: Column | None = None, processed: datetime | None = None,
+    partition: str = "event_day", silver_partition: str = "transaction_date",
+) -> list[date]:
+    """The late-arrival run of a day on a stored silver table; returns the rebuilt days.
+
+    Bronze is read for the days of the lookback only, by its partition, and only
+    the partitions of days with late rows are written; a day that has no rows
+    left is dropped. As many days come to the driver as the lookback spans.
+    """
+    late = late_rows(bronze, day, lookback_hours, partition=partition)
+    days = sorted(r[0] for r in affected_dates(late).collect())
+    if not days:
+        return []
+    spark = bronze.sparkSession
+    fresh = silver_sales(bronze.filter(F.col(partition).isin(days)), customer=customer, channel=channel, processed=processed)
+    touched = spark.createDataFrame([(d,) for d in days], f"{silver_partition} date")
+    sinks.replace_slices_in_table(fresh, silver_table, silver_partition, touched)
+    return days

@@ -94,7 +94,7 @@ def basic_profile(df: DataFrame) -> DataFrame:
     return table.unionByName(profile_numeric(df, distinct=False))
 
 
-def profile_table(df: DataFrame, approximate: bool = False) -> DataFrame:
+def profile_table(df: DataFrame, approximate: bool = True) -> DataFrame:
     """Numeric and text profiles plus strong correlations, in one long form."""
     parts = []
     numeric, text = A.numeric_columns(df), string_columns(df)
@@ -113,13 +113,14 @@ def profile_table(df: DataFrame, approximate: bool = False) -> DataFrame:
     return _union(parts)
 
 
-def flag_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, accuracy: int = 1_000_000) -> DataFrame:
+def flag_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
     """``{column}_is_outlier`` by the interquartile fence, NULL values not flagged.
 
     The quartiles of all columns come from one aggregate read as a scalar
-    subquery: nothing is collected and nothing is joined.
+    subquery: nothing is collected and nothing is joined. ``exact`` takes two
+    passes, see ``exact_quantiles``.
     """
-    q = A.quantiles(df, columns, accuracy)
+    q = (A.exact_quantiles if exact else A.quantiles)(df, columns, accuracy)
     fences = q.select(F.struct(*q.columns).alias("q")).scalar()
     new = {}
     for c in columns:

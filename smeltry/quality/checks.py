@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from smeltry.functions import columns as C
 from smeltry.operators.history import interval_breaks
 from smeltry.operators.joins import orphans
+from smeltry.operators.rows import EVENT_TYPES
 from smeltry.plans.gold import daily_channel_sales
 from smeltry.plans.late import key_presence
 from smeltry.quality import rules as Q
@@ -143,32 +144,56 @@ def consistency(bronze: DataFrame, bronze_key: str, silver: DataFrame, silver_ke
 
 
 def metrics_validation(metrics: DataFrame, fact: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Stored daily channel metrics against their recomputation from the fact table."""
+    """Stored daily channel metrics against their recomputation from the fact table.
+
+    A metric row without facts, facts without a metric row and a NULL on one side
+    fail. Days and channels that are NULL are compared like any other.
+    """
     again = daily_channel_sales(fact).select(
         "date_id", "channel", F.col("total_revenue").alias("fact_revenue"),
         F.col("total_transactions").alias("fact_transactions"),
     )
-    diff = F.abs(F.col("total_revenue") - F.coalesce("fact_revenue", F.lit(0))).cast("double")
-    bad = (diff > tolerance) | ~F.col("total_transactions").eqNullSafe(F.col("fact_transactions"))
-    return metrics.join(again, ["date_id", "channel"], "left").select(
-        "date_id", "channel", F.col("total_revenue"), F.col("fact_revenue"),
-        F.when(bad, F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
+    again = again.withColumnsRenamed({"date_id": "_date", "channel": "_channel"}).withColumn("_fact", F.lit(True))
+    stored = metrics.withColumn("_metric", F.lit(True))
+    same = F.col("date_id").eqNullSafe(F.col("_date")) & F.col("channel").eqNullSafe(F.col("_channel"))
+    near = F.abs(F.col("total_revenue") - F.col("fact_revenue")).cast("double") <= tolerance
+    good = (
+        F.col("_metric") & F.col("_fact")
+        & (near | (F.col("total_revenue").isNull() & F.col("fact_revenue").isNull()))
+        & F.col("total_transactions").eqNullSafe(F.col("fact_transactions"))
+    )
+    return stored.join(again, same, "full").select(
+        F.coalesce("date_id", "_date").alias("date_id"), F.coalesce("channel", "_channel").alias("channel"),
+        "total_revenue", "fact_revenue",
+        F.when(F.coalesce(good, F.lit(False)), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
     )
 
 
-def cross_layer_reconciliation(layers: Sequence[tuple[str, DataFrame, str, str]]) -> DataFrame:
+def cross_layer_reconciliation(
+    layers: Sequence[tuple[str, DataFrame, str, str]], rejected: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Rows and revenue per day of each layer, side by side.
 
     ``layers`` are (name, frame, time column, amount column). Layers are reduced
-    to days, stacked and regrouped, so nothing is joined.
+    to days, stacked and regrouped, so nothing is joined. All rows of a layer are
+    read; those that ``rejected`` says the next layer refuses are reported as
+    ``{name}_rejected_rows`` and ``_revenue``, beside the others.
     """
+    refused = rejected or {}
     stacked = None
     for name, df, ts, amount in layers:
+        no = F.coalesce(refused.get(name, F.lit(False)), F.lit(False))
         daily = df.groupBy(F.to_date(ts).alias("day")).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(amount).cast("decimal(38,2)").alias("revenue")
+            F.count_if(~no).alias("rows"),
+            F.sum(F.when(~no, F.col(amount))).cast("decimal(38,2)").alias("revenue"),
+            F.count_if(no).alias("rejected_rows"),
+            F.sum(F.when(no, F.col(amount))).cast("decimal(38,2)").alias("rejected_revenue"),
         ).withColumn("layer", F.lit(name))
         stacked = daily if stacked is None else stacked.unionByName(daily)
     aggs = []
+    for name in refused:
+        for what in ("rejected_rows", "rejected_revenue"):
+            aggs.append(F.coalesce(F.sum(F.when(F.col("layer") == name, F.col(what))), F.lit(0)).alias(f"{name}_{what}"))
     for name, *_ in layers:
         mine = F.col("layer") == name
         aggs.append(F.coalesce(F.sum(F.when(mine, F.col("rows"))), F.lit(0)).alias(f"{name}_rows"))
@@ -206,9 +231,16 @@ def silver_post_load(df: DataFrame, table: str, key: str, required: Sequence[str
 
 def validate_table(
     df: DataFrame, table: str, config: Mapping, parents: Mapping[str, DataFrame] | None = None,
+    slice_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """All configured checks of one table as result rows."""
+    """All configured checks of one table as result rows.
+
+    ``slice_of`` narrows the rows that are checked, for example to a day with
+    ``day_slice``; parents are always whole.
+    """
     parts = []
+    if slice_of is not None:
+        df = slice_of(df)
     expected = config.get("expected_schema", {})
     if expected or config.get("required_columns"):
         parts.append(
@@ -228,15 +260,21 @@ def validate_table(
     return out
 
 
+def day_slice(ts: str, day: date | str | None, partition: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Narrows a table to a day, reading only that day's partition where one is named."""
+    return lambda df: scan_slice(df, ts, day, partition=partition)
+
+
 def validate_layer(
     tables: Mapping[str, DataFrame], configs: Mapping[str, Mapping], parents: Mapping[str, DataFrame] | None = None,
+    slices: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
-    """All checks of a layer's configured tables."""
+    """All checks of a layer's configured tables, of whole tables or of ``slices`` by table."""
     out = None
     for name, df in tables.items():
         if name not in configs:
             continue
-        part = validate_table(df, name, configs[name], parents)
+        part = validate_table(df, name, configs[name], parents, (slices or {}).get(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -249,11 +287,7 @@ LAYER_RULES = {
             "unique_columns": ["event_id"],
             "non_null_columns": ["event_id", "event_type", "event_time"],
             "valid_values": {
-                "event_type": [
-                    "page_view", "product_view", "add_to_cart", "remove_from_cart",
-                    "add_to_wishlist", "search", "filter_apply", "sort_apply", "checkout_start",
-                    "purchase_complete", "user_login", "user_logout",
-                ]
+                "event_type": list(EVENT_TYPES)
             },
             "range_checks": {"event_time": {"min_date": "2024-01-01", "max_date": "2025-12-31"}},
         },

@@ -19,19 +19,20 @@ COMMON = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "snappy",
+    # The default, INT96, has no row-group statistics: times would not be pruned by.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 PRESETS = {
     "local": {
         "spark.sql.shuffle.partitions": "8",
-        # A small file is one scan task; joining it by shuffle brings the other
-        # cores in, which a broadcast would leave idle.
-        "spark.sql.autoBroadcastJoinThreshold": "1MB",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     },
-    "development": {"spark.sql.shuffle.partitions": "10"},
-    "testing": {"spark.sql.shuffle.partitions": "50"},
+    # Development works on samples of real tables: enough partitions to see skew.
+    "development": {"spark.sql.shuffle.partitions": "50"},
+    # Tests run on fixtures of a few rows, where each task costs more than its rows.
+    "testing": {"spark.sql.shuffle.partitions": "10"},
     # AQE coalesces down from the initial number, so start wide: a partition
     # must fit in memory at 100 TB, small jobs shrink on their own.
     "production": {

@@ -38,11 +38,22 @@ def read_events_stream(spark: SparkSession, path: str, fmt: str = "parquet", fil
     return reader.load(path)
 
 
-def scan_slice(df: DataFrame, ts: str, day: date | str | None, also: str | None = None) -> DataFrame:
-    """Rows of one day by ``ts``, or by ``also`` as a second time; all rows for None."""
+def scan_slice(
+    df: DataFrame, ts: str, day: date | str | None, also: str | None = None, partition: str | None = None,
+) -> DataFrame:
+    """Rows of one day by ``ts``, or by ``also`` as a second time; all rows for None.
+
+    ``partition`` is a day column derived from ``ts`` by which the files are
+    laid out: other days' folders are then not read. It says nothing about
+    ``also``, so the two exclude each other.
+    """
     if day is None:
         return df
     keep = C.on_day(ts, day)
     if also is not None:
+        if partition is not None:
+            raise ValueError("a partition by the first time would lose rows of the second")
         keep = keep | C.on_day(also, day)
+    if partition is not None:
+        keep = keep & (F.col(partition) == C.day_lit(day))
     return df.filter(keep)

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 OFFSETS_PER_TRIGGER = {"unbounded": None, "standard": 1000, "bulk": 10000}
 
 
-def kafka_options(servers: str, topic: str, preset: str = "unbounded", starting: str = "latest") -> dict[str, str]:
+# Where a first start begins, and whether offsets that expired stop the stream. `tail`
+# takes what is new and goes on over gaps; `complete` loses nothing silently.
+START = {"complete": ("earliest", True), "tail": ("latest", False)}
+
+
+def kafka_options(servers: str, topic: str, preset: str = "unbounded", start: str = "complete") -> dict[str, str]:
+    starting, fail = START[start]
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": starting,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail).lower(),
     }
     limit = OFFSETS_PER_TRIGGER[preset]
     if limit is not None:
@@ -22,8 +28,8 @@ def kafka_options(servers: str, topic: str, preset: str = "unbounded", starting:
 
 
 def read_kafka(
-    spark: SparkSession, servers: str, topic: str, preset: str = "unbounded", starting: str = "latest",
+    spark: SparkSession, servers: str, topic: str, preset: str = "unbounded", start: str = "complete",
 ) -> DataFrame:
     return spark.readStream.format("kafka").options(
-        **kafka_options(servers, topic, preset, starting)
+        **kafka_options(servers, topic, preset, start)
     ).load()

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,27 +35,18 @@ def stream_append(
     return writer.trigger(**trigger).start(path)
 
 
-@contextmanager
-def _dynamic_overwrite(spark: SparkSession):
-    """Partition overwrite that keeps other partitions; inserts read it from the session only."""
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def overwrite_partition(df: DataFrame, table: str, partition_by: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``, whatever the session's overwrite mode.
+    """Replace only the partitions present in ``df``.
 
-    Rows are rebalanced by partition value first: each value goes to few files,
-    and AQE splits a value that is large.
+    Inserts take the overwrite mode from the session only, where writers that run
+    side by side would race in changing it. So it must be dynamic already, as in
+    every preset of ``session.py``. Rows are rebalanced by partition value first:
+    each value goes to few files, and AQE splits a value that is large.
     """
+    if df.sparkSession.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "dynamic":
+        raise ValueError("set spark.sql.sources.partitionOverwriteMode to dynamic: static would replace all partitions")
     frame = _aligned(df, table).hint("rebalance", *[F.col(c) for c in partition_by])
-    with _dynamic_overwrite(df.sparkSession):
-        frame.write.mode("overwrite").insertInto(table)
+    frame.write.mode("overwrite").insertInto(table)
 
 
 def overwrite_table(df: DataFrame, table: str) -> None:
@@ -105,36 +96,66 @@ def with_day_columns(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def replace_slices_in_table(fresh: DataFrame, table: str, partition_by: str) -> None:
-    """Rewrite the date slices that ``fresh`` covers and nothing else."""
+def _in_slices(table: DataFrame, column: str, slices: DataFrame) -> DataFrame:
+    """Rows of the table whose ``column`` is in ``slices``, NULL included.
+
+    The bounds of the slices go into the filter as literals, so partitions
+    outside them are not listed, let alone read.
+    """
+    low, high, has_null = slices.agg(F.min(column), F.max(column), F.bool_or(F.col(column).isNull())).first()
+    bounds = F.lit(False) if low is None else F.col(column).between(F.lit(low), F.lit(high))
+    if has_null:
+        bounds = bounds | F.col(column).isNull()
+    wanted = slices.select(F.col(column).alias("_slice"))
+    return table.filter(bounds).join(wanted, F.col(column).eqNullSafe(F.col("_slice")), "left_semi")
+
+
+def replace_slices_in_table(fresh: DataFrame, table: str, partition_by: str, dates: DataFrame | None = None) -> None:
+    """Rewrite the slices that ``fresh`` covers; with ``dates``, also drop those of them it leaves empty.
+
+    ``dates`` are the touched slices, in a column named like the partition; as many
+    come to the driver as become empty.
+    """
+    spark = fresh.sparkSession
+    if dates is not None:
+        left = fresh.select(F.col(partition_by).alias("_fresh")).distinct()
+        gone = dates.select(partition_by).distinct().join(left, F.col(partition_by).eqNullSafe(F.col("_fresh")), "left_anti")
+        values = [None if r[0] is None else str(r[0]) for r in gone.collect()]
     overwrite_partition(fresh, table, [partition_by])
+    if dates is not None:
+        for value in values:
+            literal = "null" if value is None else "'" + value.replace("'", "\\'") + "'"
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition_by} = {literal})")
 
 
 def upsert_table(source: DataFrame, table: str, keys: Sequence[str], partition_by: str, order=None) -> None:
     """Upsert into a partitioned table, reading and rewriting only touched slices.
 
     Requires that a key never moves between partitions (an event keeps its event
-    date). The slices are staged before the overwrite, because a table cannot be
-    overwritten while it is read.
+    date). The slices, that of rows without a partition value among them, are
+    staged before the overwrite, because a table cannot be overwritten while it
+    is read. Staging tables have names of their own.
     """
     spark = source.sparkSession
     target = spark.table(table)
-    touched = source.select(partition_by).distinct()
-    slices = target.join(touched, partition_by, "left_semi")
+    slices = _in_slices(target, partition_by, source.select(partition_by).distinct())
     merged = U.upsert(slices, R.select_schema(source, target.schema), keys, order)
-    staging = f"{table}__merge"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    staging = f"{table}__merge_{uuid.uuid4().hex}"
     merged.write.format("parquet").saveAsTable(staging)
-    overwrite_partition(spark.table(staging), table, [partition_by])
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    try:
+        overwrite_partition(spark.table(staging), table, [partition_by])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
 
 
 def file_sizes(df: DataFrame) -> DataFrame:
-    """Path and size of every file behind a scan; reads no data columns."""
-    return df.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-    ).distinct()
+    """Path and size of every file behind a scan, from a listing: no file is opened."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
+    if not folders:
+        return spark.createDataFrame([], "file_path string, file_size long")
+    listed = spark.read.format("binaryFile").load(folders)
+    return listed.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
 
 
 def compact(spark: SparkSession, path: str, out: str, target_bytes: int = 256 * 1024 * 1024, partition_by: Sequence[str] = ()) -> int:

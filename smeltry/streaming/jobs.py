@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
+from smeltry.functions.ladders import MONITOR_DELAY
+from smeltry.operators import rows as R
 from smeltry.sources import sinks
 from smeltry.sources.envelope import parse_marketplace_sales, parse_user_events
+from smeltry.streaming import events as E
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "user_activity_events": parse_user_events,
@@ -62,6 +65,38 @@ def stream_upsert(
     return writer.trigger(**trigger).start()
 
 
+def delay_report_stream(
+    stream: DataFrame, report: Callable[[DataFrame, DataFrame, int], None], folder: str, checkpoint: str,
+    event_ts: str, ingest_ts: str, order: Sequence[Column], by: str = "topic",
+    threshold_hours: float = E.SALES_ALERT_HOURS, last: int = 50, show: int = 5, every: str | None = None,
+) -> StreamingQuery:
+    """After each micro-batch: percentages per ``by`` and label so far, and the newest high delays.
+
+    ``report(totals, recent, batch_id)`` gets the frames of ``E.delay_totals`` and
+    ``E.recent_high_delays`` over all rows read yet. What is carried from batch to
+    batch is bounded: counts per label, and the ``last`` newest rows. It is written
+    to ``folder`` under the batch's number, so a replayed batch gives the same.
+    """
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        delayed = R.with_delay(batch, event_ts, ingest_ts, MONITOR_DELAY)
+        counts = delayed.groupBy(by, "delay_category").agg(F.count(F.lit(1)).alias("messages"))
+        newest = delayed
+        if batch_id > 0:
+            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{folder}/counts/batch-{batch_id - 1}"))
+            newest = newest.unionByName(spark.read.schema(newest.schema).parquet(f"{folder}/newest/batch-{batch_id - 1}"))
+        summed = counts.groupBy(by, "delay_category").agg(F.sum("messages").alias("messages"))
+        summed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/batch-{batch_id}")
+        newest.orderBy(*order).limit(last).write.mode("overwrite").parquet(f"{folder}/newest/batch-{batch_id}")
+        read = lambda name: spark.read.parquet(f"{folder}/{name}/batch-{batch_id}")
+        report(E.delay_totals(read("counts"), by), E.recent_high_delays(read("newest"), order, threshold_hours, last, show), batch_id)
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.trigger(**trigger).start()
+
+
 def observed(df: DataFrame, name: str, *extra: Column) -> tuple[DataFrame, Observation]:
     """The frame with a row counter that fills in as it is consumed, and its handle."""
     handle = Observation(name)

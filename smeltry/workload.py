@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smeltry.operators.history import CUSTOMER_ATTRIBUTES, scd2_apply
-from smeltry.operators.keys import stored
 from smeltry.plans import dims, gold, silver
 
 STAMP = "2024-02-01 00:00:00"
@@ -316,20 +315,6 @@ class Workload:
             self.bronze_sales, customer=F.col("buyer_id"), channel=self.channel, processed=STAMP
         )
 
-    # Layers as stored tables, for queries in which several branches read one.
-
-    @cached_property
-    def stored_silver_sales(self) -> DataFrame:
-        return stored(self.silver_sales)
-
-    @cached_property
-    def stored_silver_events(self) -> DataFrame:
-        return stored(self.silver_events)
-
-    @cached_property
-    def stored_fact_sales(self) -> DataFrame:
-        return stored(self.fact_sales)
-
     @cached_property
     def dim_product(self) -> DataFrame:
         return dims.dim_product(self.bronze_products, PRODUCT_DAY, stamp=STAMP)

@@ -25,9 +25,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, category string, price int").repartition(8), rows
 
 
-def test_row_number_by_range(skewed):
+def test_row_number_in_steps(skewed):
     df, rows = skewed
-    got = {r.id: r.rank for r in K.row_number_by_range(df, ["category"], [F.desc("price"), F.asc("id")], "rank").collect()}
+    got = {r.id: r.rank for r in K.row_number_in_steps(df, ["category"], [F.desc("price"), F.asc("id")], -F.floor(F.col("price") / 10), "rank").collect()}
     want = {}
     for key in {r[1] for r in rows}:
         group = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0]))
@@ -185,3 +185,33 @@ def test_reprocess_equals_full_transform(spark, sf):
     repaired = late.reprocess(w.bronze_sales, before, dates, processed=STAMP)
     whole = silver_sales(w.bronze_sales, processed=STAMP)
     assert repaired.exceptAll(whole).count() == 0 and whole.exceptAll(repaired).count() == 0
+
+
+def test_upsert_inserts_every_row_without_a_key(spark):
+    shape = "k string, v int, t int"
+    target = spark.createDataFrame([("a", 1, 0)], shape)
+    source = spark.createDataFrame([(None, 2, 1), (None, 3, 1), ("a", 4, 1), ("a", 5, 2)], shape)
+    got = sorted((r.k or "", r.v) for r in U.upsert(target, source, ["k"], [F.desc("t")]).collect())
+    assert got == [("", 2), ("", 3), ("a", 5)]
+
+
+def test_replace_slice_of_rows_without_a_date(spark):
+    target = spark.createDataFrame([("a", None), ("b", "x")], "id string, d string")
+    fresh = spark.createDataFrame([("c", None)], "id string, d string")
+    assert sorted(r.id for r in U.replace_slice(target, fresh, "d").collect()) == ["b", "c"]
+
+
+def test_dedupe_compares_maps(spark):
+    rows = [(1, {"a": "2"}), (1, {"a": "1"})]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "k int, m map<string,string>").coalesce(1)
+        assert K.dedupe(df, ["k"]).first().m == {"a": "1"}
+
+
+def test_exact_quantiles_beyond_a_million_rows(spark):
+    df = spark.range(1_300_001).select((F.col("id") * 7919 % 1_300_001).alias("v"), F.lit(1.5).alias("same"))
+    assert tuple(A.exact_quantiles(df, ["v", "same"], accuracy=100).first()) == (325000, 975000, 1.5, 1.5)
+    near = A.quantiles(df, ["v"]).first()
+    assert abs(near.v_q1 - 325000) <= 131 and abs(near.v_q3 - 975000) <= 131
+    nothing = A.exact_quantiles(df.filter("v < 0"), ["v"]).first()
+    assert nothing.v_q1 is None

@@ -1,6 +1,11 @@
 """Plan shapes that must hold at scale."""
 
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
 from smeltry.catalog import all_queries
+from smeltry.operators import aggregates as A
 from smeltry.plans import features
 from smeltry.quality import rules as R
 from smeltry.sources.files import scan_slice
@@ -49,3 +54,27 @@ def test_frequency_and_labels_join_without_another_shuffle(spark, sf, folder):
         assert plan(joined).count("Exchange hashpartitioning") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partition_prunes_a_day(spark, sf, folder):
+    w = Workload(spark, sf)
+    w.bronze_events.drop("metadata").withColumn("event_day", F.to_date("event_time")).write.partitionBy("event_day").parquet(f"{folder}/e")
+    stored = spark.read.parquet(f"{folder}/e")
+    text = plan(scan_slice(stored, "event_time", "2024-01-15", partition="event_day"))
+    part = text[text.index("PartitionFilters"):]
+    assert "event_day" in part[: part.index("]")]
+    one = scan_slice(stored, "event_time", "2024-01-15", partition="event_day")
+    assert one.count() == scan_slice(stored, "event_time", "2024-01-15").count() > 0
+
+
+def test_correlations_multiply_no_rows(spark, sf):
+    text = plan(A.correlations(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_quantity", "l_tax", "l_discount"]))
+    assert text.index("Generate") < text.index("HashAggregate")  # above the aggregate, over its one row
+
+
+def test_building_queries_writes_nothing(spark, sf):
+    home = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(home.rglob("*"))
+    for name in ("feature_table", "price_rank_in_category", "hybrid_rollup", "validate_gold_layer", "cross_layer_reconciliation", "metrics_validation"):
+        all_queries()[name](spark, sf)
+    assert set(home.rglob("*")) == before

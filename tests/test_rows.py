@@ -118,7 +118,9 @@ def test_envelope(spark):
 def test_kafka_options():
     o = kafka.kafka_options("b:9092", "marketplace_sales", "standard")
     assert o["subscribe"] == "marketplace_sales" and o["maxOffsetsPerTrigger"] == "1000"
-    assert o["failOnDataLoss"] == "false" and o["startingOffsets"] == "latest"
+    assert o["failOnDataLoss"] == "true" and o["startingOffsets"] == "earliest"
+    tail = kafka.kafka_options("b:9092", "t", start="tail")
+    assert tail["failOnDataLoss"] == "false" and tail["startingOffsets"] == "latest"
     assert "maxOffsetsPerTrigger" not in kafka.kafka_options("b:9092", "t")
 
 

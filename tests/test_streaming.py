@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from smeltry import schemas as S
 from smeltry.functions.ladders import MONITOR_DELAY
+from smeltry.operators import rows as R
 from smeltry.sources.envelope import parse_user_events
 from smeltry.sources.files import read_events_stream
 from smeltry.streaming import events as E
@@ -148,3 +149,20 @@ def test_metrics(spark, folder):
         spark.streams.removeListener(listener)
     seen = listener.batches[str(q.id)]
     assert 1 <= len(seen) <= 2 and all(b["records_processed"] >= 0 for b in seen)
+
+
+def test_delay_report_of_micro_batches_equals_batch(spark, sf, folder):
+    df = Workload(spark, sf).bronze_sales.select("transaction_id", "product_id", "transaction_time", "ingestion_time", F.lit("sales").alias("topic"))
+    order = [F.col("ingestion_time").desc(), F.col("transaction_id"), F.col("product_id"), F.col("transaction_time")]
+    stream = file_stream(df, f"{folder}/in", 4, "ingestion_time")
+    seen = []
+    q = jobs.delay_report_stream(
+        stream, lambda totals, recent, n: seen.append((n, rows(totals), list(map(str, recent.collect())))),
+        f"{folder}/state", f"{folder}/cp", "transaction_time", "ingestion_time", order,
+    )
+    q.awaitTermination()
+    delayed = R.with_delay(df, "transaction_time", "ingestion_time", MONITOR_DELAY)
+    totals = E.delay_totals(delayed.groupBy("topic", "delay_category").agg(F.count(F.lit(1)).alias("messages")))
+    assert len(seen) >= 3
+    assert seen[-1][1] == rows(totals)
+    assert seen[-1][2] == list(map(str, E.recent_high_delays(delayed, order).collect()))
