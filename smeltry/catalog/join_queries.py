@@ -1,6 +1,5 @@
 """Joins."""
 
-from pyspark.sql import functions as F
 
 from smeltry.catalog.registry import query
 from smeltry.catalog.tables import ATTRS, big, day, dbl, each, ts
