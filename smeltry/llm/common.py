@@ -3,14 +3,37 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this library to the Python workers, once for each application, unless they find it anyway."""
+    app = spark.sparkContext.applicationId
+    here = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [Path.cwd()]
+    if app in _shipped or _ROOT in here:
+        return
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "smeltry.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((_ROOT / "smeltry").rglob("*.py")):
+            z.write(p, p.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Every query reads one first, so the workers get the library here."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

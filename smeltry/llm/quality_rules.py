@@ -32,19 +32,18 @@ CUTS, MAX_CONDITIONS, MAX_RULES = 64, 4, 16
 #: Least smoothed purity of a rule on the rows that prune it.
 PURITY = 0.8
 
-_WORDS = F.greatest(F.col("n_words"), F.lit(1))
-#: What rules may test, as expressions over the statistics.
-FEATURES: dict[str, Column] = {
-    "n_words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / _WORDS,
-    "symbol_share": F.col("n_symbols") / _WORDS,
-    "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / _WORDS,
-    "upper_share": F.col("n_upper") / _WORDS,
-    "digit_share": F.col("n_digits") / _WORDS,
-    "mark_share": F.col("n_marks") / _WORDS,
-    "distinct_share": F.col("n_distinct") / _WORDS,
-    "longest_word": F.col("longest_word").cast("double"),
+#: What rules may test, as SQL expressions over the statistics.
+FEATURES: dict[str, str] = {
+    "n_words": "cast(n_words as double)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "upper_share": "n_upper / greatest(n_words, 1)",
+    "digit_share": "n_digits / greatest(n_words, 1)",
+    "mark_share": "n_marks / greatest(n_words, 1)",
+    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "longest_word": "cast(longest_word as double)",
 }
 
 
@@ -59,7 +58,7 @@ class Condition:
         return v > self.threshold if self.above else v <= self.threshold
 
     def column(self) -> Column:
-        v = FEATURES[self.feature]
+        v = F.expr(FEATURES[self.feature])
         return v > self.threshold if self.above else v <= self.threshold
 
     def __str__(self) -> str:
@@ -136,7 +135,7 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[R
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> list[Rule]:
     """Rules for rows whose mean label is under one half."""
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.avg(label).alias("mean"))
-    chosen = stats.join(known, F.col(key) == F.col("key")).select(F.xxhash64("key").alias("h"), F.col("mean"), *[e.alias(n) for n, e in FEATURES.items()])
+    chosen = stats.join(known, F.col(key) == F.col("key")).select(F.xxhash64("key").alias("h"), F.col("mean"), *[F.expr(e).alias(n) for n, e in FEATURES.items()])
     rows = chosen.orderBy("h", *FEATURES).limit(MAX_LABELLED).toPandas()
     if rows.empty:
         return []
