@@ -47,7 +47,7 @@ def leaves(rows: DataFrame, dims: list[str], target_bytes: int, size: str = "siz
     total = bounds[0] or 0
     levels = max(0, math.ceil(math.log2(total / target_bytes))) if total else 0
     spans = {d: max(1, bounds[2 + 2 * k] - bounds[1 + 2 * k]) for k, d in enumerate(dims)} if total else {}
-    out = rows.withColumn("leaf", F.lit(0))
+    out = rows.withColumn("leaf", F.pmod(F.col(tie), F.lit(1)).cast("int"))  # 0, but no constant: joins stay joins by key
     for _ in range(levels):
         nodes = out.groupBy("leaf").agg(F.sum(size).alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         plan = []
