@@ -10,9 +10,10 @@ from the band's size. Empty segments say nothing; a slack of E makes up for a se
 empty ones, and only sets with more of them index those too. No link is lost.
 
 Equal sets are one. Within the sets of a signature only links to its first set are
-tried, then components are formed, and only pairs of different components are compared
-again, by parity sketches first, whose differing bits never exceed the differing
-shingles. All links are verified exactly by the shingles, as 64-bit hashes.
+tried, then components are formed; a few times the sets of other components are tried
+with one set of one component. What is then still apart is compared pair by pair, by parity
+sketches first, whose differing bits never exceed the differing shingles. All links
+are verified exactly by the shingles, as 64-bit hashes.
 
 Words are split at ASCII white space with A-Z lower-cased; fewer than five words make
 one shingle; null texts and texts without words have no shingle and no link. Each row
@@ -25,16 +26,14 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from smeltry.llm.common import table, written
 from smeltry.llm.components import components
-from smeltry.llm.piece_bpe import Chunks
 from smeltry.llm.sentence_pieces import _slices
-from smeltry.llm.text_stats import word_hash
+from smeltry.llm.word_hashes import mixed, word_hashes
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -45,6 +44,8 @@ RATIO = 1.25
 COMMON = 0.05
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
+#: Rounds in which components are joined by single sets before pairs are compared.
+STARS = 3
 #: Members of a signature compared in one block.
 BLOCK = 1024
 #: Sets that a task remembers to have indexed already.
@@ -52,21 +53,12 @@ SEEN = 1_000_000
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
-def mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    """A bijective 64-bit mix."""
-    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, known: Chunks) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
+    h = word_hashes((text or "").encode().lower())
+    n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     if n < WORDS:
         return mixed((h * _POWERS[:n]).sum(dtype=np.uint64, keepdims=True), n)
     rows = n - WORDS + 1
@@ -81,8 +73,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit; at least as many bits as shingles."""
-    bits = 1 << max(6, (len(s) - 1).bit_length())
+    """Parity of the shingles that fall on each bit; at least four bits a shingle."""
+    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
     odd = np.bincount((mixed(s, 11) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -189,12 +181,8 @@ def _batches(df: DataFrame, key: str, text: str, row, schema: str, names: list[s
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches):
-        known = Chunks(word_hash)
         for part in _slices(batches):
-            rows = []
-            for x in part.column("text").to_pylist():
-                rows.append(row(shingles(x, known)))
-                known.keep_small()
+            rows = [row(shingles(x)) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(c) for c in zip(*rows, strict=True)]], ["key", *names])
 
     return source.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
@@ -211,16 +199,19 @@ def indexed(docs: DataFrame, plan: dict[int, tuple[int, int]], text: str = "text
     source = docs.select(F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        known, seen = Chunks(word_hash), set()
+        seen, texts = set(), set()
         for part in _slices(batches):
             sigs, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x in part.column("text").to_pylist():
-                s = shingles(x, known)
-                known.keep_small()
-                if not len(s) or (i := set_id(s)) in seen:
+                if not x or (t := hash(x)) in texts:  # inside one process only
                     continue
-                if len(seen) >= SEEN:
+                s = shingles(x)
+                if len(texts) >= SEEN:
+                    texts.clear()
                     seen.clear()
+                texts.add(t)
+                if not len(s) or (i := set_id(s)) in seen:
+                    continue
                 seen.add(i)
                 for j in schemes(len(s)):
                     sigs.append(signatures(s, j, *plan[j]))
@@ -246,8 +237,7 @@ def _could_link(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link, by their shingles. Only the sets in pairs are read."""
-    pairs = written(_could_link(pairs, facts))
+    """The pairs (a, b) that link, by their shingles. Only the sets in pairs are read. pairs is read often: written."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(facts.select("set_id", F.col("doc_id").alias("rep")), "set_id"))
     few = ids.count() <= BROADCAST_SETS
     rows = docs.select(F.col(key).alias("own_rep"), F.col(text).alias("text"))
@@ -260,46 +250,106 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, key: str, text
     return pairs.join(of("a"), "a").join(of("b"), "b").where(shared * 100 >= union * PERCENT).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
+def _grouped(members: DataFrame) -> DataFrame:
+    """(sig, set_id) of signatures of three sets or more; of those with the same sets one stays."""
+    rows = members.select("sig", "set_id").union(members.select("sig", F.col("center"))).distinct()
+    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
+    one = groups.where("n > 2").groupBy("n", "h", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(one, "sig")
+
+
+def _labelled(groups: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
+    """(sig, set_id, label) of the signatures whose sets are in more than one component, and one of these sets.
+
+    Each turn takes a set of another component.
+    """
+    rows = groups.join(labels, F.col("set_id") == F.col("id"), "left").select("sig", "set_id", F.coalesce("label", "set_id").alias("label"))
+    order = F.xxhash64("label", F.lit(turn))
+    open_ = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct(order.alias("order"), "label", "set_id")).alias("top")).where("l0 <> l1")
+    return rows.join(open_.select("sig", "n", "top"), "sig")
+
+
+def _cross_pairs(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs of sets under one signature that lie in different components and may link.
 
-    Groups with the same members are compared once. A group of any size is compared
-    block by block, each pair of blocks a task of its own, and only pairs that pass
-    the sketches leave it.
+    A group of any size is compared block by block, each pair of blocks a task of its
+    own, and only pairs that pass the sketches leave it.
     """
-    rows = members.join(labels, F.col("set_id") == F.col("id"), "left").select("sig", "set_id", F.coalesce("label", "set_id").alias("label")).distinct()
-    groups = rows.groupBy("sig").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1")
-    )
-    mixed_groups = groups.where("l0 <> l1").groupBy("n", "h", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(mixed_groups, "sig").join(facts.select("set_id", "n_shingles", "sketch"), "set_id")
+    placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).join(facts.select("set_id", "n_shingles", "sketch"), "set_id")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("own", own).withColumn("other", other).select(
         "sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "set_id", "label", "n_shingles", "sketch"
     )
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, p, q = key
-        rows_ = sorted(zip(pdf["n_shingles"], pdf["set_id"], pdf["label"], pdf["sketch"], pdf["own"], strict=True), key=lambda r: r[:2])
+    def run(batches):
+        held: list[tuple] = []
+        group = None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if r[:3] != group:
+                    out += compared(held, group)
+                    held, group = [], r[:3]
+                held.append(r[3:])
+            yield _pairs(out)
+        yield _pairs(compared(held, group))
+
+    def _pairs(out):
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cells.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+#: Members of a block from which on all of them are compared by arrays.
+MANY = 48
+
+
+def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int]]:
+    """Pairs of a cell's rows (block, set_id, label, n, sketch) that may link, of different components.
+
+    A cell of two blocks has the pairs between them, a cell of one block those within.
+    """
+    if len(rows) < 2 or cell is None:
+        return []
+    rows.sort(key=lambda r: (r[3], r[1]))
+    within = cell[1] == cell[2]
+    if len(rows) < MANY:
         out = []
-        for i, (n, a, la, sa, pa_) in enumerate(rows_):
-            for m, b, lb, sb, pb in rows_[i + 1 :]:
+        for i, (own, a, label, n, s) in enumerate(rows):
+            for other, b, label_b, m, t in rows[i + 1 :]:
                 if m * PERCENT > n * 100:
                     break
-                if la != lb and (p == q or pa_ != pb) and least_difference(sa, sb) <= most_difference(n + m):
+                if label != label_b and (within or own != other) and least_difference(s, t) <= most_difference(n + m):
                     out.append((min(a, b), max(a, b)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return cells.groupBy("sig", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+        return out
+    block, ids, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+    bits = folded([r[4] for r in rows])
+    last = np.searchsorted(n, n * 100 // PERCENT, side="right")
+    found = []
+    for i in range(len(n)):
+        k = np.arange(i + 1, last[i])
+        k = k[(label[k] != label[i]) & ((block[k] != block[i]) | within)]
+        if len(k):
+            apart = np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            total = n[k] + n[i]
+            k = k[apart <= total - 2 * -(-PERCENT * total // (100 + PERCENT))]
+            found += zip(np.minimum(ids[k], ids[i]).tolist(), np.maximum(ids[k], ids[i]).tolist(), strict=True)
+    return found
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest."""
+    size = min(map(len, sketches))
+    out = np.zeros((len(sketches), size // 8), np.uint64)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): every row's key, n_shingles and set_id; links (a, b) between set ids.
-
-    The links connect all sets that any chain of links connects; links inside a
-    component that are not needed for that aren't listed.
-    """
+    """(sets, labels): every row's key, n_shingles and set_id; the component of each linked set (id, label)."""
     sets = written(shingle_sets(docs, key, text).withColumnRenamed(key, "doc_id"))
     facts = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
     step = F.floor(F.log(F.col("n_shingles")) / math.log(RATIO)).cast("int")
@@ -308,19 +358,30 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     plan = {j: allocation(j, counts.get(math.floor(math.log(bands()[j][1]) / math.log(RATIO)), 0)) for j in range(band_of(top) + 1)}
     first = F.first("set_id").over(Window.partitionBy("sig").orderBy("set_id"))
     members = written(indexed(docs, plan, text).withColumn("center", first).where("center <> set_id"))
-    stars = members.select(F.col("center").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = written(verified(stars, facts, docs, key, text))
+    stars = members.select(F.least("center", "set_id").alias("a"), F.greatest("center", "set_id").alias("b")).distinct()
+    tested = written(_could_link(stars, facts))
+    links = written(verified(tested, facts, docs, key, text))
     labels = components(links)
-    more = written(_cross_pairs(members, labels, facts))
+    groups = written(_grouped(members))
+    for turn in range(STARS):
+        # the sets of other components are tried with one set of one component
+        rows = _labelled(groups, labels, turn).where("label <> top.label")
+        stars = rows.select(F.least("set_id", "top.set_id").alias("a"), F.greatest("set_id", "top.set_id").alias("b")).distinct()
+        new = written(_could_link(stars, facts).join(tested, ["a", "b"], "left_anti"))
+        found = written(verified(new, facts, docs, key, text))
+        if not found.limit(1).count():
+            break
+        tested, links = tested.union(new), links.union(found)
+        labels = components(links)
+    more = written(_cross_pairs(groups, labels, facts).join(tested, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = written(links.union(verified(more, facts, docs, key, text)))
-    return sets.drop("sketch"), links
+        labels = components(links.union(written(verified(more, facts, docs, key, text))))
+    return sets.drop("sketch"), labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable by links) of every row."""
-    sets, links = joined(docs, key, text)
-    labels = components(links)
+    sets, labels = joined(docs, key, text)
     least = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     known = least.join(labels, F.col("set_id") == F.col("id"), "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
     smallest = known.groupBy("label").agg(F.min("least").alias("component_id"))

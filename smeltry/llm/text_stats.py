@@ -6,7 +6,6 @@ a text without words: every statistic is 0.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -14,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from smeltry.llm.piece_bpe import Chunks
 from smeltry.llm.sentence_pieces import _slices
+from smeltry.llm.word_hashes import word_hashes
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\v\f\r"
@@ -25,10 +24,6 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _MIX = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 1)], np.uint64)
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
 def repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
     """Words inside windows that occur twice or more, the first occurrence included."""
     n = len(words) - WINDOW + 1
@@ -50,10 +45,10 @@ def repeated_words(words: list[bytes], hashes: np.ndarray) -> int:
     return int((np.cumsum(inside)[:-1] > 0).sum())
 
 
-def stats_of(text: str | None, known: Chunks) -> list[int]:
+def stats_of(text: str | None) -> list[int]:
     text = text or ""
-    words = text.encode().split()
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    data = text.encode()
+    words, hashes = data.split(), word_hashes(data)
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
     return [
         len(words),
@@ -77,12 +72,8 @@ def text_stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches):
-        known = Chunks(word_hash)
         for part in _slices(batches):
-            rows = []
-            for x in part.column("text").to_pylist():
-                rows.append(stats_of(x, known))
-                known.keep_small()
+            rows = [stats_of(x) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], ["key", *STATS])
 
     return source.mapInArrow(run, f"key {kind}, " + ", ".join(f"{s} long" for s in STATS)).withColumnRenamed("key", key)
@@ -93,12 +84,8 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     source = df.select(F.struct(*df.columns).alias("row"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
-        known = Chunks(word_hash)
         for part in _slices(batches):
-            rows = []
-            for x in part.column("text").to_pylist():
-                rows.append(stats_of(x, known))
-                known.keep_small()
+            rows = [stats_of(x) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("row"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], ["row", *STATS])
 
     kind = source.schema["row"].dataType.simpleString()
