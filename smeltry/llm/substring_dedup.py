@@ -9,8 +9,9 @@ and each part is a subtree, built by sorting its suffixes and comparing neighbou
   six-word piece of smallest hash in it; equal windows have equal anchors. Only
   anchors that occur in more than one text go on.
 * A group is one anchor with the windows around it: for each place of the anchor in
-  the window the suffixes that begin there. An anchor with more than `MANY` places is
-  split by a longer prefix, the whole window, and then read as a stream.
+  the window the suffixes that begin there. An anchor of more than `MANY` texts is
+  split by a longer prefix, the whole window, and then read as a stream. Words that a
+  text repeats are one row, with all their places.
 * In each subtree a node of full depth has the smallest document of its suffixes;
   windows of larger documents are removed. Overlapping windows join into one span, so
   a repeat of any length is removed as a whole.
@@ -31,17 +32,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from smeltry.llm.common import table, written
-from smeltry.llm.jaccard_join import mixed
-from smeltry.llm.piece_bpe import Chunks
 from smeltry.llm.sentence_pieces import _slices
-from smeltry.llm.text_stats import word_hash
+from smeltry.llm.word_hashes import mixed, word_hashes
 
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 6
 #: Places in a window at which its anchor can be.
 PLACES = WINDOW - ANCHOR + 1
-#: Rows of an anchor beyond which its suffixes are split by the whole window.
+#: Texts of an anchor beyond which its suffixes are split by the whole window.
 MANY = 50_000
 #: Suffixes sorted at once: a subtree, or several small ones.
 AT_ONCE = 100_000
@@ -50,10 +49,6 @@ SEEN = 1_000_000
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def _hashes(words: list[bytes], known: Chunks) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def _sums(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     total = h[:n] * _POWERS[0]
@@ -83,56 +78,57 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _source(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
     t = F.col(text).cast("string")
-    return docs.select(*[F.struct(*docs.columns).alias("row")] * carry, F.col(key).cast("long").alias("key"), t.alias("text"), F.xxhash64(t).alias("text_id"), F.length(t).alias("n_chars"))
+    rest = F.struct(*[c for c in docs.columns if c != text])
+    return docs.select(*[rest.alias("row")] * carry, F.col(key).cast("long").alias("key"), t.alias("text"), F.xxhash64(t).alias("text_id"), F.length(t).alias("n_chars"))
 
 
 def _anchor_rows(source: DataFrame) -> DataFrame:
-    """(anchor, text_id, at) of every text, once for each task that meets it."""
+    """(anchor, text_id): the distinct anchors of every text, once for each task that meets it."""
 
     def run(batches):
-        known, seen = Chunks(word_hash), set()
+        seen: set[int] = set()
         for part in _slices(batches):
-            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(2)]
             for t, i in zip(part.column("text").to_pylist(), part.column("text_id").to_pylist(), strict=True):
                 if not t or i in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(i)
-                anchor, at, _, _ = anchors(_hashes(t.encode().split(), known))
-                known.keep_small()
-                for column, x in zip(out, (anchor.view(np.int64), np.full(len(at), i), at), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "text_id", "at"])
+                anchor = np.unique(anchors(word_hashes(t.encode()))[0]).view(np.int64)
+                out[0].append(anchor)
+                out[1].append(np.full(len(anchor), i))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["anchor", "text_id"])
 
-    return source.where("key is not null").select("text", "text_id").mapInArrow(run, "anchor long, text_id long, at long")
+    return source.where("key is not null").select("text", "text_id").mapInArrow(run, "anchor long, text_id long")
 
 
 def _suffixes(flagged: DataFrame) -> DataFrame:
-    """Rows (prefix, key, text_id, first, back, n, words): the windows around the anchors in `places`.
+    """Rows (prefix, key, text_id, firsts, back, n, words): the windows around the anchors in `shared`.
 
-    first: the first window; back: words from it to the anchor; n: windows; words:
-    hashes of the n + 12 words. A deep place gives a row for each window.
+    firsts: the first window, at every place of the text where the row's words stand;
+    back: words from it to the anchor; n: windows; words: hashes of the n + 12 words. A
+    deep anchor gives a row for each window.
     """
 
     def run(batches):
-        known = Chunks(word_hash)
         for part in _slices(batches):
             rows: list[tuple] = []
-            columns = [part.column(c).to_pylist() for c in ("key", "text_id", "text", "places", "deep")]
-            for key, i, t, places, deep in zip(*columns, strict=True):
-                h = _hashes(t.encode().split(), known)
-                known.keep_small()
+            columns = [part.column(c).to_pylist() for c in ("key", "text_id", "text", "shared", "deep")]
+            for key, i, t, shared, deep in zip(*columns, strict=True):
+                h = word_hashes(t.encode())
                 anchor, at, first, last = anchors(h)
-                here = np.flatnonzero(np.isin(at, np.asarray(places, np.int64)))
-                whole = set(deep)
+                anchor, whole = anchor.view(np.int64), set(deep)
                 window = mixed(_sums(h, WINDOW), 19).view(np.int64) if whole else None
-                for k in here:
-                    f, b, p = int(first[k]), int(last[k]), int(at[k])
-                    if p in whole:
-                        rows += [(int(window[s]), key, i, s, -1, 1, h[s : s + WINDOW].tobytes()) for s in range(f, b + 1)]
+                found: dict[tuple, list[int]] = {}
+                for k in np.flatnonzero(np.isin(anchor, np.asarray(shared, np.int64))).tolist():
+                    f, b, p, prefix = int(first[k]), int(last[k]), int(at[k]), int(anchor[k])
+                    if prefix in whole:
+                        for s in range(f, b + 1):
+                            found.setdefault((int(window[s]), -1, 1, h[s : s + WINDOW].tobytes()), []).append(s)
                     else:
-                        rows.append((int(anchor[k : k + 1].view(np.int64)[0]), key, i, f, p - f, b - f + 1, h[f : b + WINDOW].tobytes()))
+                        found.setdefault((prefix, p - f, b - f + 1, h[f : b + WINDOW].tobytes()), []).append(f)
+                rows += [(prefix, key, i, firsts, back, n, words) for (prefix, back, n, words), firsts in found.items()]
                 if len(rows) > 5000:
                     yield _batch(rows)
                     rows = []
@@ -140,9 +136,10 @@ def _suffixes(flagged: DataFrame) -> DataFrame:
 
     def _batch(rows):
         columns = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 6, pa.binary()], strict=True)], ["prefix", "key", "text_id", "first", "back", "n", "words"])
+        types = [*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.int64()] * 2, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["prefix", "key", "text_id", "firsts", "back", "n", "words"])
 
-    return flagged.mapInArrow(run, "prefix long, key long, text_id long, first long, back long, n long, words binary")
+    return flagged.mapInArrow(run, "prefix long, key long, text_id long, firsts array<long>, back long, n long, words binary")
 
 
 def subtree(prefix: np.ndarray, key: np.ndarray, back: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -166,7 +163,7 @@ def subtree(prefix: np.ndarray, key: np.ndarray, back: np.ndarray, n: np.ndarray
 
 
 def _repeats(suffixes: DataFrame) -> DataFrame:
-    """(text_id, first, mask): windows that an earlier document has too."""
+    """(text_id, firsts, mask): windows that an earlier document has too."""
 
     def flush(rows):
         columns = [np.array([r[k] for r in rows], np.int64) for k in (0, 1, 4, 5)]
@@ -174,7 +171,7 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
 
     def result(rows, mask):
         hit = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in hit], pa.int64()), pa.array([rows[k][3] for k in hit], pa.int64()), pa.array(mask[hit], pa.int64())], ["text_id", "first", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][2] for k in hit], pa.int64()), pa.array([rows[k][3] for k in hit], pa.list_(pa.int64())), pa.array(mask[hit], pa.int64())], ["text_id", "firsts", "mask"])
 
     def run(batches):
         held: list[tuple] = []
@@ -198,7 +195,7 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
         if held:
             yield result(held, flush(held))
 
-    return suffixes.repartition("prefix").sortWithinPartitions("prefix", "back", "words", "key").mapInArrow(run, "text_id long, first long, mask long")
+    return suffixes.repartition("prefix").sortWithinPartitions("prefix", "back", "words", "key").mapInArrow(run, "text_id long, firsts array<long>, mask long")
 
 
 def covered(n_words: int, windows: list[int]) -> np.ndarray:
@@ -211,18 +208,18 @@ def covered(n_words: int, windows: list[int]) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
-    """key, text, and the windows to remove: `starts` (first, mask), or all of them where `copy`; `row` if carried."""
+    """key, text, and the windows to remove: `starts` (firsts, mask), or all of them where `copy`; the other columns as `row` if carried."""
     source = _source(docs, key, text)
     by_anchor = Window.partitionBy("anchor")
-    places = _anchor_rows(source).withColumns({"lo": F.min("text_id").over(by_anchor), "hi": F.max("text_id").over(by_anchor), "many": F.count(F.lit(1)).over(by_anchor) > MANY})
-    flags = places.where("lo <> hi").groupBy("text_id").agg(
-        F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("many"), F.col("at"))).alias("deep")
+    known = _anchor_rows(source).withColumns({"lo": F.min("text_id").over(by_anchor), "hi": F.max("text_id").over(by_anchor), "many": F.count(F.lit(1)).over(by_anchor) > MANY})
+    flags = known.where("lo <> hi").groupBy("text_id").agg(
+        F.collect_set("anchor").alias("shared"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("deep")
     )
     least = source.where("key is not null").groupBy("text_id", "n_chars").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("rows"))
-    facts = written(least.join(flags, "text_id", "left").where("rows > 1 or places is not null"))
-    flagged = source.join(facts.where("places is not null"), ["text_id", "n_chars"]).where(F.col("key") == F.col("least"))
-    found = _repeats(_suffixes(flagged.select("key", "text_id", "text", "places", "deep")))
-    starts = found.groupBy("text_id").agg(F.collect_set(F.struct("first", "mask")).alias("starts"))
+    facts = written(least.join(flags, "text_id", "left").where("rows > 1 or shared is not null"))
+    flagged = source.join(facts.where("shared is not null"), ["text_id", "n_chars"]).where(F.col("key") == F.col("least"))
+    found = _repeats(_suffixes(flagged.select("key", "text_id", "text", "shared", "deep")))
+    starts = found.groupBy("text_id").agg(F.collect_set(F.struct("firsts", "mask")).alias("starts"))
     marks = facts.select("text_id", "n_chars", "least").join(starts, "text_id", "left")
     out = _source(docs, key, text, carry).join(marks, ["text_id", "n_chars"], "left")
     return out.select(*["row"] * carry, "key", "text", "starts", F.coalesce(F.col("key") > F.col("least"), F.lit(False)).alias("copy"))
@@ -234,7 +231,7 @@ def removed_words(t: str | None, starts: list[dict] | None, copy: bool) -> tuple
     n = len(words) - WINDOW + 1
     if copy:
         return words, np.full(len(words), n > 0)
-    windows = [s["first"] + k for s in starts or () for k in range(PLACES) if s["mask"] >> k & 1]
+    windows = [f + k for s in starts or () for k in range(PLACES) if s["mask"] >> k & 1 for f in s["firsts"]]
     return words, covered(len(words), windows)
 
 
