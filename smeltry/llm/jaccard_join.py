@@ -45,7 +45,7 @@ COMMON = 0.05
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
 #: Rounds in which components are joined by single sets before pairs are compared.
-STARS = 3
+STARS = 2
 #: Members of a signature compared in one block.
 BLOCK = 1024
 #: Sets that a task remembers to have indexed already.
@@ -73,8 +73,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit; at least four bits a shingle."""
-    bits = 1 << max(6, (4 * len(s) - 1).bit_length())
+    """Parity of the shingles that fall on each bit; at least two bits a shingle."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
     odd = np.bincount((mixed(s, 11) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -152,12 +152,12 @@ def schemes(n: int) -> list[int]:
     return [j for j in range(band_of(-(-n * PERCENT // 100)), band_of(n) + 1) if band_limit(j) > 0]
 
 
-def signatures(s: np.ndarray, j: int, x: int, y: int) -> np.ndarray:
-    """Signatures of a set under band j."""
-    segment = (mixed(s, 3) >> np.uint64(33)).astype(np.int64) % (x + y)
-    content = mixed(s, 5)
-    order = np.argsort(segment, kind="stable")
-    segment, content = segment[order], content[order]
+def signatures(place: np.ndarray, content: np.ndarray, j: int, x: int, y: int) -> np.ndarray:
+    """Signatures of a set under band j, from two mixes of its shingles."""
+    segment = place % np.uint32(x + y)
+    # sixteen bits are sorted by radix
+    order = np.argsort(segment.astype(np.uint16) if x + y < 1 << 16 else segment, kind="stable")
+    segment, content = segment[order].astype(np.int64), content[order]
     first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
     which, size = segment[first], np.diff(np.append(first, len(segment)))
     total = np.add.reduceat(content, first)
@@ -213,19 +213,24 @@ def indexed(docs: DataFrame, plan: dict[int, tuple[int, int]], text: str = "text
                 if not len(s) or (i := set_id(s)) in seen:
                     continue
                 seen.add(i)
+                place, content = (mixed(s, 3) >> np.uint64(33)).astype(np.uint32), mixed(s, 5)
                 for j in schemes(len(s)):
-                    sigs.append(signatures(s, j, *plan[j]))
+                    sigs.append(signatures(place, content, j, *plan[j]))
                     ids.append(np.full(len(sigs[-1]), i))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "set_id"])
 
     return source.mapInArrow(run, "sig long, set_id long")
 
 
+def _sizes_allow(n: Column, m: Column) -> Column:
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
+
+
 def _could_link(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that sizes and sketches don't rule out. facts: set_id, n, sketch."""
     of = lambda s: facts.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    both = both.where((F.col("n_a") * 100 >= F.col("n_b") * PERCENT) & (F.col("n_b") * 100 >= F.col("n_a") * PERCENT))
+    both = both.where(_sizes_allow(F.col("n_a"), F.col("n_b")))
 
     def run(batches):
         for part in batches:
@@ -250,22 +255,22 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, key: str, text
     return pairs.join(of("a"), "a").join(of("b"), "b").where(shared * 100 >= union * PERCENT).select("a", "b")
 
 
-def _grouped(members: DataFrame) -> DataFrame:
-    """(sig, set_id) of signatures of three sets or more; of those with the same sets one stays."""
+def _grouped(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(sig, set_id, n_shingles) of signatures of three sets or more; of those with the same sets one stays."""
     rows = members.select("sig", "set_id").union(members.select("sig", F.col("center"))).distinct()
     groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("h"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi"))
     one = groups.where("n > 2").groupBy("n", "h", "lo", "hi").agg(F.min("sig").alias("sig")).select("sig")
-    return rows.join(one, "sig")
+    return rows.join(one, "sig").join(facts.select("set_id", "n_shingles"), "set_id")
 
 
 def _labelled(groups: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
-    """(sig, set_id, label) of the signatures whose sets are in more than one component, and one of these sets.
+    """(sig, set_id, n_shingles, label) of the signatures whose sets are in more than one component, and one of these sets.
 
     Each turn takes a set of another component.
     """
-    rows = groups.join(labels, F.col("set_id") == F.col("id"), "left").select("sig", "set_id", F.coalesce("label", "set_id").alias("label"))
+    rows = groups.join(labels, F.col("set_id") == F.col("id"), "left").select("sig", "set_id", "n_shingles", F.coalesce("label", "set_id").alias("label"))
     order = F.xxhash64("label", F.lit(turn))
-    open_ = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct(order.alias("order"), "label", "set_id")).alias("top")).where("l0 <> l1")
+    open_ = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.max(F.struct(order.alias("order"), "label", "set_id", "n_shingles")).alias("top")).where("l0 <> l1")
     return rows.join(open_.select("sig", "n", "top"), "sig")
 
 
@@ -275,7 +280,7 @@ def _cross_pairs(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> Data
     A group of any size is compared block by block, each pair of blocks a task of its
     own, and only pairs that pass the sketches leave it.
     """
-    placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).join(facts.select("set_id", "n_shingles", "sketch"), "set_id")
+    placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n_shingles").join(facts.select("set_id", "sketch"), "set_id")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("own", own).withColumn("other", other).select(
@@ -326,15 +331,20 @@ def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int]]:
         return out
     block, ids, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
     bits = folded([r[4] for r in rows])
+    coarse = bits
+    for _ in range(2):  # a quarter of the bits rules most pairs out
+        if coarse.shape[1] > 1:
+            coarse = coarse[:, : coarse.shape[1] // 2] ^ coarse[:, coarse.shape[1] // 2 :]
     last = np.searchsorted(n, n * 100 // PERCENT, side="right")
     found = []
     for i in range(len(n)):
         k = np.arange(i + 1, last[i])
         k = k[(label[k] != label[i]) & ((block[k] != block[i]) | within)]
-        if len(k):
-            apart = np.bitwise_count(bits[k] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for some in (coarse, bits):
+            apart = np.bitwise_count(some[k] ^ some[i]).sum(axis=1, dtype=np.int64)
             total = n[k] + n[i]
             k = k[apart <= total - 2 * -(-PERCENT * total // (100 + PERCENT))]
+        if len(k):
             found += zip(np.minimum(ids[k], ids[i]).tolist(), np.maximum(ids[k], ids[i]).tolist(), strict=True)
     return found
 
@@ -362,10 +372,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     tested = written(_could_link(stars, facts))
     links = written(verified(tested, facts, docs, key, text))
     labels = components(links)
-    groups = written(_grouped(members))
+    groups = written(_grouped(members, facts))
     for turn in range(STARS):
         # the sets of other components are tried with one set of one component
-        rows = _labelled(groups, labels, turn).where("label <> top.label")
+        rows = _labelled(groups, labels, turn).where("label <> top.label").where(_sizes_allow(F.col("n_shingles"), F.col("top.n_shingles")))
         stars = rows.select(F.least("set_id", "top.set_id").alias("a"), F.greatest("set_id", "top.set_id").alias("b")).distinct()
         new = written(_could_link(stars, facts).join(tested, ["a", "b"], "left_anti"))
         found = written(verified(new, facts, docs, key, text))
