@@ -9,7 +9,7 @@ then recovered backwards from the end.
 
 A text may be cut wherever no piece spans the cut, here before each run of spaces
 and around line ends, so each distinct chunk is worked out once and then looked up.
-The look-up table is emptied when it is full, which costs time and changes nothing.
+A full look-up table is replaced, which costs time and changes nothing.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import ahocorasick
 import sentencepiece
 
 SPACE = "▁"
-#: Chunks remembered by a worker before its table is emptied.
-REMEMBER = 400_000
+#: Chunks in a worker's table before a new one is begun; the one before is kept.
+REMEMBER = 200_000
 
 
 class PieceModel:
@@ -167,13 +167,19 @@ class Chunks(dict):
     def __init__(self, answer):
         super().__init__()
         self.answer = answer
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self.answer(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.answer(key)
+        self[key] = value
         return value
 
     def keep_small(self) -> None:
+        """A full table becomes the one before, so that frequent chunks outlive it."""
         if len(self) > REMEMBER:
+            self.before = dict(self)
             self.clear()
 
 
