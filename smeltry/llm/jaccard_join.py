@@ -45,7 +45,7 @@ COMMON = 0.05
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
 #: Rounds in which components are joined by single sets before pairs are compared.
-STARS = 2
+STARS = 3
 #: Members of a signature compared in one block.
 BLOCK = 1024
 #: Sets that a task remembers to have indexed already.
