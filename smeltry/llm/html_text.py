@@ -3,9 +3,11 @@
 A page is parsed into a tree in one linear pass. Every paragraph earns points for its
 length and its commas and passes them to its ancestors, less with each level; a
 container's score is discounted by the share of its text that stands in links. The
-best container is kept with those siblings that score well or read like text. Parts
-that are named as something else than the article (menus, footers, forms, adverts,
-notices, comments), and lists of links, are left out.
+best container leads to the article: the article or main element around it, or else
+the least ancestor that holds nearly all points of the page. Of that everything is
+kept, headings and blocks of any length. Parts that are named as something else than
+the article (menus, footers, forms, adverts, notices, comments), and lists of bare
+links, are left out.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined in page order by one line end. Null, empty and text-free pages give
@@ -47,18 +49,24 @@ NAMED = frozenset(
 #: Elements whose own text counts as a paragraph, and levels up to which points go.
 _PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body html figcaption".split())
 LEVELS = 4
-#: A list of links: at least so much of its text is in at least so many links.
-LINK_SHARE, LINKS = 0.5, 2
+#: Elements that hold text rather than divide a page.
+_TEXT = frozenset("p pre blockquote ul ol dl table figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A list of links: at least so much of its text is in at least so many links. It is navigation if a link has fewer characters, and fewer beside it.
+LINK_SHARE, LINKS, LINK_CHARS, BESIDE = 0.5, 2, 40, 8
+#: Share of a page's points that is nearly all, and that a block has which belongs to an article standing in the page itself.
+NEARLY, BELONGS = 0.95, 0.05
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "linked", "links", "score", "commas")
+    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "linked", "links", "score", "points", "commas", "inside")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
         self.parts: list[Node | str] = []
         self.chars = self.linked = self.links = self.commas = 0
-        self.score = 0.0
+        self.score = self.points = 0.0
 
 
 def _named(attributes: str) -> bool:
@@ -109,7 +117,7 @@ def parse(page: str) -> Node:
                 above = above.parent
         if tag in ("li", "tr", "td", "th", "dd", "dt", "option") and node.tag in (tag, *(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else ())):
             node = node.parent or node
-        child = Node(tag, node, node.dropped or tag in DROPPED or _named(attributes))
+        child = Node(tag, node, node.dropped or tag in DROPPED and not (tag == "header" and node.inside) or _named(attributes))
         node.parts.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -143,12 +151,14 @@ def score(root: Node) -> list[Node]:
                 node.chars, node.commas = node.chars + k, node.commas + x.count(",")
             elif not x.dropped:
                 node.chars, node.linked, node.links, node.commas = node.chars + x.chars, node.linked + x.linked, node.links + x.links, node.commas + x.commas
+                node.points += x.points
                 if x.tag not in BLOCK:
                     inline, own_commas = inline + x.chars - x.linked, own_commas + x.commas
         if node.tag == "a":
             node.linked, node.links = node.chars, 1
         if node.tag in _PARAGRAPH and own + inline:
             points, up, level = 1.0 + own_commas + min((own + inline) / 100, 3.0), node if node.tag not in ("p", "li", "td", "dd", "pre", "blockquote", "figcaption") else node.parent, 1
+            node.points += points
             while up is not None and level <= LEVELS:
                 up.score += points / level
                 up, level = up.parent, level + 1
@@ -163,20 +173,50 @@ def _worth(node: Node) -> float:
     return node.score * (1 - _link_share(node)) * (1.5 if node.tag in ("article", "main") else 1.0)
 
 
+def _navigation(node: Node) -> bool:
+    """A list of bare links."""
+    return (
+        node.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and node.links >= LINKS and _link_share(node) > LINK_SHARE
+        and node.chars - node.linked < BESIDE * node.links and node.linked < LINK_CHARS * node.links
+    )
+
+
+def _titles(node: Node, stop: Node | None) -> list[Node]:
+    """Headings that stand before a node, out to an ancestor, unless that holds other articles too."""
+    out: list[Node] = []
+    while node is not stop and node.parent is not None:
+        beside = [x for x in node.parent.parts if isinstance(x, Node) and not x.dropped and x.chars]
+        if any(x is not node and any(y.tag == "article" for y in _ordered(x)) for x in beside):
+            break
+        out = [x for x in beside[: beside.index(node)] if x.tag in HEADINGS or x.tag == "header"] + out
+        node = node.parent
+    return out
+
+
 def chosen(root: Node, nodes: list[Node]) -> list[Node]:
-    """The best container, with the siblings that belong to it, in page order."""
+    """The article around the best container, in page order."""
     best = max((x for x in nodes if not x.dropped and x.chars and x.tag in BLOCK), key=_worth, default=None)
-    if best is None:
+    if best is None or best is root:
         return [root]
-    if best.parent is None:
-        return [best]
-    bar, out = max(2.0, 0.2 * _worth(best)), []
-    for x in best.parent.parts:
+    article = main = None
+    up: Node | None = best
+    while up is not None:
+        article, main = up if up.tag == "article" else article, up if up.tag == "main" else main
+        up = up.parent
+    if article is not None:
+        return [*_titles(article, main or article.parent), article]
+    if main is not None:
+        return [*_titles(main, main.parent), main]
+    whole = best if best.parent is root else best.parent
+    while whole.parent is not root and whole.points < NEARLY * root.points:
+        whole = whole.parent
+    out, bar, before = [], max(2.0, BELONGS * root.points), True
+    for x in whole.parent.parts:
         if isinstance(x, Node) and not x.dropped:
-            reads = x.tag == "p" and x.chars > 80 and _link_share(x) < 0.25
-            if x is best or x.tag in BLOCK and (_worth(x) >= bar or reads) and best.tag not in ("article", "main"):
+            before = before and x is not whole
+            if x is whole or x.tag in HEADINGS and before or x.tag in _TEXT and not _navigation(x) or x.tag in BLOCK and x.points * (1 - _link_share(x)) >= bar:
                 out.append(x)
-    return out
+    return [*_titles(whole.parent, root), *out]
 
 
 def text_of(parts: list[Node]) -> str:
@@ -198,7 +238,7 @@ def text_of(parts: list[Node]) -> str:
                 end()
             elif isinstance(x, str):
                 line.append(x)
-            elif not x.dropped and not (x.tag in ("ul", "ol", "dl", "table", "div", "section", "p") and x is not part and x.links >= LINKS and _link_share(x) > LINK_SHARE):
+            elif not x.dropped and (x is part or not _navigation(x)):
                 if x.tag in BLOCK:
                     end()
                     todo.append(None)

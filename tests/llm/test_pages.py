@@ -31,6 +31,32 @@ def test_odd_pages(page, text):
     assert got == text or page.startswith("<ul>") and got in ("", "x\ny")
 
 
+def paragraphs(n, word="word"):
+    return [f"{word} {k}, " + "some text that goes on, " * 5 + "end." for k in range(n)]
+
+
+def tagged(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+LONG, FEW = paragraphs(20), paragraphs(3, "few")
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        (f"<article><h1>T</h1><div class=body>{tagged(LONG)}</div><p>Short end.</p></article>", ["T", *LONG, "Short end."]),
+        (f"<nav>n</nav><article><section>{tagged(LONG)}</section><section><h2>S</h2>{tagged(FEW[:1])}</section></article><p>x", [*LONG, "S", *FEW[:1]]),
+        (f"<main><h1>T</h1><article><header><h2>U</h2></header><div>{tagged(LONG)}</div></article></main>", ["T", "U", *LONG]),
+        (f"<div class=w><div class=c><h1>T</h1><div class=b>{tagged(LONG)}</div><div>Short end.</div></div></div><footer>f</footer>", ["T", *LONG, "Short end."]),
+        (f"<h1>T</h1><div>{tagged(LONG)}</div><p>Short end.</p><div>{tagged(FEW)}</div>", ["T", *LONG, "Short end.", *FEW]),
+        (f"<article>{tagged(FEW)}<ul><li><a>Ann: One</a>, a journal, 2001<li><a>Bob: Two</a>, a book, 2002</ul><ul><li><a>up</a><li><a>down</a></ul></article>", [*FEW, "Ann: One, a journal, 2001", "Bob: Two, a book, 2002"]),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, lines):
+    assert html_text.main_text(page).split("\n") == lines
+
+
 def test_unclosed_quotes_take_linear_time():
     assert html_text.main_text("<a " + '"' * 20001 + "<p>" * 2000) is not None
 
