@@ -7,7 +7,8 @@ best container leads to the article: the article or main element around it, or e
 the least ancestor that holds nearly all points of the page. Of that everything is
 kept, headings and blocks of any length. Parts that are named as something else than
 the article (menus, footers, forms, adverts, notices, comments), and lists of bare
-links, are left out.
+links, are left out; but a name only lowers a part's worth, and where the article is
+in it, it stays.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined in page order by one line end. Null, empty and text-free pages give
@@ -28,7 +29,7 @@ from smeltry.llm.common import table
 from smeltry.llm.sentence_pieces import _slices
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]++))?""", re.S)
 _WORD = re.compile(r"[a-z]+")
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,8 +38,10 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that never belong to an article's text.
-DROPPED = RAW | frozenset("head nav header footer aside form button select option datalist svg canvas object template dialog menu math audio video map".split())
+#: Elements without text of an article.
+LOST = RAW | frozenset("head button select option datalist svg canvas object template math audio video map".split())
+#: Elements beside an article; one of them around it lacks its end.
+BESIDE_IT = frozenset("nav header footer aside menu dialog".split())
 #: Words of class, id and role that name such parts.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
@@ -46,6 +49,17 @@ NAMED = frozenset(
     "contentinfo complementary comment comments disqus reply replies respond share sharing social follow related recommended recommendations "
     "newsletter subscribe subscription signup login search toolbar skip hidden form copyright".split()
 )
+#: Words that may stand beside those in one name.
+NEUTRAL = frozenset(
+    "site page main post entry article blog top bottom left right box wrap wrapper container section block list area bar inner outer item items "
+    "links primary secondary global slot unit body visually".split()
+)
+#: With one of these words, a header is the article's own.
+_OWN = frozenset("page main post entry article section".split())
+#: What a named part's worth counts for, against parts that are not.
+NAMED_WORTH = 0.05
+#: Times that names are lifted: around an article, then inside it.
+LIFTS = 3
 #: Elements whose own text counts as a paragraph, and levels up to which points go.
 _PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body html figcaption".split())
 LEVELS = 4
@@ -59,37 +73,63 @@ NEARLY, BELONGS = 0.95, 0.05
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "linked", "links", "score", "points", "commas", "inside")
+    #: lost: its text isn't kept. named: 1 by a name (or a form), 2 by its tag. inside: 1 in main, 2 in article.
+    __slots__ = ("tag", "parent", "parts", "lost", "named", "under", "dropped", "inside", "chars", "linked", "links", "commas", "score", "points", "all_points")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
+    def __init__(self, tag: str, parent: Node | None, lost: bool):
+        self.tag, self.parent, self.lost, self.named = tag, parent, lost, 0
         self.parts: list[Node | str] = []
+        self.inside: int = max(parent.inside if parent else 0, 2 if tag == "article" else tag == "main")
+        self.place()
+        self.clear()
+
+    def place(self) -> None:
+        """Names of a part hold for what is in it."""
+        self.under: int = max(self.named, self.parent.under if self.parent else 0)
+        self.dropped = self.lost or self.under > 0
+
+    def clear(self) -> None:
         self.chars = self.linked = self.links = self.commas = 0
-        self.score = self.points = 0.0
+        self.score = self.points = self.all_points = 0.0
 
 
-def _named(attributes: str) -> bool:
-    for name, value in _NAMES.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", ""):
-                return True
-        elif name in ("class", "id", "role") and not NAMED.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+def _names_part(token: str) -> bool:
+    """If a token of class, id or role is nothing but the name of a part."""
+    words = set(_WORD.findall(token))
+    named = words & NAMED
+    return bool(named) and words <= NAMED | NEUTRAL and not (named == {"header"} and words & _OWN)
+
+
+def _named(attributes: str) -> tuple[bool, bool]:
+    """If an element is hidden, and if it is named as something else than an article."""
+    hidden = named = False
+    seen: set[str] = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in seen:
+            continue
+        seen.add(name)
+        value = (value.strip(value[0]) if value[:1] in ("'", '"') else value).lower()
+        if name == "hidden":
+            hidden = True
+        elif name == "style":
+            style = value.replace(" ", "")
+            hidden = hidden or "display:none" in style or "visibility:hidden" in style
+        elif name == "aria-hidden":
+            named = named or value == "true"
+        elif name in ("class", "id", "role"):
+            named = named or any(map(_names_part, value.split()))
+    return hidden, named
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; text of dropped parts isn't kept."""
+    """The tree of a page; text of lost parts isn't kept."""
     root = node = Node("html", None, False)
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
-        if text and not node.dropped:
+        if text and not node.lost:
             node.parts.append(text)
         if not m:
             break
@@ -117,7 +157,13 @@ def parse(page: str) -> Node:
                 above = above.parent
         if tag in ("li", "tr", "td", "th", "dd", "dt", "option") and node.tag in (tag, *(("dd", "dt") if tag in ("dd", "dt") else ("td", "th") if tag in ("td", "th") else ())):
             node = node.parent or node
-        child = Node(tag, node, node.dropped or tag in DROPPED and not (tag == "header" and node.inside) or _named(attributes))
+        hidden, named = _named(attributes) if attributes.strip() else (False, False)
+        child = Node(tag, node, node.lost or hidden or tag in LOST)
+        if tag in BESIDE_IT and not (tag == "header" and node.inside):
+            child.named = 2
+        elif tag == "form" or named and tag != "main" and not (tag == "article" and node.inside < 2):
+            child.named = 1
+        child.place()
         node.parts.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
@@ -149,7 +195,9 @@ def score(root: Node) -> list[Node]:
                 k = len(x.strip())
                 own, own_commas = own + k, own_commas + x.count(",")
                 node.chars, node.commas = node.chars + k, node.commas + x.count(",")
-            elif not x.dropped:
+                continue
+            node.all_points += x.all_points
+            if not x.lost and not x.named:
                 node.chars, node.linked, node.links, node.commas = node.chars + x.chars, node.linked + x.linked, node.links + x.links, node.commas + x.commas
                 node.points += x.points
                 if x.tag not in BLOCK:
@@ -159,9 +207,10 @@ def score(root: Node) -> list[Node]:
         if node.tag in _PARAGRAPH and own + inline:
             points, up, level = 1.0 + own_commas + min((own + inline) / 100, 3.0), node if node.tag not in ("p", "li", "td", "dd", "pre", "blockquote", "figcaption") else node.parent, 1
             node.points += points
+            node.all_points += points
             while up is not None and level <= LEVELS:
                 up.score += points / level
-                up, level = up.parent, level + 1
+                up, level = None if up.named else up.parent, level + 1
     return nodes
 
 
@@ -193,6 +242,30 @@ def _titles(node: Node, stop: Node | None) -> list[Node]:
     return out
 
 
+def _spare(root: Node, nodes: list[Node]) -> bool:
+    """Lifts the names off the parts around the article; false if there are none.
+
+    They are around an article or main element with more than half of all points, or
+    around the best named container if the rest is worth little beside it.
+    """
+    held = [x for x in nodes if x.tag in ("article", "main") and not x.lost and x.dropped and 2 * x.all_points > root.all_points]
+    if not held:
+        blocks = [x for x in nodes if not x.lost and x.chars and x.tag in BLOCK]
+        plain = max((_worth(x) for x in blocks if not x.dropped), default=0.0)
+        best = max((x for x in blocks if x.under == 1), key=_worth, default=None)
+        if best is None or NAMED_WORTH * _worth(best) <= plain:
+            return False
+        held = [best]
+    for x in held:
+        up: Node | None = x
+        while up is not None and up.under:
+            up.named, up = 0, up.parent
+    for x in nodes:
+        x.clear()
+        x.place()
+    return True
+
+
 def chosen(root: Node, nodes: list[Node]) -> list[Node]:
     """The article around the best container, in page order."""
     best = max((x for x in nodes if not x.dropped and x.chars and x.tag in BLOCK), key=_worth, default=None)
@@ -253,7 +326,12 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return text_of(chosen(root, score(root)))
+    nodes = score(root)
+    for _ in range(LIFTS):
+        if not _spare(root, nodes):
+            break
+        score(root)
+    return text_of(chosen(root, nodes))
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

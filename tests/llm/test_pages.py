@@ -50,13 +50,31 @@ LONG, FEW = paragraphs(20), paragraphs(3, "few")
         (f"<main><h1>T</h1><article><header><h2>U</h2></header><div>{tagged(LONG)}</div></article></main>", ["T", "U", *LONG]),
         (f"<div class=w><div class=c><h1>T</h1><div class=b>{tagged(LONG)}</div><div>Short end.</div></div></div><footer>f</footer>", ["T", *LONG, "Short end."]),
         (f"<h1>T</h1><div>{tagged(LONG)}</div><p>Short end.</p><div>{tagged(FEW)}</div>", ["T", *LONG, "Short end.", *FEW]),
-        (f"<article>{tagged(FEW)}<ul><li><a>Ann: One</a>, a journal, 2001<li><a>Bob: Two</a>, a book, 2002</ul><ul><li><a>up</a><li><a>down</a></ul></article>", [*FEW, "Ann: One, a journal, 2001", "Bob: Two, a book, 2002"]),
+        (f"<article>{tagged(FEW)}<ul><li><a>Ann: First title</a>, in print, 2001<li><a>Bob: Second title</a>, a book, 2002</ul><ul><li><a>up</a><li><a>down</a></ul></article>", [*FEW, "Ann: First title, in print, 2001", "Bob: Second title, a book, 2002"]),
     ],
 )
 def test_nothing_of_an_article_is_lost(page, lines):
     assert html_text.main_text(page).split("\n") == lines
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<div class="overflow-hidden">', "</div>"), ('<article class="post has-sidebar">', "</article>"), ('<main class="no-sidebar">', "</main>"), ('<div id="content-with-related">', "</div>"),
+        ('<div title="Hidden costs" data-id="ad">', "</div>"), ('<div class="sidebar">', "</div>"), ('<form id="aspnet"><div class="form">', "</div></form>"), ('<div class="alert"><article class="promo">', "</article></div>"),
+        ('<div class="widget"><aside><main role="banner">', "</main></aside></div>"), ('<article><div class="widget">', "</div></article>"), ("<header><article>", "</article>"),
+    ],
+)
+def test_names_do_not_lose_the_article(before, after):
+    around = '<nav><a>n</a></nav><div class="cookie-notice">We use cookies.</div>', '<div class="share"><a>s</a></div><footer>f</footer>'
+    assert html_text.main_text(f"{around[0]}{before}{tagged(LONG)}{after}{around[1]}").split("\n") == LONG
+
+
+def test_named_parts_beside_the_article_are_left_out():
+    parts = '<div class="site-notice"><p>a, b, c</div>', '<div id=comments>' + tagged(LONG) + "</div>", "<p hidden>h</p>", '<p title="Hidden costs">' + FEW[0] + "</p>"
+    assert html_text.main_text(f"<div>{parts[0]}{tagged(FEW)}{parts[1]}{parts[2]}{parts[3]}</div>").split("\n") == [*FEW, FEW[0]]
+
+
 def test_unclosed_quotes_take_linear_time():
     assert html_text.main_text("<a " + '"' * 20001 + "<p>" * 2000) is not None
 
