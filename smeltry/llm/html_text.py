@@ -38,6 +38,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that may stand in a head; any other one ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements without text of an article.
 LOST = RAW | frozenset("head button select option datalist svg canvas object template math audio video map".split())
 #: Elements beside an article; one of them around it lacks its end.
@@ -129,6 +131,8 @@ def parse(page: str) -> Node:
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else n]
+        if node.tag == "head" and text.strip():
+            node = node.parent or node  # text ends an open head
         if text and not node.lost:
             node.parts.append(text)
         if not m:
@@ -142,11 +146,13 @@ def parse(page: str) -> Node:
             above: Node | None = node
             while above is not None and above.tag != tag:
                 # a stray inline end tag doesn't close blocks around it
-                above = None if tag not in BLOCK and above.tag in BLOCK else above.parent
+                above = None if tag not in BLOCK and tag != "template" and above.tag in BLOCK else above.parent
             if above is not None and above.parent is not None:
                 node = above.parent
             continue
-        if tag in ("html", "body") and node.tag != "head":
+        if node.tag == "head" and tag not in HEAD and tag != "html":
+            node = node.parent or node
+        if tag in ("html", "body"):
             continue  # attributes of the page itself name no part of it
         if tag in BLOCK:
             above = node
@@ -232,14 +238,14 @@ def _navigation(node: Node) -> bool:
 
 def _titles(node: Node, stop: Node | None) -> list[Node]:
     """Headings that stand before a node, out to an ancestor, unless that holds other articles too."""
-    out: list[Node] = []
+    found: list[list[Node]] = []
     while node is not stop and node.parent is not None:
         beside = [x for x in node.parent.parts if isinstance(x, Node) and not x.dropped and x.chars]
         if any(x is not node and any(y.tag == "article" for y in _ordered(x)) for x in beside):
             break
-        out = [x for x in beside[: beside.index(node)] if x.tag in HEADINGS or x.tag == "header"] + out
+        found.append([x for x in beside[: beside.index(node)] if x.tag in HEADINGS or x.tag == "header"])
         node = node.parent
-    return out
+    return [x for level in reversed(found) for x in level]
 
 
 def _spare(root: Node, nodes: list[Node]) -> bool:
@@ -256,9 +262,11 @@ def _spare(root: Node, nodes: list[Node]) -> bool:
         if best is None or NAMED_WORTH * _worth(best) <= plain:
             return False
         held = [best]
+    lifted: set[Node] = set()
     for x in held:
         up: Node | None = x
-        while up is not None and up.under:
+        while up is not None and up not in lifted:
+            lifted.add(up)
             up.named, up = 0, up.parent
     for x in nodes:
         x.clear()

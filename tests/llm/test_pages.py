@@ -75,6 +75,17 @@ def test_named_parts_beside_the_article_are_left_out():
     assert html_text.main_text(f"<div>{parts[0]}{tagged(FEW)}{parts[1]}{parts[2]}{parts[3]}</div>").split("\n") == [*FEW, FEW[0]]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><article><p>a</article>", "a"), ("<head><meta charset=a><p>a<p>b", "a\nb"), ("<head><title>x</title><div>a</div></head>", "a"), ("<head><title>x</title>a", "a"),
+        ("<head><style>p{}</style><template><p>x</template><link rel=a></head>\n<body>a", "a"),
+    ],
+)
+def test_a_head_without_end(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_unclosed_quotes_take_linear_time():
     assert html_text.main_text("<a " + '"' * 20001 + "<p>" * 2000) is not None
 
