@@ -1,16 +1,19 @@
 """URL filter by a tree of path templates, in Spark expressions only.
 
-Under each host a tree grows segment by segment. A segment that too few of its
-node's URLs share is variable and becomes a wildcard. A frequent segment stays a
-branch of its own only if the labelled share of bad URLs in it differs statistically
-from that of its node; similar branches are merged into one. What is left is a set of
+Under each host a tree grows segment by segment. A segment that fewer than LEAST of
+its node's URLs share is variable and becomes a wildcard. A frequent segment, however
+many others there are, stays a branch of its own only if the labelled share of bad
+URLs in it differs statistically from that of its node; similar branches are merged
+into one. The tree grows until no node can have a branch. What is left is a set of
 templates; each is rejected if its purity, the share of bad among labelled URLs
 smoothed towards its host's and all hosts', reaches a threshold. Prefix rules of
 hosts and paths override the templates.
 
 A null URL, or one without `://`, has an empty host and path; the template of those
-is judged like any other. Segments behind DEPTH are together one variable rest.
-Repeated rows each get a row. Counts are combined map-side before they are shuffled.
+is judged like any other. Segments that all URLs of a node share are passed in one
+step, and nodes of fewer than LEAST URLs are finished in one, so there are as many
+steps as levels at which frequent paths part or end. Repeated rows each get a row.
+Counts are combined map-side before they are shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 from smeltry.llm.common import table, written
 from smeltry.llm.decontaminate import LOWER, UPPER
 
-#: Levels of the tree; least share of a node's URLs that makes a segment a branch; least URLs of one.
-DEPTH, SHARE, LEAST = 3, 0.02, 5
+#: Least URLs of a branch.
+LEAST = 5
 #: Standard errors by which a branch's labelled share must differ to stay apart.
 Z = 2.0
 #: Labelled URLs for which the share above a template counts, and the purity that rejects.
@@ -48,27 +51,46 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return rule, verdict
 
 
+def _passed(urls: DataFrame) -> DataFrame:
+    """urls whose `rest` begins behind the segments that all URLs of their node share; it is empty where the node can have no branch."""
+    node = urls.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    # least and greatest share what all share
+    parted = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+    shared = F.when(parted > 0, parted - 1).otherwise(F.size("lo")).cast("int")
+    node = node.select("host", "template", F.when(F.col("n") >= LEAST, shared).alias("shared"))
+    # `+`: a merged branch, `*`: a variable segment
+    step = F.coalesce(F.expr("repeat('/+', shared)"), F.expr("repeat('/*', size(rest))"))
+    rest = F.expr("slice(rest, coalesce(shared, size(rest)) + 1, size(rest))")
+    return urls.join(node, ["host", "template"]).withColumn("template", F.concat("template", step)).withColumn("rest", rest).drop("shared")
+
+
+def _branched(urls: DataFrame) -> DataFrame:
+    """urls one segment further."""
+    rows = urls.withColumn("segment", F.get("rest", F.lit(0)))
+    child = rows.groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad_n"))
+    node = child.groupBy("host", "template").agg(F.sum("labelled").alias("node_labelled"), F.sum("bad_n").alias("node_bad"))
+    p = F.col("node_bad") / F.greatest(F.col("node_labelled"), F.lit(1))
+    apart = F.abs(F.col("bad_n") - p * F.col("labelled")) >= Z * F.sqrt(p * (1 - p) * F.col("labelled"))
+    common = F.col("n") >= LEAST
+    named = child.join(node, ["host", "template"]).where(common).select("host", "template", "segment", F.when((F.col("bad_n") != p * F.col("labelled")) & apart, F.col("segment")).otherwise("+").alias("name"))
+    step = F.concat(F.lit("/"), F.coalesce("name", F.lit("*")))
+    return rows.join(named, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).withColumn("rest", F.expr("slice(rest, 2, size(rest))")).drop("name", "segment")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """urls (id, host, path, bad: 1, 0 or null) with `template`.
 
-    Each level is written, as it is read for counting and for naming.
+    Each step is written, as it is read for counting and for naming. Rows whose path
+    has ended leave the loop.
     """
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        rows = written(rows.withColumn("segment", F.get("segments", F.lit(level))))
-        child = rows.where("segment is not null").groupBy("host", "template", "segment").agg(
-            F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad_n")
-        )
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("node_n"), F.sum("labelled").alias("node_labelled"), F.sum("bad_n").alias("node_bad"))
-        p = F.col("node_bad") / F.greatest(F.col("node_labelled"), F.lit(1))
-        apart = F.abs(F.col("bad_n") - p * F.col("labelled")) >= Z * F.sqrt(p * (1 - p) * F.col("labelled"))
-        common = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("node_n"))
-        named = child.join(node, ["host", "template"]).where(common).select("host", "template", "segment", F.when((F.col("bad_n") != p * F.col("labelled")) & apart, F.col("segment")).otherwise("+").alias("name"))
-        # `+`: a merged branch, `*`: a variable segment, nothing: the path ended
-        step = F.when(F.col("segment").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("name", F.lit("*"))))
-        rows = rows.join(named, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).drop("name", "segment")
-    return rows.withColumn("template", F.concat("template", F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(""))).drop("segments")
+    rows = written(urls.withColumn("rest", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
+    out = rows.where(F.size("rest") == 0)
+    step = _passed
+    while not (going := rows.where(F.size("rest") > 0)).isEmpty():
+        rows = written(step(going))
+        out = out.unionByName(rows.where(F.size("rest") == 0))
+        step = _branched if step is _passed else _passed
+    return out.drop("rest")
 
 
 def purity(urls: DataFrame) -> DataFrame:

@@ -137,3 +137,16 @@ def test_similar_branches_are_merged(spark):
     labels = spark.createDataFrame([(k, int(k % 10 < 2)) for k in range(400)], "id long, bad int")
     got = url_templates.judged(spark.createDataFrame(rows, "page_id long, url string"), labels, []).select("template").distinct().collect()
     assert [r.template for r in got] == ["/+/*"]
+
+
+def test_branches_by_their_own_evidence(spark):
+    rows = [(k, f"http://a.net/s{k % 60}/{k}") for k in range(1200)]
+    rows += [(2000 + k, f"http://b.net/2024/05/{12 + k % 2}/{'casino' if k % 20 < 4 else 'news'}/x/{2000 + k}") for k in range(400)]
+    rows += [(3000 + k, "http://c.net" + "/d" * 300) for k in range(6)] + [(4000, "http://d.net/a/b/c/d/e")]
+    labels = spark.createDataFrame([(k, int(k % 60 == 7)) for k in range(1200)] + [(2000 + k, int(k % 20 < 4)) for k in range(400)], "id long, bad int")
+    got = url_templates.judged(spark.createDataFrame(rows, "page_id long, url string"), labels, []).collect()
+    assert len(got) == len(rows)
+    assert {(r.host, r.template, r.verdict) for r in got} == {
+        ("a.net", "/s7/*", "block"), ("a.net", "/+/*", "allow"), ("b.net", "/+/+/+/casino/+/*", "block"), ("b.net", "/+/+/+/news/+/*", "allow"),
+        ("c.net", "/+" * 300, "allow"), ("d.net", "/*" * 5, "allow"),
+    }
