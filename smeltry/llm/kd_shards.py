@@ -29,10 +29,15 @@ TOLERANCE = 0.0002
 SLOT_ROWS = 100_000
 
 
-def string_code(c: Column) -> Column:
-    """A number that orders strings by their first six bytes; null is 0."""
-    head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0).cast("long"))
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a string column replaced by its rank among the distinct values; null is 0. Values are numbered by ranges, not in one task."""
+    values = rows.select(F.col(name).alias("value")).where("value is not null").distinct()
+    values = written(values.repartitionByRange(shuffle_partitions(rows.sparkSession), "value").withColumn("part", F.spark_partition_id()))
+    counts = values.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    ranks = values.join(before, "part").select("value", (F.col("before") + at).cast("long").alias("rank"))
+    return rows.join(ranks, F.col(name) == F.col("value"), "left").withColumn(name, F.coalesce("rank", F.lit(0).cast("long"))).drop("value", "rank")
 
 
 def magnitude(c: Column) -> Column:
@@ -109,8 +114,9 @@ def kd_shards(docs: DataFrame, shards: int = 8, dims: dict[str, Column] | None =
     """
     if shards & (shards - 1):
         raise ValueError("halving gives a power of two of shards")
+    strings = []
     if dims is None:
-        dims = {"d_size": magnitude(F.octet_length(F.col(text))), "d_source": string_code(F.col("source")), "d_lang": string_code(F.col("lang"))}
+        dims, strings = {"d_size": magnitude(F.octet_length(F.col(text))), "d_source": F.col("source").cast("string"), "d_lang": F.col("lang").cast("string")}, ["d_source", "d_lang"]
     rows = written(
         docs.select(
             F.col(key).alias("doc_id"),
@@ -119,6 +125,10 @@ def kd_shards(docs: DataFrame, shards: int = 8, dims: dict[str, Column] | None =
             *[c.alias(n) for n, c in dims.items()],
         ).withColumn("tie", F.xxhash64("doc_id", "text_crc32", "size"))
     )
+    if strings:
+        for name in strings:
+            rows = ranked(rows, name)
+        rows = written(rows)
     total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     out = leaves(rows, list(dims), max(1, math.ceil((total or 0) / shards))).withColumnRenamed("leaf", "shard")
     slots = max(shuffle_partitions(docs.sparkSession), math.ceil(n_rows / SLOT_ROWS))

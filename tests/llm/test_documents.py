@@ -290,3 +290,14 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "a long, b long")
     got = {r.id: r.label for r in components.components(links).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_strings_with_a_common_beginning_are_a_dimension(spark):
+    rows = [(k, "x" * 50, "en", f"https://{'ab'[k % 2]}.org/") for k in range(200)] + [(200, "x", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    ranks = kd_shards.ranked(docs, "source").groupBy("source").count().collect()
+    assert {(r.source, r["count"]) for r in ranks} == {(0, 1), (1, 100), (2, 100)}
+    shards = {}
+    for r in kd_shards.kd_shards(docs.where("doc_id < 200"), shards=2).collect():
+        shards.setdefault(r.shard, set()).add(r.doc_id % 2)
+    assert sorted(map(len, shards.values())) == [1, 1]
