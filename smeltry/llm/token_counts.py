@@ -75,5 +75,6 @@ def count_of_prefix(counts: Column, n_chars: Column) -> Column:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counted = prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=LIMIT, stored=False)
+    counted = prefix_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=LIMIT)
+    counted = counted.withColumn("n_tokens", count_of_prefix(F.col("counts"), (F.octet_length("counts") / 4 - 1).cast("int")))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars")

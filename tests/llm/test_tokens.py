@@ -127,3 +127,10 @@ def test_broken_record_is_noticed():
         bad[at] ^= 1
         with pytest.raises(ValueError):
             token_files.unframe(memoryview(bytes(bad)), 0)
+
+
+def test_the_query_reads_totals_from_counts_at_prefixes(spark, sf):
+    df = token_counts.op8_token_counts(spark, sf)
+    assert "counts" in df._jdf.queryExecution().optimizedPlan().toString()
+    operator = token_counts.prefix_counts(spark.read.parquet(f"{sf}/documents.parquet"), token_counts.public_tokenizers.path("piece_bpe_32k.model"), stored=False)
+    assert {r.doc_id: r.n_tokens for r in df.collect()} == {r.doc_id: r.n_tokens for r in operator.collect()}
