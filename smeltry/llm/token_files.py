@@ -199,8 +199,9 @@ def offset_index(spark: SparkSession, path: str, wide: bool = False) -> DataFram
     meets in the running total over files.
     """
     rows = _files(spark, path).mapInArrow(_records(wide, False), _FIELDS).drop("ids")
-    totals = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))
+    # names don't sort: part-100000 stands before part-10001
+    totals = rows.groupBy("path").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    before = totals.select("path", (F.sum("n").over(Window.orderBy("lo", "hi", "path")) - F.col("n")).alias("before"))
     return rows.join(before, "path").select("path", "at", "n_bytes", "doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 

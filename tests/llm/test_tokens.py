@@ -134,3 +134,10 @@ def test_the_query_reads_totals_from_counts_at_prefixes(spark, sf):
     assert "counts" in df._jdf.queryExecution().optimizedPlan().toString()
     operator = token_counts.prefix_counts(spark.read.parquet(f"{sf}/documents.parquet"), token_counts.public_tokenizers.path("piece_bpe_32k.model"), stored=False)
     assert {r.doc_id: r.n_tokens for r in df.collect()} == {r.doc_id: r.n_tokens for r in operator.collect()}
+
+
+def test_offsets_follow_documents_beyond_100000_files(spark, tmp_path):
+    for name, doc in (("part-10001-x.txt", 1), ("part-100000-x.txt", 2)):
+        (tmp_path / name).write_bytes(token_files.frame(doc.to_bytes(8, "little") + b"\1\0" * doc))
+    got = token_files.offset_index(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.start, r.n_tokens) for r in got} == {(1, 0, 1), (2, 1, 2)}
