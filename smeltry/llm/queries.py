@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from smeltry.llm import decontaminate, hard_negatives, html_text, jaccard_join, kd_shards, quality_rules, sentence_pieces, substring_dedup, token_alignment, token_counts, token_files, url_templates
+from smeltry.llm import decontaminate, hard_negatives, html_text, jaccard_join, kd_shards, posting_lists, quality_rules, sentence_pieces, substring_dedup, token_alignment, token_counts, token_files, url_templates
 from smeltry.llm.sql import SQL as _SQL
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
         token_counts.op8_token_counts,
         token_files.op9_token_files,
         jaccard_join.op10_jaccard_join,
+        posting_lists.op11_posting_lists,
         hard_negatives.op12_hard_negatives,
         token_alignment.op13_token_alignment,
     )

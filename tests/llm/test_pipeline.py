@@ -11,7 +11,7 @@ from smeltry.llm.common import written
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES if k.startswith("op"))
-    assert numbers == [*range(1, 11), 12, 13] and "pipeline" in queries.QUERIES and set(queries.SQL) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES and set(queries.SQL) <= set(queries.QUERIES)
 
 
 def test_stages_take_effect(spark, sf):

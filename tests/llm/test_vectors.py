@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smeltry.llm import hard_negatives as H
+from smeltry.llm import posting_lists as P
 
 SHAPE = "vec_id long, embedding array<float>, label int, v string, key int"
 
@@ -95,3 +96,95 @@ def test_large_values_stay_exact():
     block = H.Block(np.arange(3).tobytes(), np.zeros(3, np.int64).tobytes(), v.tobytes(), 2)
     rows, scores = block.scan(np.array([2**30, 1]), np.ones(3, bool), H.among_best(3))
     assert dict(zip(rows.tolist(), scores.tolist())) == {0: 2**60 + 3, 1: 2**60 + 4, 2: -(2**60) + 2**30}
+
+
+def dot(x, y):
+    """In the order of components; sum() would compensate rounding."""
+    total = 0.0
+    for a, b in zip(x, y, strict=True):
+        total += a * b
+    return total
+
+
+def brute_neighbours(rows, every=20, k=20):
+    """{query: [(key, score)]} by all inner products, on distinct ids."""
+    rows = [(j, [float(np.float32(x)) for x in v]) for j, v, _ in rows if finite(v) and any(v)]
+    out = {}
+    for j, q in rows:
+        if j % every == 0:
+            out[j] = sorted(((i, dot(q, v)) for i, v in rows if i != j), key=lambda r: (-r[1], r[0]))[:k]
+    return out
+
+
+def found(spark, rows, **more):
+    out: dict = {}
+    for r in sorted(P.neighbours(frame(spark, rows), lambda j: j % 20 == 0, **more).collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def share(got, want):
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_neighbours_are_found_and_scores_exact(spark, size):
+    rows = given(f"/root/testdata/{size}")
+    want, got = brute_neighbours(rows), found(spark, rows)
+    assert got.keys() == want.keys() and share(got, want) >= 0.9
+    vectors = {j: [float(np.float32(x)) for x in v] for j, v, _ in rows}
+    for q, some in got.items():
+        assert len(some) == 20 and len({i for i, _ in some}) == 20
+        assert some == sorted(some, key=lambda r: (-r[1], r[0]))
+        assert all(s == dot(vectors[q], vectors[i]) for i, s in some)
+
+
+def clustered(n, dim=16, seed=1):
+    rng = np.random.default_rng(seed)
+    means = rng.normal(size=(40, dim)) * 3
+    x = means[rng.integers(0, 40, n)] + rng.normal(size=(n, dim)) * rng.uniform(0.2, 2, (n, 1))
+    return [(k, v.tolist(), 1) for k, v in enumerate(x.astype(np.float32))]
+
+
+def test_neighbours_of_any_norm_with_copies(spark):
+    rows = clustered(3000)
+    rows += [(k, rows[17][1], 1) for k in range(3000, 4200)]  # one vector in a quarter of the rows
+    rows += [(4200, None, 1), (4220, [0.0] * 16, 1), (4240, [math.nan] * 16, 1), (4260, [None] + [1.0] * 15, 1), (4280, [1.0], 1)]
+    want, got = brute_neighbours(rows[:4200]), found(spark, rows + rows[:50])
+    assert got.keys() == want.keys() and share(got, want) >= 0.9
+    assert got[3000] == want[3000] and got[4180] == want[4180]
+
+
+def test_few_candidates_are_all_found(spark):
+    rows = clustered(9)
+    rows = [(k * 20, v, x) for k, v, x in rows]
+    assert {q: [i for i, _ in w] for q, w in found(spark, rows).items()} == {q: [i for i, _ in w] for q, w in brute_neighbours(rows).items()}
+    assert found(spark, []) == {} and found(spark, [(20, [1.0, 2.0], 1)]) == {}
+    same = [(20 * k, [1.0, 1.0], 1) for k in range(60)]
+    assert found(spark, same) == brute_neighbours(same)
+
+
+def test_graph_search_meets_what_the_ratio_asks_for():
+    x = np.array([v for _, v, _ in clustered(6000)])
+    norm2 = float((x * x).sum(axis=1).max())
+    index = P.fit(x, norm2, 6000, 20)
+    assert len(index.centroids) == 47 and 1 <= index.ratio < math.inf
+    q = index.lift(x[:200], query=True)
+    exact = np.sqrt(((q[:, None, :] - index.centroids) ** 2).sum(axis=2))
+    want = exact <= exact.min(axis=1, keepdims=True) * index.ratio
+    met = np.isfinite(index.distances(q, index.ratio))
+    assert (met & want).sum() >= 0.98 * want.sum()
+    sizes = np.bincount(index.lists_of(x)[1], minlength=47)
+    assert sizes.min() > 0 and {*index.lists_of(x)[0].tolist()} == set(range(6000))
+
+
+def test_parts_are_balanced():
+    x = np.array([v for _, v, _ in clustered(1000)])
+    parts = P.balanced(x, 7, np.random.default_rng(0))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and {len(p) for p in parts} <= set(range(140, 146))
+
+
+def test_recall(spark):
+    exact = spark.createDataFrame([(1, 2), (1, 3), (2, 1)], "query_id long, vec_id long")
+    assert P.recall(exact.limit(2), exact) == 2 / 3 and P.recall(exact, exact.limit(0)) == 1.0
