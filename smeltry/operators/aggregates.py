@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -32,38 +33,91 @@ def quantiles(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, pro
     return sketches.select(*[F.get(c, F.lit(k)).alias(f"{c}_{n}") for c in columns for k, n in enumerate(probs)])
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, probs: Mapping[str, float] = QUARTILES) -> DataFrame:
+#: Distinct values of a bracket that are ranked in one window group.
+BRACKET_VALUES = 100_000
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, probs: Mapping[str, float] = QUARTILES, at_most: int = BRACKET_VALUES,
+) -> DataFrame:
     """``quantiles`` without error, at any size: the smallest value whose rank reaches the share.
 
-    A first pass brackets each quantile by two approximate ones. A second counts
-    the rows below each bracket, and the values inside, a few in 10,000 rows,
-    which are combined map-side and ranked from there.
+    Each quantile is bracketed by two approximate ones. A pass then counts the rows
+    below and inside each bracket, and its distinct values. While a bracket has more
+    than ``at_most`` of those, the next round takes approximate quantiles inside it,
+    which leaves about 4 in ``accuracy`` of its rows. What is inside in the end is
+    counted by value map-side and ranked. The rounds run when this is called, each
+    giving one row of a few numbers: a third round is needed from some 10^12 distinct
+    values on. Columns without values give NULL.
     """
-    slack = 2.0 / accuracy
-    around = {f"{n}_{side}": min(1.0, max(0.0, p + d)) for n, p in probs.items() for side, d in (("lo", -slack), ("hi", slack))}
-    approx = quantiles(df, columns, accuracy, around)
-    fence = approx.select(F.struct(*approx.columns).alias("f")).scalar()
-    slots = [(c, n, p) for c in columns for n, p in probs.items()]
-    counts = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.count_if(F.col(c) < fence[f"{c}_{n}_lo"]).alias(f"below_{c}_{n}") for c, n, _ in slots],
-    )
-    known = counts.select(F.struct(*counts.columns).alias("k")).scalar()
-    kind = T.DoubleType() if any(isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType) for c in columns) else None
-    value = (lambda c: F.col(c).cast(kind)) if kind else F.col
-    inside = F.array(*[
-        F.struct(
-            F.lit(i).alias("slot"),
-            F.when(F.col(c).between(fence[f"{c}_{n}_lo"], fence[f"{c}_{n}_hi"]), value(c)).alias("v"),
-        )
-        for i, (c, n, _) in enumerate(slots)
-    ])
-    near = df.select(F.inline(inside)).filter("v IS NOT NULL").groupBy("slot", "v").agg(F.count(F.lit(1)).alias("rows"))
-    upto = near.withColumn("upto", F.sum("rows").over(W.partitionBy("slot").orderBy("v")))
+    slots = [_Bracket(c, n, p) for c in columns for n, p in probs.items()]
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    for s in slots:
+        s.rank = max(1, math.ceil(sizes[list(columns).index(s.column)] * s.share))
+        s.rows = sizes[list(columns).index(s.column)]
+    open_ = [s for s in slots if s.rows]
+    while open_:
+        parts = [F.percentile_approx(F.when(s.inside(), F.col(s.column)), F.lit(s.around(accuracy)), F.lit(accuracy)).alias(f"q{i}") for i, s in enumerate(open_)]
+        near = df.agg(*parts).first()
+        before = [(s.low, s.high) for s in open_]
+        for i, s in enumerate(open_):
+            s.low, s.high = (F.lit(v).cast(df.schema[s.column].dataType) for v in near[f"q{i}"])
+        counted = []
+        for i, s in enumerate(open_):
+            c, within = F.col(s.column), s.inside()
+            counted += [F.count_if(c < s.low).alias(f"b{i}"), F.count_if(within).alias(f"r{i}"), F.approx_count_distinct(F.when(within, c)).alias(f"d{i}")]
+        found = df.agg(*counted).first()
+        still = []
+        for i, s in enumerate(open_):
+            stuck = before[i][0] is not None and s.rows == found[f"r{i}"]
+            s.below, s.rows = found[f"b{i}"], found[f"r{i}"]
+            if found[f"d{i}"] > at_most and not stuck:
+                still.append(s)
+        open_ = still
+    return _ranked(df, slots)
+
+
+class _Bracket:
+    """Two values of a column between which a quantile lies, with the rows below and inside."""
+
+    def __init__(self, column: str, name: str, share: float):
+        self.column, self.name, self.share = column, name, share
+        self.low: Column | None = None
+        self.high: Column | None = None
+        self.rank = self.rows = self.below = 0
+
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        return c.isNotNull() if self.low is None else c.between(self.low, self.high)
+
+    def around(self, accuracy: int) -> list[float]:
+        """Shares of the bracket's rows on both sides of the quantile."""
+        at = (self.rank - self.below) / self.rows
+        return [min(1.0, max(0.0, at + d)) for d in (-2.0 / accuracy, 2.0 / accuracy)]
+
+
+def _ranked(df: DataFrame, slots: Sequence[_Bracket]) -> DataFrame:
+    known = [s for s in slots if s.low is not None]
+    columns = {s.column: df.schema[s.column].dataType for s in slots}
+    if not known:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast(columns[s.column]).alias(f"{s.column}_{s.name}") for s in slots])
+    kinds = list(dict.fromkeys(columns[s.column] for s in known))
+    values = [f"v{k}" for k in range(len(kinds))]  # a value stands in the column of its type
+
+    def row(i: int, s: _Bracket) -> Column:
+        return F.struct(F.lit(i).alias("slot"), *[
+            (F.when(s.inside(), F.col(s.column)) if kind == columns[s.column] else F.lit(None).cast(kind)).alias(v) for v, kind in zip(values, kinds, strict=True)
+        ])
+
+    near = df.select(F.inline(F.array(*[row(i, s) for i, s in enumerate(known)]))).filter(" OR ".join(f"{v} IS NOT NULL" for v in values))
+    near = near.groupBy("slot", *values).agg(F.count(F.lit(1)).alias("rows"))
+    upto = near.withColumn("upto", F.sum("rows").over(W.partitionBy("slot").orderBy(*values)))
+    place = {(s.column, s.name): i for i, s in enumerate(known)}
     aggs = []
-    for i, (c, n, p) in enumerate(slots):
-        rank = F.greatest(F.lit(1), F.ceil(known[f"n_{c}"] * F.lit(p))) - known[f"below_{c}_{n}"]
-        aggs.append(F.min(F.when((F.col("slot") == i) & (F.col("upto") >= rank), F.col("v"))).cast(df.schema[c].dataType).alias(f"{c}_{n}"))
+    for s in slots:
+        i, kind = place.get((s.column, s.name)), columns[s.column]
+        hit = F.lit(None).cast(kind) if i is None else F.when((F.col("slot") == i) & (F.col("upto") >= s.rank - s.below), F.col(values[kinds.index(kind)]))
+        aggs.append(F.min(hit).alias(f"{s.column}_{s.name}"))
     return upto.agg(*aggs)
 
 

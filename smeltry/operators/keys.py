@@ -5,11 +5,13 @@ Each stays balanced when one key owns a large share of the rows:
 * ``latest_per_key`` filters a ``row_number`` to 1, which Spark turns into a
   group limit *before* the shuffle, so a task ships at most one row per key.
 * ``spread_index`` numbers rows without a single-task window.
-* ``row_number_in_steps`` ranks inside huge groups, one step of the order at a time.
+* ``row_number_in_steps`` ranks inside huge groups, one step of the order at a time,
+  ``row_number_in_ranges`` by ranges of the order itself, so ties may be of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -142,3 +144,50 @@ def row_number_in_steps(
         .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("bigint"))
         .select(*df.columns, out)
     )
+
+
+#: Slots of the sample that ranges are cut from, for each range.
+SAMPLE_SLOTS = 16
+
+
+def row_number_in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, ranges: int = 256) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` for groups and ties of any size.
+
+    ``order`` is ascending with NULL first, and total inside a group (negate a number,
+    lead with ``isNull`` for another order). Splitters are cut from a sample of
+    (keys, order) that takes one row of each hash slot: a bounded number, and the same
+    for every reading of the rows. Rows are numbered inside (keys, range) and shifted
+    by the prefix sums of the ranges' counts, which are combined map-side. A range
+    holds about ``1 / ranges`` of all rows, whatever they have in common.
+    """
+    ranged = in_ranges(df, keys, order, ranges)
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
+    )
+    numbered = ranged.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return (
+        numbered.join(shifts, [F.col("_range") == F.col("_k_range"), *same], "inner")
+        .withColumn(out, (F.col("_rn") + F.col("_shift")).cast("bigint"))
+        .select(*df.columns, out)
+    )
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int = 256) -> DataFrame:
+    """``_range`` of every row: how many splitters of the sample are not above its (keys, order)."""
+    fine = math.isqrt(ranges - 1) + 1  # ranges in each coarse one
+    place = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[c.alias(f"o{i}") for i, c in enumerate(order)])
+    placed = df.withColumn("_place", place)
+    slot = F.pmod(F.xxhash64("_place"), F.lit(SAMPLE_SLOTS * ranges))
+    sample = placed.groupBy(slot.alias("_slot")).agg(F.min_by("_place", F.xxhash64("_place", F.lit(1))).alias("p"))
+    cuts = sample.agg(F.array_sort(F.collect_list("p")).alias("p"))
+    each = F.greatest(F.lit(1), F.floor(F.size("p") / ranges)).cast("int")
+    cuts = cuts.select(F.filter("p", lambda x, i: i % each == each - 1).alias("p"))
+    # in two levels: a row is compared with the first cuts of the coarse ranges, then inside one
+    levels = cuts.select(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("p")), F.lit(fine)), lambda i: F.slice("p", i, F.lit(fine))).alias("p"))
+    placed = placed.withColumn("_cuts", levels.scalar())
+    coarse = F.size(F.filter("_cuts", lambda some: some[0] <= F.col("_place")))
+    inner = F.size(F.filter(F.get("_cuts", coarse - 1), lambda p: p <= F.col("_place")))
+    return placed.withColumn("_range", F.when(coarse > 0, (coarse - 1) * fine + inner).otherwise(0)).drop("_place", "_cuts")

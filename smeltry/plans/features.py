@@ -138,10 +138,10 @@ def recent_purchases(sales: DataFrame, dim_product: DataFrame, as_of: date | str
 
 def price_rank_in_category(dim_product: DataFrame) -> DataFrame:
     """Rank of each current product by price, dearest first, ties by product id."""
-    return K.row_number_in_steps(
+    price = F.col("base_price")
+    return K.row_number_in_ranges(
         dim_product.filter("is_current").select("product_id", "category", "base_price"),
-        ["category"], [F.col("base_price").desc_nulls_last(), F.col("product_id").asc()],
-        F.coalesce(-F.floor("base_price"), F.lit(2**62)), "product_price_rank_in_category",
+        ["category"], [price.isNull(), -price, F.col("product_id")], "product_price_rank_in_category",
     )
 
 

@@ -117,8 +117,8 @@ def flag_outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, accurac
     """``{column}_is_outlier`` by the interquartile fence, NULL values not flagged.
 
     The quartiles of all columns come from one aggregate read as a scalar
-    subquery: nothing is collected and nothing is joined. ``exact`` takes two
-    passes, see ``exact_quantiles``.
+    subquery: nothing is joined. ``exact`` narrows brackets in rounds that run
+    when this is called, see ``exact_quantiles``.
     """
     q = (A.exact_quantiles if exact else A.quantiles)(df, columns, accuracy)
     fences = q.select(F.struct(*q.columns).alias("q")).scalar()

@@ -1,11 +1,13 @@
 """Skewed keys: balanced operators against brute force."""
 
+import math
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from smeltry.operators import aggregates as A
 from smeltry.operators import joins as J
 from smeltry.operators import keys as K
 from smeltry.operators import upsert as U
@@ -35,6 +37,34 @@ def test_row_number_in_steps(skewed):
     assert got == want
 
 
+def test_row_number_in_ranges(skewed):
+    df, rows = skewed
+    want = {}
+    for key in {r[1] for r in rows}:
+        group = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0]))
+        want.update({r[0]: n + 1 for n, r in enumerate(group)})
+    for ranges in (1, 7, 64):
+        got = {r.id: r.rank for r in K.row_number_in_ranges(df, ["category"], [-F.col("price"), F.col("id")], "rank", ranges).collect()}
+        assert got == want
+
+
+def test_a_hot_price_is_spread_over_ranges(spark):
+    rows = [(i, "a" if i % 3 else None, None if i % 7 == 1 else 5 if i % 2 else i % 50) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, category string, price int").repartition(6)
+    order = [F.col("price").isNull(), -F.col("price"), F.col("id")]
+    sizes = [r["count"] for r in K.in_ranges(df, ["category"], order, 32).groupBy("_range").count().collect()]
+    assert len(sizes) >= 32 and max(sizes) <= 3 * len(rows) / 32
+    ranked = K.row_number_in_ranges(df, ["category"], order, "rank", 32)
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in text.split("\n") if "Window [row_number" in x]
+    assert windows and all("_range" in x for x in windows)
+    got = {r.id: r["rank"] for r in ranked.collect()}
+    for key in ("a", None):
+        group = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [got[r[0]] for r in group] == list(range(1, len(group) + 1))
+    assert K.row_number_in_ranges(df.limit(0), ["category"], order, "rank").count() == 0
+
+
 def test_latest_per_key(skewed):
     df, rows = skewed
     got = {r.category: r.id for r in K.latest_per_key(df, ["category"], [F.desc("price"), F.asc("id")]).collect()}
@@ -215,3 +245,22 @@ def test_exact_quantiles_beyond_a_million_rows(spark):
     assert abs(near.v_q1 - 325000) <= 131 and abs(near.v_q3 - 975000) <= 131
     nothing = A.exact_quantiles(df.filter("v < 0"), ["v"]).first()
     assert nothing.v_q1 is None
+    some = A.exact_quantiles(df.withColumn("none", F.when(F.col("v") < 0, 1)), ["none", "v"]).first()
+    assert (some.none_q1, some.v_q3) == (None, 975000)
+
+
+def test_exact_quantiles_narrow_until_few_values_are_left(spark, monkeypatch):
+    n = 400_001
+    df = spark.range(n).select((F.col("id") * 7919 % n - 5).alias("v"), F.when(F.col("id") % 10 > 0, 3.5).otherwise(F.col("id") / 7).alias("hot"))
+    scans = []
+    within = A._Bracket.around
+    monkeypatch.setattr(A._Bracket, "around", lambda s, accuracy: scans.append(s.name) or within(s, accuracy))
+    got = A.exact_quantiles(df, ["v"], accuracy=100, probs={"m": 0.5, "p": 0.901}, at_most=50).first()
+    assert tuple(got) == (200_000 - 5, math.ceil(n * 0.901) - 6)
+    assert scans.count("m") >= 3 and scans.count("p") >= 3
+    # a value that fills the bracket alone ends the rounds
+    assert A.exact_quantiles(df, ["hot"], accuracy=100, at_most=1).first().hot_q1 == 3.5
+    two = spark.range(1000).select((F.col("id") % 2).alias("v"))
+    assert tuple(A.exact_quantiles(two, ["v"], accuracy=100, probs={"m": 0.5, "n": 0.501}, at_most=1).first()) == (0, 1)
+    days = spark.range(1001).select(F.expr("date_add(date'2024-01-01', cast(id as int))").alias("d"), F.col("id").cast("decimal(9,2)").alias("m"))
+    assert [str(x) for x in A.exact_quantiles(days, ["d", "m"], accuracy=100, probs={"q": 0.25}, at_most=2).first()] == ["2024-09-07", "250.00"]
