@@ -47,8 +47,8 @@ LIST_ROWS, LISTS = 128, 8192
 COPIES, NEAR = 3, 1.05
 #: Share of the sampled queries' neighbours that the lists read must hold.
 COVER = 0.97
-#: Sampled queries, and stored rows that give a query its first neighbours.
-TRIALS, SEEDS = 400, 2048
+#: Sampled queries; stored rows that give a query its first neighbours, one of SEED_SHARE, and their bytes at most.
+TRIALS, SEEDS, SEED_SHARE, SEED_BYTES = 400, 16_384, 8, 16 << 20
 #: Rows and queries in a block.
 ROWS, QUERIES = 4096, 1024
 #: Links of a centroid to near and to far ones; entries of a search; centroids followed at least.
@@ -185,23 +185,31 @@ def fit(sample: np.ndarray, norm2: float, rows: int, k: int) -> Index:
     return index
 
 
-def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of q with rows of v, summed in the order of components."""
-    total = np.zeros(len(v))
-    for j in range(len(q)):
-        total += q[j] * v[:, j]
-    return total
+def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows but its own that reach its floor, by query and rank.
 
-
-def best_of(own: int, q: np.ndarray, rough: np.ndarray, keys: np.ndarray, v: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and scores of the k best rows but the query's own that reach the floor. rough: scores but for rounding."""
-    slack = 1e-9 * max(1.0, float(np.abs(rough).max(initial=0)))
-    some = np.flatnonzero((rough >= floor - slack) & (keys != own))
-    if len(some) > k:
-        some = some[rough[some] >= np.partition(rough[some], -k)[-k] - slack]
-    scores = products(q, v[some])
-    order = np.lexsort((keys[some], -scores))[:k]
-    return keys[some[order]], scores[order]
+    Rows are chosen by a product of matrices, with some slack for its rounding; scores are
+    then summed in the order of components.
+    """
+    out = []
+    columns = np.ascontiguousarray(v.T)
+    for at in range(0, len(q), AT_ONCE):
+        part = np.ascontiguousarray(q[at : at + AT_ONCE].T)
+        rough = part.T @ columns
+        slack = 1e-9 * max(1.0, float(np.abs(rough).max(initial=0)))
+        near = (rough >= floor[at : at + AT_ONCE, None] - slack) & (keys != own[at : at + AT_ONCE, None])
+        if near.shape[1] > k:
+            rough[~near] = -np.inf
+            near &= rough >= np.partition(rough, -k, axis=1)[:, [-k]] - slack
+        i, row = np.nonzero(near)
+        score = np.zeros(len(i))
+        for x, y in zip(part, columns, strict=True):
+            score += x[i] * y[row]
+        order = np.lexsort((keys[row], -score, i))
+        i = i[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[first] + at, row[order][first], score[order][first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -233,7 +241,7 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
     if not n:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(_sampled(kept, n, min(SAMPLE, SAMPLE_BYTES // (8 * dim)), 5)[1], norm2, n, k)
-    seed_keys, seeds = _sampled(kept, n, min(SEEDS, math.ceil(n / 8)), 6)
+    seed_keys, seeds = _sampled(kept, n, min(SEEDS, SEED_BYTES // (8 * dim), math.ceil(n / SEED_SHARE)), 6)
 
     def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,8 +254,9 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
             for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
                 q, own = _matrix(part.column("v"), dim), part.column("key").to_numpy()
                 floor = np.full(len(q), -np.inf)
-                for i, rough in enumerate(q @ seeds.T if len(seeds) > k else ()):
-                    floor[i] = best_of(own[i], q[i], rough, seed_keys, seeds, k, -np.inf)[1][-1]
+                if len(seeds) > k:
+                    i, _, score = best_of(own, q, floor, seed_keys, seeds, k)
+                    floor[i] = score  # in the order of ranks: the last is the k-th
                 row, lists = index.read_by(q)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("key", "v")), pa.array(floor[row])], ["list", "key", "v", "floor"]
@@ -256,7 +265,7 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, own = _matrix(batch.column("v"), dim), batch.column("key").to_numpy()
-            yield _found([(o, *best_of(o, x, rough, seed_keys, seeds, k, -np.inf)) for o, x, rough in zip(own, q, q @ seeds.T, strict=True)])
+            yield _found(own, seed_keys, best_of(own, q, np.full(len(q), -np.inf), seed_keys, seeds, k))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +273,7 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
                 v = np.frombuffer(c["v"], kind).reshape(-1, dim).astype(np.float64)
                 q = np.frombuffer(c["q"], kind).reshape(-1, dim).astype(np.float64)
                 keys, own, floor = np.frombuffer(c["key"], np.int64), np.frombuffer(c["own"], np.int64), np.frombuffer(c["floor"], np.float64)
-                yield _found([(o, *best_of(o, x, rough, keys, v, k, f)) for o, x, rough, f in zip(own, q, q @ v.T, floor, strict=True)])
+                yield _found(own, keys, best_of(own, q, floor, keys, v, k))
 
     queries = rows.where(is_query(F.col("key")))
     stored = packed(kept.mapInArrow(in_lists, "list int, key long, v array<double>"), ROWS, "list", kinds={"key": "<i8", "v": kind})
@@ -278,11 +287,9 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _found(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    sizes = [len(r[1]) for r in rows]
-    own = np.repeat(np.array([r[0] for r in rows], np.int64), sizes)
-    keys, scores = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (1, 2))
-    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(keys.astype(np.int64)), pa.array(scores.astype(np.float64))], ["query_id", "vec_id", "score"])
+def _found(own: np.ndarray, keys: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    query, row, score = best
+    return pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(keys[row]), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
