@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smeltry.functions import columns as C
@@ -59,7 +59,8 @@ def temporal_join(
 
     By default only current versions match, with both bounds included. With
     ``history`` every version can match and the end bound is excluded, so that
-    a day on which one version ends and the next begins has one match.
+    a day on which one version ends and the next begins has one match; facts then
+    meet only versions of their month, see ``interval_join``.
     """
     day = F.to_date(F.col(ts))
     end = F.coalesce(F.col("effective_end_date"), F.lit(C.OPEN_END))
@@ -70,6 +71,8 @@ def temporal_join(
     )
     upper = day < F.col("_to") if history else day <= F.col("_to")
     valid = (day >= F.col("_from")) & upper
+    if history and salts == 1:
+        return interval_join(facts, right, key, day, take)
     if salts > 1:
         joined = salted_join(facts, right, key, "_key", "left", salts, valid)
     else:
@@ -77,6 +80,35 @@ def temporal_join(
     return joined.drop("_key", "_from", "_to")
 
 
+def interval_join(facts: DataFrame, versions: DataFrame, key: str, day: Column, take: Sequence[str]) -> DataFrame:
+    """Left join of facts to the versions (_key, _from, _to, *take) with ``_from <= day < _to``.
+
+    A range can't be a join key, and a key with many versions would meet all of them
+    with each of its facts. So a closed version stands in a bin for each month it
+    covers, and facts look up (key, month). Versions without an end would fill bins
+    for ever: they have one of their own, by key alone. A bin is one row that holds its
+    versions, as many as begin or last in a month of one key, and the exact bounds are
+    checked inside it: a fact is shuffled once for each lookup, whatever the history's
+    length. All versions that hold a day match; facts without one keep their row.
+    """
+    version = F.struct("_from", "_to", *take)
+    lasting = versions.filter(F.col("_key").isNotNull() & (F.col("_from") < F.col("_to")))
+    closed = F.col("_to") < F.lit(C.OPEN_END)
+    months = F.sequence(F.trunc("_from", "month"), F.trunc(F.date_sub("_to", 1), "month"), F.expr("interval 1 month"))
+    by_month = (
+        lasting.filter(closed).select("_key", F.explode(months).alias("_month"), version.alias("v"))
+        .groupBy("_key", "_month").agg(F.collect_list("v").alias("_closed"))
+    )
+    by_key = lasting.filter(~closed).groupBy(F.col("_key").alias("_open_key")).agg(F.collect_list(version).alias("_open"))
+    binned = facts.withColumns({"_day": day, "_bin": F.trunc(day, "month")})
+    joined = binned.join(by_month, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_month")), "left").join(
+        by_key, F.col(key) == F.col("_open_key"), "left"
+    )
+    held = F.concat(*[F.coalesce(c, F.array().cast(joined.schema[c].dataType)) for c in ("_closed", "_open")])
+    hits = F.filter(held, lambda v: (v["_from"] <= F.col("_day")) & (F.col("_day") < v["_to"]))
+    return joined.withColumn("_hits", hits).select(*facts.columns, F.inline_outer("_hits")).drop("_from", "_to")
+
+
 def salted_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str,
     salts: int, condition=None, hot_share: float = 0.01,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smeltry.operators import history as H
+from smeltry.operators import joins as J
 from smeltry.quality import checks
 
 DIM = (
@@ -109,3 +110,28 @@ def test_breaks_across_months(spark):
     df = spark.createDataFrame(rows, "sk bigint, id string, effective_start_date date, effective_end_date date")
     r = H.interval_breaks(df, "id", "sk").first()
     assert (r.overlaps, r.gaps) == (2, 1)
+
+
+def test_interval_join_of_ten_thousand_versions(spark):
+    """One key holds 10,000 versions of a day each and most facts; others have gaps, overlaps and open ends."""
+    from datetime import timedelta
+
+    start = date(1990, 1, 1)
+    at = lambda n: start + timedelta(days=n)
+    versions = [("hot", at(n), at(n + 1), n) for n in range(10_000)] + [("hot", at(10_000), OPEN, 10_000), ("hot", at(5), at(5), -1)]
+    versions += [("gap", at(0), at(40), 1), ("gap", at(95), None, 2), ("both", at(0), at(400), 1), ("both", at(30), OPEN, 2), ("late", at(3), OPEN, 7)]
+    dim = spark.createDataFrame(versions, "k string, effective_start_date date, effective_end_date date, sk int").withColumn("is_current", F.lit(True))
+    facts = [("hot", n * 7 % 10_500) for n in range(3000)] + [(k, n) for k in ("gap", "both", "late", "none", None) for n in range(-40, 450, 9)]
+    df = spark.createDataFrame([(i, k, None if i % 101 == 5 else at(n)) for i, (k, n) in enumerate(facts)], "i int, k string, t date")
+    df = df.withColumn("t", F.col("t").cast("timestamp"))
+    got = J.temporal_join(df, dim, "k", "t", ["sk"], history=True)
+    want = []
+    for r in df.collect():
+        day = r.t and r.t.date()
+        hits = [sk for k, a, b, sk in versions if k == r.k and day and a <= day < (b or OPEN)]
+        want += [(r.i, sk) for sk in hits or [None]]
+    assert sorted(map(str, got.select("i", "sk").collect())) == sorted(f"Row(i={i}, sk={sk})" for i, sk in want) and got.columns == ["i", "k", "t", "sk"]
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "_month" in text and "NestedLoop" not in text
+    bins = next(x for x in text.split("\n") if "Join [" in x and "_month" in x)
+    assert "_from" not in bins  # the range is no residual of the join
