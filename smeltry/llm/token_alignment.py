@@ -3,7 +3,7 @@
 Both tokenizers cut a text into byte ranges. Their ends are two ascending arrays, and
 an end that both have closes a group. The arrays are walked by diagonal run skipping:
 while ends agree at the current shift between the two indices, the stretch is probed in
-steps of 4, 8, 16, ... ends, compared as blocks of memory, and its exact length is that
+steps of 8, 16, 32, ... ends, compared as blocks of memory, and its exact length is that
 of the first word that differs in the step that failed. Where ends differ, only that group is resolved, end by
 end, and the shift is updated. So a one-to-one stretch costs a number of steps that grows as the logarithm of its length.
 
@@ -49,15 +49,18 @@ _OTHER_WHITE = [*"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　​
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
-def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices in a and b of the ends that both have, by diagonal run skipping.
 
     a and b are ascending int64 arrays; their last ends need not agree.
     """
-    x, y, raw_x, raw_y = a.tolist(), b.tolist(), a.tobytes(), b.tobytes()
+    kind = np.int32 if max(a[-1:].sum(), b[-1:].sum()) < 1 << 31 else np.int64
+    width, bits = np.dtype(kind).itemsize, 8 * np.dtype(kind).itemsize
+    x, y, raw_x, raw_y = a.tolist(), b.tolist(), a.astype(kind).tobytes(), b.astype(kind).tobytes()
     n, m, i, shift = len(x), len(y), 0, 0
-    in_a: list[int] = []
-    in_b: list[int] = []
+    at_a: list[int] = []
+    at_b: list[int] = []
+    lengths: list[int] = []
     while i < n and i + shift < m:
         j = i + shift
         if x[i] != y[j]:  # an irregular group: resolved end by end
@@ -68,22 +71,26 @@ def common_ends(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
                     j += 1
             shift = j - i
             continue
-        room, known, step = min(n - i, m - j), 1, 4
-        while known < room:
-            if step > room - known:
-                step = room - known
-            p, q = 8 * (i + known), 8 * (j + known)
-            if raw_x[p : p + 8 * step] == raw_y[q : q + 8 * step]:
-                known += step
-                step *= 2
-                continue
-            apart = int.from_bytes(raw_x[p : p + 8 * step], "little") ^ int.from_bytes(raw_y[q : q + 8 * step], "little")
-            known += ((apart & -apart).bit_length() - 1) // 64  # ends of the failed step that agree
-            break
-        in_a.extend(range(i, i + known))
-        in_b.extend(range(j, j + known))
+        p, q, step = width * (i + 1), width * (j + 1), 8 * width
+        while True:
+            one, two = raw_x[p : p + step], raw_y[q : q + step]
+            if one != two:  # the first word that differs; behind the end of an array any word does
+                apart = int.from_bytes(one, "little") ^ int.from_bytes(two, "little")
+                p += ((apart & -apart).bit_length() - 1) // bits * width
+                break
+            if not one:
+                break
+            p += len(one)
+            q += len(one)
+            step *= 2
+        known = p // width - i
+        at_a.append(i)
+        at_b.append(j)
+        lengths.append(known)
         i += known
-    return in_a, in_b
+    size = np.array(lengths, np.int64)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.array(at_a, np.int64), size) + inside, np.repeat(np.array(at_b, np.int64), size) + inside
 
 
 class Pair:
@@ -104,7 +111,9 @@ class Pair:
         self.len_a, self.len_b = (np.array([len(t) for t in r], np.int64) for r in (raw_a, raw_b))
         # a group in print: ids of A, a bar, ids of B, a semicolon
         self.print = [b"%d%c" % (i, c) for n, last in ((self.size_a, b"|"), (self.size_b, b";")) for i in range(n) for c in (b",", last)]
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        #: Packed ids of words by A and B, None where their bytes aren't the word's; the table before is kept.
+        self.words: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
         with open(json_file, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
@@ -122,39 +131,50 @@ class Pair:
         """Whether single spaces and single line ends are all the white space, between words."""
         return self.by_words and SPACE not in text and text[0] not in " \n" and text[-1] not in " \n" and not any(r in text for r in _RUNS) and not any(c in text for c in _OTHER_WHITE)
 
-    def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of each text by A and B as packed 32-bit integers."""
+    def _learn(self, new: list[str]) -> None:
+        """Enters words into the table. A takes them as one text, in which each word's bytes are known."""
+        spaced = [w if w[0] == "\n" else " " + w for w in new]
+        data = [w.encode() for w in spaced]
+        one = np.asarray(self.a.encode("".join(spaced), add_special_tokens=False).ids, np.uint32)
+        bounds, ends = np.cumsum([len(d) for d in data]), np.cumsum(self.len_a[one])
+        behind = np.searchsorted(ends, bounds) + 1
+        # no space stands behind a line end
+        two = [q[1:] if w[0] == "\n" else q for w, q in zip(new, self.b.encode(new, num_threads=1), strict=True)]
+        flat, whole = [i for q in two for i in q], b"".join(data)
+        fine = b"".join(map(self.raw_a.__getitem__, one.tolist())) == whole == b"".join(map(self.raw_b.__getitem__, flat)) and np.array_equal(ends[behind - 1], bounds)
+        fine = fine and np.array_equal(np.append(0, np.cumsum(self.len_b[flat]))[np.cumsum([len(q) for q in two])], bounds)
+        packed, first = one.tobytes(), 0
+        for w, d, last, q in zip(new, data, (4 * behind).tolist(), two, strict=True):
+            p = packed[first:last]
+            first = last
+            same = fine or b"".join(map(self.raw_a.__getitem__, memoryview(p).cast("I"))) == d == b"".join(map(self.raw_b.__getitem__, q))
+            self.words[w] = (p, _packed(q)) if same else None
+
+    def ids(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of each text by A and B as packed 32-bit integers; None where their bytes aren't a space and the text."""
         cut = [t.replace("\n", " \n").split(" ") if self.simple(t) else None for t in texts]
         if len(self.words) > REMEMBER:
-            self.words = {}
+            self.before, self.words = self.words, {}
         known = self.words
-        new = list(set().union(*filter(None, cut)).difference(known))
-        if new:
-            # by A as one text, of which each word's bytes are known
-            spaced = [w if w[0] == "\n" else " " + w for w in new]
-            one = np.asarray(self.a.encode("".join(spaced), add_special_tokens=False).ids, np.uint32)
-            behind = np.searchsorted(np.cumsum(self.len_a[one]), np.cumsum([len(w.encode()) for w in spaced])) + 1
-            first = 0
-            for w, last, q in zip(new, behind.tolist(), self.b.encode(new, num_threads=1), strict=True):
-                # no space stands behind a line end
-                known[w] = one[first:last].tobytes(), _packed(q[1:] if w[0] == "\n" else q)
-                first = last
-        out = []
-        for t, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append((_packed(self.a.encode(" " + t, add_special_tokens=False).ids), _packed(self.b.encode(t))))
-            else:
-                found = list(map(known.__getitem__, words))
-                out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
-        return out
-
-    def aligned(self, text: str, packed: tuple[bytes, bytes]) -> tuple[int, int, int, str, np.ndarray, np.ndarray] | None:
+        new = set().union(*filter(None, cut)).difference(known)
+        old = new & self.before.keys()
+        known.update((w, self.before[w]) for w in old)
+        if new := list(new - old):
+            self._learn(new)
+        return [self._whole(t) if words is None else self._joined(list(map(known.__getitem__, words))) for t, words in zip(texts, cut, strict=True)]
+
+    @staticmethod
+    def _joined(found: list[tuple[bytes, bytes] | None]) -> tuple[bytes, bytes] | None:
+        return None if None in found else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+
+    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
+        a, b, data = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), b" " + text.encode()
+        return (_packed(a), _packed(b)) if b"".join(map(self.raw_a.__getitem__, a)) == data == b"".join(map(self.raw_b.__getitem__, b)) else None
+
+    def aligned(self, packed: tuple[bytes, bytes]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, digest of the groups, distinct id pairs of links and how often each is there."""
         a, b = (np.frombuffer(x, np.uint32).astype(np.int64) for x in packed)
-        data = b" " + text.encode()
-        if b"".join(map(self.raw_a.__getitem__, a.tolist())) != data or b"".join(map(self.raw_b.__getitem__, b.tolist())) != data:
-            return None
-        in_a, in_b = (np.array(x, np.int64) for x in common_ends(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])))
+        in_a, in_b = common_ends(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[in_a], last_b[in_b] = 1, 1
         # in print, a group's tokens of A stand before those of B
@@ -204,7 +224,7 @@ def aligned(df: DataFrame, json_file: str, model_file: str, key: str = "doc_id",
         for part in _slices(batches):
             texts = part.column("text").to_pylist()
             packed = iter(own.ids([t for t in texts if t]))
-            rows = [(own.aligned(t, next(packed)) if t else None) or nothing for t in texts]
+            rows = [own.aligned(p) if t and (p := next(packed)) else nothing for t in texts]
             n_a, n_b, n_groups, digest, pairs, times = zip(*rows, strict=True)
             lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), pa.array(np.concatenate(x), k)) for x, k in ((pairs, code), (times, pa.int32()))]
             number = pa.array(np.arange(seen, seen + len(rows)))

@@ -109,8 +109,8 @@ def test_common_ends_of_random_cuts():
             x, y = T.common_ends(a, b)
             assert a[x].tolist() == b[y].tolist() == sorted({*a.tolist()} & {*b.tolist()})
     long = np.arange(1, 100_001, dtype=np.int64)
-    assert T.common_ends(long, np.delete(long, [10, 50_000]))[0] == [k for k in range(100_000) if k not in (10, 50_000)]
-    assert T.common_ends(long[:3], long[5:]) == ([], [])
+    assert T.common_ends(long, np.delete(long, [10, 50_000]))[0].tolist() == [k for k in range(100_000) if k not in (10, 50_000)]
+    assert [len(x) for x in T.common_ends(long[:3], long[5:])] == [0, 0]
 
 
 def test_a_full_table_changes_nothing(texts, monkeypatch):
