@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from smeltry.catalog.registry import query
 from smeltry.catalog.tables import day, dbl, mean, share
 from smeltry.operators import aggregates as A
+from smeltry.operators import bitmaps as B
 from smeltry.plans import features, gold, late
 
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -27,6 +28,20 @@ def _(w):
     return gold.channel_visitors(w.fact_activity)
 
 
+@query(
+    "weekly_visitors",
+    f"""SELECT {day("date_trunc('week', date_id)", 'week')}, channel, count(DISTINCT customer_id) AS total_visitors FROM (
+      SELECT date_id, customer_id, 'website' AS channel FROM fact_activity WHERE device_type IN ('desktop', 'mobile', 'tablet')
+      UNION ALL SELECT date_id, customer_id, 'mobile_app' FROM fact_activity WHERE device_type = 'mobile' AND page_url LIKE '%/app/%')
+    WHERE customer_id IS NOT NULL GROUP BY ALL""",
+)
+def _(w):
+    # bitmaps of days, as they would be stored, are merged by week
+    days = gold.visitor_bitmaps(w.fact_activity, B.number_keys(w.fact_activity, "customer_id"))
+    weekly = days.withColumn("week", F.date_trunc("week", "date_id").cast("date"))
+    return gold.visitors_of(weekly, ["week", "channel"])
+
+
 @query(
     "channel_totals",
     f"""SELECT channel, {dbl('sum(total_amount)', 'revenue')}, count(DISTINCT sale_id) AS conversions FROM fact_sales GROUP BY channel

@@ -6,6 +6,8 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,35 +142,77 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 #: Correlations in one aggregate: more would outgrow generated code.
-PAIRS_AT_ONCE = 16
+PAIRS_AT_ONCE = 32
 
 
 def correlations(
     df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.5, digits: int = 4,
 ) -> DataFrame:
-    """Column pairs with |Pearson r| above the bound.
+    """Column pairs with |Pearson r| above the bound, from one pass over the rows.
 
-    Pairs are aggregates of their own, a few in each pass over the rows, so no row
-    is multiplied. Rows with a NULL in a pair do not count for it.
+    Few pairs are aggregates of their own. Many come from ``comoments``, whose work a
+    row is a product of small matrices; no row is multiplied. Rows with a NULL in a
+    pair do not count for it.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(cols, 2))
-    out = None
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        some = pairs[at : at + PAIRS_AT_ONCE]
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{k}") for k, (a, b) in enumerate(some)])
-        rows = [
-            F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_r{k}").alias("r"))
-            for k, (a, b) in enumerate(some)
-        ]
-        # one row of a few numbers becomes a row for each pair
-        part = wide.select(F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    if len(pairs) <= PAIRS_AT_ONCE:
+        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_r{k}") for k, (a, b) in enumerate(pairs)])
+        rows = [F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]
+        # one row of a few numbers becomes a row for each pair
+        out = wide.select(F.inline(F.array(*rows)))
+    else:
+        n, x, y, xx, yy, xy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+        spread = (xx - x * x / n) * (yy - y * y / n)
+        out = comoments(df, cols).select("column_a", "column_b", F.when((n > 1) & (spread > 0), (xy - x * y / n) / F.sqrt(spread)).alias("r"))
     return out.filter(F.abs("r") > above).withColumn("r", F.round("r", digits))
 
 
+def comoments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_a, column_b, n, sx, sy, sxx, syy, sxy: for each pair, sums over the rows that have both.
+
+    One pass: with NULL as 0, the product of (values, presence, squares) with itself holds
+    every pair's sums at once, for a batch of rows. A task adds up its batches and sends a
+    row for each pair. Values are taken less a pivot, the mean of a few rows, so that
+    large values with a small spread lose no digits; r does not depend on it.
+    """
+    cols = list(columns)
+    k = len(cols)
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    some = values.limit(1000).agg(*[F.avg(f"c{i}") for i in range(k)]).first()
+    pivot = np.array([p if p is not None and math.isfinite(p) else 0.0 for p in some])
+    one, two = np.triu_indices(k, 1)
+
+    def sums(batches):
+        total = np.zeros((6, len(one)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - pivot
+            m = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            odd = ~(np.isfinite(x) | (m == 0)).all(axis=1)  # NaN and infinity must reach their own pairs only
+            x[m == 0] = 0.0
+            for rows in (~odd, odd):
+                a, p = x[rows], m[rows]
+                if rows is odd and len(a):
+                    with np.errstate(invalid="ignore"):
+                        both = p[:, one] * p[:, two] > 0
+                        u, v = np.where(both, a[:, one], 0.0), np.where(both, a[:, two], 0.0)
+                        total += np.array([w.sum(axis=0) for w in (both, u, v, u * u, v * v, u * v)])
+                elif len(a):
+                    total += np.array([g[i, j] for g, i, j in ((p.T @ p, one, two), (a.T @ p, one, two), (a.T @ p, two, one), ((a * a).T @ p, one, two), ((a * a).T @ p, two, one), (a.T @ a, one, two))])
+        yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), *map(pa.array, total)], ["i", "j", *SUMS])
+
+    parts = values.mapInArrow(sums, ", ".join(["i int", "j int", *(f"{s} double" for s in SUMS)]))
+    names = F.array(*[F.lit(c) for c in cols])
+    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS]).select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), *SUMS
+    )
+
+
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def share_of_group(df: DataFrame, group: Sequence[str], value: str, out: str, digits: int = 4) -> DataFrame:
     """value / group total, for frames already aggregated to few rows per group."""
     total = F.sum(value).over(W.partitionBy(*group))

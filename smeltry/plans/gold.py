@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from smeltry import schemas as S
 from smeltry.functions import columns as C
 from smeltry.functions.ladders import ACTIVITY_STATUS, PURCHASE_DIVERSITY, bucket
+from smeltry.operators import bitmaps as B
 from smeltry.operators import rows as R
 from smeltry.operators.joins import temporal_join
 from smeltry.sources.files import scan_slice
@@ -44,12 +45,35 @@ def fact_user_activity(events: DataFrame, day: date | str | None = None) -> Data
     )
 
 
-def daily_channel_sales(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("date_id", "channel").agg(
-        F.sum("total_amount").alias("total_revenue"),
-        F.count_distinct("sale_id").alias("total_transactions"),
-        F.count_distinct("customer_sk").alias("unique_customers"),
-    )
+def daily_channel_sales(fact: DataFrame, unique_sales: bool = True) -> DataFrame:
+    """Revenue, sales and distinct customers per day and channel.
+
+    A sale stands in the fact once, as the silver layer leaves it (the gold rule on
+    ``sale_id`` checks it). So rows are reduced map-side to (day, channel, customer), and
+    those to (day, channel): no row is expanded for a distinct count. For facts that may
+    hold a sale twice ``unique_sales=False`` counts sales apart, by sale.
+    """
+    day = ["date_id", "channel"]
+    if unique_sales:
+        each = fact.groupBy(*day, "customer_sk").agg(F.sum("total_amount").alias("total_revenue"), F.count("sale_id").alias("total_transactions"))
+        return _summed_again(each, day, ["total_revenue", "total_transactions"], F.count("customer_sk").alias("unique_customers"))
+    each = fact.groupBy(*day, "sale_id").agg(F.sum("total_amount").alias("total_revenue"))
+    sales = _summed_again(each, day, ["total_revenue"], F.count("sale_id").alias("total_transactions"))
+    people = fact.groupBy(*[F.col(c).alias(f"_{c}") for c in day]).agg(F.count_distinct("customer_sk").alias("unique_customers"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in day]
+    return sales.join(people, same, "inner").drop(*[f"_{c}" for c in day])
+
+
+def _summed_again(df: DataFrame, keys: Sequence[str], sums: Sequence[str], *more: Column) -> DataFrame:
+    """A second grouping, whose sums keep the type that the first gave them."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.groupBy(*keys).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in sums], *more)
+
+
+def channel_visits(activity: DataFrame, rules: Mapping = VISIT_RULES) -> DataFrame:
+    """date_id, customer_id and each channel that an event counts for."""
+    counted = F.array_compact(F.array(*[F.when(rule(), F.lit(ch)) for ch, rule in rules.items()]))
+    return activity.select("date_id", "customer_id", F.explode(counted).alias("channel"))
 
 
 def channel_visitors(activity: DataFrame, rules: Mapping = VISIT_RULES) -> DataFrame:
@@ -58,12 +82,22 @@ def channel_visitors(activity: DataFrame, rules: Mapping = VISIT_RULES) -> DataF
     An event may count for several channels; it is expanded to those only, so a
     single distinct count serves all channels in one scan.
     """
-    counted = F.array_compact(F.array(*[F.when(rule(), F.lit(ch)) for ch, rule in rules.items()]))
-    return (
-        activity.select("date_id", "customer_id", F.explode(counted).alias("channel"))
-        .groupBy("date_id", "channel")
-        .agg(F.count_distinct("customer_id").alias("total_visitors"))
-    )
+    return channel_visits(activity, rules).groupBy("date_id", "channel").agg(F.count_distinct("customer_id").alias("total_visitors"))
+
+
+def visitor_bitmaps(activity: DataFrame, numbers: DataFrame, rules: Mapping = VISIT_RULES) -> DataFrame:
+    """date_id, channel, bucket, bitmap of each day's visitors, to be stored by day.
+
+    ``numbers`` is ``bitmaps.number_keys`` of the customers. A customer's visits of a day
+    are one row before numbers are looked up.
+    """
+    visits = channel_visits(activity, rules).distinct().join(numbers.select("customer_id", "number"), "customer_id", "inner")
+    return B.key_bitmaps(visits, ["date_id", "channel"])
+
+
+def visitors_of(stored: DataFrame, groups: Sequence[str] = ("channel",)) -> DataFrame:
+    """Distinct visitors of stored days by coarser groups; filter ``stored`` to the days wanted."""
+    return B.bitmap_totals(B.merge_bitmaps(stored, groups), groups, "total_visitors")
 
 
 def sales_performance(
@@ -85,28 +119,34 @@ def sales_performance(
 
 def campaign_effectiveness(
     fact: DataFrame, campaigns: DataFrame, channel_map: DataFrame, day: date | str | None = None,
+    unique_sales: bool = True,
 ) -> DataFrame:
     """Return on each campaign's budget, per day.
 
     ``channel_map`` rows (campaign_id, sales_channel, channel, customer_segment)
     say which sales channels a campaign is credited with and how to label it.
-    Days without sales for a campaign give no row.
+    Days without sales for a campaign give no row. ``unique_sales`` as in
+    ``daily_channel_sales``; a plan that names a channel twice for a campaign credits it twice.
     """
     if day is not None:
         fact = fact.filter(F.col("date_id") == C.day_lit(day))
     plan = channel_map.join(
         campaigns.select("campaign_id", F.col("budget").alias("spend")), "campaign_id", "inner"
     ).withColumnRenamed("channel", "label")
-    credited = (
-        fact.select("date_id", "sale_id", "total_amount", F.col("channel").alias("sales_channel"))
-        .join(plan, "sales_channel", "inner")
-        .groupBy("campaign_id", "date_id", "spend", "label", "customer_segment")
-        .agg(
-            F.sum("total_amount").alias("revenue"),
-            F.count_distinct("sale_id").alias("conversions"),
+    if unique_sales:
+        # a sale has one channel: sums by day and channel, a few rows, are credited instead of sales
+        sums = fact.groupBy("date_id", F.col("channel").alias("sales_channel")).agg(F.sum("total_amount").alias("revenue"), F.count("sale_id").alias("conversions"))
+        credited = _summed_again(
+            sums.join(plan, "sales_channel", "inner"), ["campaign_id", "date_id", "spend", "label", "customer_segment"], ["revenue", "conversions"]
         )
-        .filter("revenue IS NOT NULL")
-    )
+    else:
+        credited = (
+            fact.select("date_id", "sale_id", "total_amount", F.col("channel").alias("sales_channel"))
+            .join(plan, "sales_channel", "inner")
+            .groupBy("campaign_id", "date_id", "spend", "label", "customer_segment")
+            .agg(F.sum("total_amount").alias("revenue"), F.count_distinct("sale_id").alias("conversions"))
+        )
+    credited = credited.filter("revenue IS NOT NULL")
     spend, revenue = F.col("spend"), F.col("revenue")
     return credited.select(
         "campaign_id", "date_id", "spend", "revenue",
@@ -125,16 +165,17 @@ def value_segment(transactions: Column, average: Column) -> Column:
     )
 
 
-def customer_metrics(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
+def customer_metrics(fact: DataFrame, dim_product: DataFrame, unique_sales: bool = True) -> DataFrame:
     """Per customer key: distinct sales, spend, last day, distinct categories.
 
     Categories are looked up on the distinct (customer, product) pairs rather
     than on every sale, and everything is reduced to one row per customer before
     any dimension is joined, so a hot product or customer is combined map-side.
+    ``unique_sales`` as in ``daily_channel_sales``.
     """
     known = fact.filter("customer_sk IS NOT NULL")
     totals = known.groupBy("customer_sk").agg(
-        F.count_distinct("sale_id").alias("total_transactions"),
+        (F.count if unique_sales else F.count_distinct)("sale_id").alias("total_transactions"),
         F.sum("total_amount").alias("total_spend"),
         F.count("total_amount").alias("_amounts"),
         F.max("date_id").alias("last_purchase_date"),

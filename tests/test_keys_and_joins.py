@@ -264,3 +264,33 @@ def test_exact_quantiles_narrow_until_few_values_are_left(spark, monkeypatch):
     assert tuple(A.exact_quantiles(two, ["v"], accuracy=100, probs={"m": 0.5, "n": 0.501}, at_most=1).first()) == (0, 1)
     days = spark.range(1001).select(F.expr("date_add(date'2024-01-01', cast(id as int))").alias("d"), F.col("id").cast("decimal(9,2)").alias("m"))
     assert [str(x) for x in A.exact_quantiles(days, ["d", "m"], accuracy=100, probs={"q": 0.25}, at_most=2).first()] == ["2024-09-07", "250.00"]
+
+
+def test_visitors_of_stored_days_equal_a_recount(spark, folder):
+    from smeltry.operators import bitmaps as B
+
+    rng = random.Random(3)
+    rows = [(f"2024-01-{rng.randrange(1, 15):02}", f"c{rng.randrange(300)}" if rng.random() < 0.95 else None, rng.choice(["desktop", "mobile", "tv"]), rng.choice(["/app/x", "/y/app/z", "/q"])) for _ in range(4000)]
+    activity = spark.createDataFrame(rows, "date_id string, customer_id string, device_type string, page_url string").withColumn("date_id", F.col("date_id").cast("date"))
+    early, late_ = activity.filter("date_id < '2024-01-08'"), activity.filter("date_id >= '2024-01-08'")
+    numbers = B.number_keys(early, "customer_id", hex_digits=1)
+    more = B.number_keys(late_, "customer_id", numbers, hex_digits=1)
+    kept = {r.customer_id: r.number for r in more.collect()}
+    assert len(set(kept.values())) == len(kept) == 300 and all(kept[r.customer_id] == r.number for r in numbers.collect())
+    for part, known in ((early, numbers), (late_, more)):  # a run for each week, days stored apart
+        gold.visitor_bitmaps(part, known).write.mode("append").partitionBy("date_id").parquet(f"{folder}/bits")
+    stored = spark.read.parquet(f"{folder}/bits")
+    week = stored.filter("date_id BETWEEN '2024-01-04' AND '2024-01-10'")
+    want = activity.filter("date_id BETWEEN '2024-01-04' AND '2024-01-10'")
+    recount = gold.channel_visits(want).groupBy("channel").agg(F.count_distinct("customer_id").alias("n"))
+    assert {r.channel: r.total_visitors for r in gold.visitors_of(week).collect()} == {r.channel: r.n for r in recount.collect()}
+    days = {(r.date_id, r.channel): r.total_visitors for r in gold.visitors_of(stored, ["date_id", "channel"]).collect()}
+    assert days == {(r.date_id, r.channel): r.total_visitors for r in gold.channel_visitors(activity).collect() if r.total_visitors}
+
+
+def test_sales_that_stand_twice(spark):
+    rows = [("s1", 1, "2024-01-01", "shop", 10), ("s1", 2, "2024-01-01", "shop", 5), ("s2", 1, "2024-01-01", "shop", 1), (None, None, "2024-01-01", None, 2)]
+    fact = spark.createDataFrame(rows, "sale_id string, customer_sk bigint, date_id string, channel string, total_amount int").withColumn("date_id", F.col("date_id").cast("date"))
+    got = {r.channel: tuple(r)[2:] for r in gold.daily_channel_sales(fact, unique_sales=False).select("date_id", "channel", "total_revenue", "total_transactions", "unique_customers").collect()}
+    assert got == {"shop": (16, 2, 2), None: (2, 0, 0)}
+    assert {r.channel: r.unique_customers for r in gold.daily_channel_sales(fact).collect()} == {"shop": 2, None: 0}

@@ -78,3 +78,46 @@ def test_building_queries_writes_nothing(spark, sf):
     for name in ("feature_table", "price_rank_in_category", "hybrid_rollup", "validate_gold_layer", "cross_layer_reconciliation", "metrics_validation"):
         all_queries()[name](spark, sf)
     assert set(home.rglob("*")) == before
+
+
+def test_distinct_counts_expand_no_row(spark, sf):
+    from smeltry.plans import gold
+
+    w = Workload(spark, sf)
+    for df in (gold.daily_channel_sales(w.fact_sales), gold.daily_channel_sales(w.fact_sales, unique_sales=False), all_queries()["sales_performance"](spark, sf)):
+        assert "Expand" not in plan(df)
+
+
+def test_forty_columns_are_correlated_in_one_scan(spark, sf, folder):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 40)) @ rng.normal(size=(40, 40)) + 1e9
+    x[:, 7] = 3.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in x]
+    names = [f"x{k}" for k in range(40)]
+    spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5).write.parquet(f"{folder}/wide")
+    got = A.correlations(spark.read.parquet(f"{folder}/wide"), above=-1.0, digits=6)
+    assert plan(got).count("FileScan") == 1
+    found = {(r.column_a, r.column_b): r.r for r in got.collect()}
+    for i in range(40):
+        for j in range(i + 1, 40):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            if 7 in (i, j):
+                assert (names[i], names[j]) not in found
+            else:
+                assert abs(found[names[i], names[j]] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 2e-6
+    few = A.correlations(spark.read.parquet(f"{folder}/wide"), names[:5], above=-1.0, digits=6)
+    assert all(abs(found[r.column_a, r.column_b] - r.r) < 2e-6 for r in few.collect())
+
+
+def test_not_a_number_stays_in_its_pairs(spark):
+    names = [f"x{k}" for k in range(10)]
+    rows = [[float((k + 1) * i % 7) for k in range(10)] for i in range(30)]
+    rows.append([float("nan"), None] + [1.0] * 8)
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    sums = {(r.column_a, r.column_b): r for r in A.comoments(df, names).collect()}
+    assert sums["x0", "x1"].n == 30 and sums["x0", "x1"].sxy == sums["x0", "x1"].sxy
+    assert sums["x0", "x2"].n == 31 and sums["x0", "x2"].sx != sums["x0", "x2"].sx
+    assert sums["x2", "x3"].n == 31
