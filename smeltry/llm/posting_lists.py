@@ -48,7 +48,7 @@ COPIES, NEAR = 3, 1.05
 #: Share of the sampled queries' neighbours that the lists read must hold.
 COVER = 0.97
 #: Sampled queries; stored rows that give a query its first neighbours, one of SEED_SHARE, and their bytes at most.
-TRIALS, SEEDS, SEED_SHARE, SEED_BYTES = 400, 16_384, 8, 16 << 20
+TRIALS, SEEDS, SEED_SHARE, SEED_BYTES = 400, 16_384, 4, 16 << 20
 #: Rows and queries in a block.
 ROWS, QUERIES = 4096, 1024
 #: Links of a centroid to near and to far ones; entries of a search; centroids followed at least.
@@ -168,13 +168,17 @@ def fit(sample: np.ndarray, norm2: float, rows: int, k: int) -> Index:
     if len(sample) < 8 * (k + 1):
         return index  # a few lists, all of which are read
     trials = rng.choice(len(sample), min(TRIALS, len(sample)), replace=False)
-    scores = sample[trials] @ sample.T
-    scores[np.arange(len(trials)), trials] = -np.inf
-    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    best = np.empty((len(trials), k), np.int64)
+    for at in range(0, len(trials), 16):
+        some = trials[at : at + 16]
+        far = -(sample[some] @ sample.T)
+        far[np.arange(len(some)), some] = np.inf
+        best[at : at + 16] = np.argpartition(far, k - 1, axis=1)[:, :k]
     found, place = np.unique(best, return_inverse=True)
     row, holds = index.lists_of(sample[found])
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # rows ascend
-    d = index.distances(index.lift(sample[trials], query=True), math.inf)
+    x = index.lift(sample[trials], query=True)
+    d = np.concatenate([index.distances(x[at : at + 16], math.inf) for at in range(0, len(x), 16)])
     place = place.reshape(best.shape)
     # the distance to the nearest list that holds the neighbour
     needed = np.array([np.minimum.reduceat(d[i, holds], first)[place[i]] for i in range(len(trials))])
