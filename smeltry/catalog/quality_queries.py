@@ -7,6 +7,7 @@ from smeltry.catalog.registry import query
 from smeltry.catalog.tables import big, day, dbl
 from smeltry.plans import gold
 from smeltry.quality import checks as Q
+from smeltry.quality import counters as K
 from smeltry.quality import expectations as X
 from smeltry.quality import rollup as U
 from smeltry.quality import rules as Rl
@@ -531,6 +532,17 @@ def _(w):
     return Q.validate_table(w.bronze_events, "raw_user_events", Q.LAYER_RULES["bronze"]["raw_user_events"])
 
 
+@query("validate_from_counters", BRONZE_EVENTS_SQL)
+def _(w):
+    # days counted by an earlier run, and those that came since
+    config, day = Q.LAYER_RULES["bronze"]["raw_user_events"], F.to_date("event_time")
+    rules = Rl.rules_from_config(config, w.bronze_events.columns)
+    old = w.bronze_events.filter(~F.coalesce(day >= F.lit("2024-01-20"), F.lit(False)))
+    new = w.bronze_events.filter(day >= F.lit("2024-01-20"))
+    counters = K.rule_counters(old, "raw_user_events", rules, day).unionByName(K.rule_counters(new, "raw_user_events", rules, day))
+    return K.validate_from_counters(counters, w.bronze_events, "raw_user_events", config)
+
+
 @query("validate_bronze_layer", rows(BRONZE_EVENTS_SQL, BRONZE_SALES_SQL))
 def _(w):
     return Q.validate_layer(

@@ -232,6 +232,7 @@ def silver_post_load(df: DataFrame, table: str, key: str, required: Sequence[str
 def validate_table(
     df: DataFrame, table: str, config: Mapping, parents: Mapping[str, DataFrame] | None = None,
     slice_of: Callable[[DataFrame], DataFrame] | None = None,
+    run: Callable[[DataFrame, str, Sequence[Q.Rule]], DataFrame] = Q.run_rules,
 ) -> DataFrame:
     """All configured checks of one table as result rows.
 
@@ -248,7 +249,7 @@ def validate_table(
         )
     rules = Q.rules_from_config(config, df.columns)
     if rules:
-        parts.append(Q.run_rules(df, table, rules))
+        parts.append(run(df, table, rules))
     refs = {k: parents[v] for k, v in config.get("referential_integrity", {}).items() if parents and v in parents}
     if refs:
         parts.append(referential_integrity(df, table, refs))

@@ -32,7 +32,11 @@ Verdict = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` is an aggregate; ``verdict(value, total)`` yields its status."""
+    """``value`` is an aggregate; ``verdict(value, total)`` yields its status.
+
+    Rules whose counts add up over slices of a table also name these: ``bad`` rows, and
+    ``base`` where the value is their share of it.
+    """
 
     check: str
     column: str
@@ -43,6 +47,14 @@ class Rule:
     distinct_on: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
     condition: str | None = None
+    bad: Column | None = None
+    base: Column | None = None
+
+
+def _counted(check, column, metric, bad, verdict, threshold, base=None, **more) -> Rule:
+    """A rule on a count of rows, or on its share of another count."""
+    value = bad if base is None else share(bad, base)
+    return Rule(check, column, metric, value, verdict, threshold, bad=bad, base=base, **more)
 
 
 def _fail_if(bad: Column) -> Column:
@@ -57,7 +69,7 @@ def _empty_warns(status: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit("WARN")).otherwise(status)
 
 
-def _share(part: Column, whole: Column) -> Column:
+def share(part: Column, whole: Column) -> Column:
     return F.coalesce(part.cast("double") / F.when(whole != 0, whole), F.lit(0.0))
 
 
@@ -71,15 +83,13 @@ def null_limit(column: str, level: str = "optional_fields") -> Rule:
             F.when(value > limit, F.lit(worse)).otherwise(F.lit("PASS")), total
         )
 
-    value = _share(F.count_if(F.col(column).isNull()), F.count(F.lit(1)))
-    return Rule("nulls", column, "null_percentage", value, verdict, limit, needs=(column,))
+    return _counted("nulls", column, "null_percentage", F.count_if(F.col(column).isNull()), verdict, limit, F.count(F.lit(1)), needs=(column,))
 
 
 def null_count(column: str, limit: float = 0.05) -> Rule:
-    value = _share(F.count_if(F.col(column).isNull()), F.count(F.lit(1)))
-    return Rule(
-        "null_percentage", column, "null_percentage", value,
-        lambda v, t: _fail_if(v > limit), limit, needs=(column,),
+    return _counted(
+        "null_percentage", column, "null_percentage", F.count_if(F.col(column).isNull()),
+        lambda v, t: _fail_if(v > limit), limit, F.count(F.lit(1)), needs=(column,),
     )
 
 
@@ -90,8 +100,9 @@ def completeness(column: str) -> Rule:
         graded = F.when(value > COMPLETENESS_LIMIT, F.lit("FAIL")).when(value > 0, F.lit("WARN")).otherwise(F.lit("PASS"))
         return _empty_warns(graded, total)
 
-    value = _share(F.count_if(F.col(column).isNull()), F.count(F.lit(1)))
-    return Rule("completeness", column, "null_percentage", value, verdict, COMPLETENESS_LIMIT, needs=(column,))
+    return _counted(
+        "completeness", column, "null_percentage", F.count_if(F.col(column).isNull()), verdict, COMPLETENESS_LIMIT, F.count(F.lit(1)), needs=(column,),
+    )
 
 
 def _distinct(columns: Sequence[str]) -> Column:
@@ -100,7 +111,7 @@ def _distinct(columns: Sequence[str]) -> Column:
 
 
 def duplicates(columns: Sequence[str], limit: float = DUPLICATE_LIMIT) -> Rule:
-    value = _share(F.count(F.lit(1)) - _distinct(columns), F.count(F.lit(1)))
+    value = share(F.count(F.lit(1)) - _distinct(columns), F.count(F.lit(1)))
     return Rule(
         "duplicates", "_".join(columns), "duplicate_percentage", value,
         lambda v, t: _fail_if(v > limit), limit, tuple(columns), tuple(columns),
@@ -132,9 +143,9 @@ def value_range(column: str, low=None, high=None) -> list[Rule]:
 
     out = []
     if low is not None:
-        out.append(Rule("range", column, "below_minimum", F.count_if(c < bound(low)), _count_fails, number(low), needs=(column,)))
+        out.append(_counted("range", column, "below_minimum", F.count_if(c < bound(low)), _count_fails, number(low), needs=(column,)))
     if high is not None:
-        out.append(Rule("range", column, "above_maximum", F.count_if(c > bound(high)), _count_fails, number(high), needs=(column,)))
+        out.append(_counted("range", column, "above_maximum", F.count_if(c > bound(high)), _count_fails, number(high), needs=(column,)))
     return out
 
 
@@ -142,27 +153,28 @@ def pattern(column: str, regex: str | None = None, kind: str | None = None, limi
     """Share of non-NULL values that do not match; over the limit fails."""
     regex = regex or PATTERNS[kind]
     c = F.col(column)
-    value = _share(F.count_if(~c.rlike(regex)), F.count(c))
-    return Rule("pattern", column, "violation_percentage", value, lambda v, t: _fail_if(v > limit), limit, needs=(column,))
+    return _counted(
+        "pattern", column, "violation_percentage", F.count_if(~c.rlike(regex)), lambda v, t: _fail_if(v > limit), limit, F.count(c), needs=(column,),
+    )
 
 
 def business_rule(name: str, condition: str, severity: str = "WARNING") -> Rule:
     """Rows for which the condition is false; an unknown (NULL) result is no violation."""
     worse = "FAIL" if severity == "CRITICAL" else "WARN"
-    return Rule(
+    return _counted(
         "business_rule", name, "violation_count", F.count_if(F.expr(f"NOT ({condition})")),
         lambda v, t: F.when(v > 0, F.lit(worse)).otherwise(F.lit("PASS")), 0.0, condition=condition,
     )
 
 
 def allowed_values(column: str, values: Sequence) -> Rule:
-    return Rule(
+    return _counted(
         "allowed_values", column, "invalid_count", F.count_if(~F.col(column).isin(list(values))),
         _count_fails, 0.0, needs=(column,),
     )
 
 
-def _result(table: str, rule: Rule, value: Column, total: Column) -> Column:
+def result(table: str, rule: Rule, value: Column, total: Column) -> Column:
     return F.struct(
         F.lit(table).alias("table_name"), F.lit(rule.check).alias("check_name"),
         F.lit(rule.column).alias("column_name"), rule.verdict(value, total).alias("status"),
@@ -174,11 +186,11 @@ def _result(table: str, rule: Rule, value: Column, total: Column) -> Column:
 def _evaluate(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_total")]
     aggs += [r.value.alias(f"_v{i}") for i, r in enumerate(rules)]
-    rows = [_result(table, r, F.col(f"_v{i}"), F.col("_total")) for i, r in enumerate(rules)]
+    rows = [result(table, r, F.col(f"_v{i}"), F.col("_total")) for i, r in enumerate(rules)]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def _resolves(df: DataFrame, condition: str | None) -> bool:
+def resolves(df: DataFrame, condition: str | None) -> bool:
     """Whether the condition can be analysed against the frame; runs no job."""
     if condition is None:
         return True
@@ -195,7 +207,7 @@ def run_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     an ERROR row and leaves the others running.
     """
     have = set(df.columns)
-    usable = [r for r in rules if set(r.needs) <= have and _resolves(df, r.condition)]
+    usable = [r for r in rules if set(r.needs) <= have and resolves(df, r.condition)]
     absent = [r for r in rules if not any(r is u for u in usable)]
     parts = []
     simple = [r for r in usable if not r.distinct_on]

@@ -96,7 +96,7 @@ def with_day_columns(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def _in_slices(table: DataFrame, column: str, slices: DataFrame) -> DataFrame:
+def in_slices(table: DataFrame, column: str, slices: DataFrame) -> DataFrame:
     """Rows of the table whose ``column`` is in ``slices``, NULL included.
 
     The bounds of the slices go into the filter as literals, so partitions
@@ -138,7 +138,7 @@ def upsert_table(source: DataFrame, table: str, keys: Sequence[str], partition_b
     """
     spark = source.sparkSession
     target = spark.table(table)
-    slices = _in_slices(target, partition_by, source.select(partition_by).distinct())
+    slices = in_slices(target, partition_by, source.select(partition_by).distinct())
     merged = U.upsert(slices, R.select_schema(source, target.schema), keys, order)
     staging = f"{table}__merge_{uuid.uuid4().hex}"
     merged.write.format("parquet").saveAsTable(staging)

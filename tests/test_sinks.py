@@ -106,7 +106,7 @@ def test_upsert_reads_and_writes_touched_days_only(spark, table):
     sinks.upsert_table(frame(spark, [(2, "new", "2024-01-02")]), table, ["k"], "d")
     assert before <= files(spark, table)
     days = frame(spark, [(0, "", "2024-01-02")]).select("d")
-    text = sinks._in_slices(spark.table(table), "d", days)._jdf.queryExecution().executedPlan().toString()
+    text = sinks.in_slices(spark.table(table), "d", days)._jdf.queryExecution().executedPlan().toString()
     part = text[text.index("PartitionFilters"):]
     assert "2024-01-02" in part[: part.index("]")]
 
