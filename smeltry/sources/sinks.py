@@ -116,16 +116,24 @@ def replace_slices_in_table(fresh: DataFrame, table: str, partition_by: str, dat
     ``dates`` are the touched slices, in a column named like the partition; as many
     come to the driver as become empty.
     """
+    if dates is None:
+        overwrite_partition(fresh, table, [partition_by])
+        return
+    # read twice, for its slices and its rows: staged, so that it is computed once
     spark = fresh.sparkSession
-    if dates is not None:
-        left = fresh.select(F.col(partition_by).alias("_fresh")).distinct()
+    staging = f"{table}__slices_{uuid.uuid4().hex}"
+    fresh.write.format("parquet").saveAsTable(staging)
+    try:
+        staged = spark.table(staging)
+        left = staged.select(F.col(partition_by).alias("_fresh")).distinct()
         gone = dates.select(partition_by).distinct().join(left, F.col(partition_by).eqNullSafe(F.col("_fresh")), "left_anti")
         values = [None if r[0] is None else str(r[0]) for r in gone.collect()]
-    overwrite_partition(fresh, table, [partition_by])
-    if dates is not None:
-        for value in values:
-            literal = "null" if value is None else "'" + value.replace("'", "\\'") + "'"
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition_by} = {literal})")
+        overwrite_partition(staged, table, [partition_by])
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    for value in values:
+        literal = "null" if value is None else "'" + value.replace("'", "\\'") + "'"
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({partition_by} = {literal})")
 
 
 def upsert_table(source: DataFrame, table: str, keys: Sequence[str], partition_by: str, order=None) -> None:

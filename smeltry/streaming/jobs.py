@@ -75,21 +75,23 @@ def delay_report_stream(
     ``report(totals, recent, batch_id)`` gets the frames of ``E.delay_totals`` and
     ``E.recent_high_delays`` over all rows read yet. What is carried from batch to
     batch is bounded: counts per label, and the ``last`` newest rows. It is written
-    to ``folder`` under the batch's number, so a replayed batch gives the same.
+    to two slots of ``folder`` in turn: a replayed batch reads the slot of the batch
+    before and writes its own again, and the folder never holds more.
     """
     spark = stream.sparkSession
+    slot = lambda name, n: f"{folder}/{name}/slot-{n % 2}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         delayed = R.with_delay(batch, event_ts, ingest_ts, MONITOR_DELAY)
         counts = delayed.groupBy(by, "delay_category").agg(F.count(F.lit(1)).alias("messages"))
         newest = delayed
         if batch_id > 0:
-            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(f"{folder}/counts/batch-{batch_id - 1}"))
-            newest = newest.unionByName(spark.read.schema(newest.schema).parquet(f"{folder}/newest/batch-{batch_id - 1}"))
+            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(slot("counts", batch_id - 1)))
+            newest = newest.unionByName(spark.read.schema(newest.schema).parquet(slot("newest", batch_id - 1)))
         summed = counts.groupBy(by, "delay_category").agg(F.sum("messages").alias("messages"))
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/batch-{batch_id}")
-        newest.orderBy(*order).limit(last).write.mode("overwrite").parquet(f"{folder}/newest/batch-{batch_id}")
-        read = lambda name: spark.read.parquet(f"{folder}/{name}/batch-{batch_id}")
+        summed.coalesce(1).write.mode("overwrite").parquet(slot("counts", batch_id))
+        newest.orderBy(*order).limit(last).coalesce(1).write.mode("overwrite").parquet(slot("newest", batch_id))
+        read = lambda name: spark.read.parquet(slot(name, batch_id))
         report(E.delay_totals(read("counts"), by), E.recent_high_delays(read("newest"), order, threshold_hours, last, show), batch_id)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -135,3 +135,62 @@ def test_interval_join_of_ten_thousand_versions(spark):
     assert "_month" in text and "NestedLoop" not in text
     bins = next(x for x in text.split("\n") if "Join [" in x and "_month" in x)
     assert "_from" not in bins  # the range is no residual of the join
+
+
+def test_history_table_rewrites_the_current_part_only(spark, dim, snapshot):
+    from smeltry.sources import history_table as T
+
+    spark.sql("DROP TABLE IF EXISTS hist_t")
+    T.create_history(dim, "hist_t")
+    attrs, order, stamp = ["name", "email"], [F.desc("last_updated")], "2024-01-10 00:00:00"
+    later = spark.createDataFrame([("same", "a2", "a@x", "08"), ("new", "n", "n2@x", "08"), ("newer", "m", None, "08")], SNAP)
+    third = spark.createDataFrame([("same", "a3", "a@x", "08"), ("absent", "e9", "e@x", "08")], SNAP)
+    want, closed = dim, None
+    shown = lambda df: sorted(map(str, df.select("customer_id", "name", "email", "effective_start_date", "effective_end_date", "is_current", "updated_time").collect()))
+    for n, (snap, day) in enumerate([(snapshot, D1), (later, D2), (third, date(2024, 2, 1))]):
+        want = H.scd2_apply(want, snap, "customer_id", attrs, day, order=order, stamp=stamp)
+        for again in range(2):
+            before = set(spark.table("hist_t").inputFiles())
+            changed = T.apply_snapshot(snap, "hist_t", "customer_id", attrs, day, f"b{n}", order=order, stamp=stamp)
+            spark.catalog.refreshTable("hist_t")
+            files = set(spark.table("hist_t").inputFiles())
+            assert changed == (again == 0)
+            if again:
+                assert files == before
+            else:
+                assert {f for f in before if "is_current=false" in f} <= files
+        stored = T.versions(spark.table("hist_t"))
+        assert shown(stored) == shown(want) and stored.count() == stored.select("customer_sk").distinct().count()
+    assert spark.table("hist_t").filter("is_current").select("closed_in").distinct().count() == 1
+    # a batch that closes more later keeps what it closed before
+    fourth = spark.createDataFrame([("filled", "zz", "c@x", "08")], SNAP)
+    n = spark.table("hist_t").count()
+    T.apply_snapshot(fourth, "hist_t", "customer_id", attrs, date(2024, 2, 1), "b2", stamp=stamp)
+    assert spark.table("hist_t").count() == n + 1
+    spark.sql("DROP TABLE hist_t")
+
+
+def test_a_run_that_dies_between_its_writes_is_replayed(spark, dim, snapshot, monkeypatch):
+    from smeltry.sources import history_table as T
+    from smeltry.sources import sinks
+
+    spark.sql("DROP TABLE IF EXISTS hist_u")
+    T.create_history(dim, "hist_u")
+    args = ("hist_u", "customer_id", ["name", "email"], D1, "b")
+    real, calls = sinks.overwrite_partition, []
+
+    def dies(df, *a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        real(df, *a)
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "overwrite_partition", dies)
+        with pytest.raises(RuntimeError):
+            T.apply_snapshot(snapshot, *args, order=[F.desc("last_updated")], stamp="2024-01-10 00:00:00")
+    assert T.apply_snapshot(snapshot, *args, order=[F.desc("last_updated")], stamp="2024-01-10 00:00:00")
+    want = run(dim, snapshot, D1).select("customer_id", "name", "email", "effective_start_date", "effective_end_date", "is_current")
+    assert sorted(map(str, T.versions(spark.table("hist_u")).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert not [t.name for t in spark.catalog.listTables() if "__scd2_" in t.name]
+    spark.sql("DROP TABLE hist_u")

@@ -3,6 +3,8 @@
 import glob
 import os
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from smeltry import schemas as S
@@ -166,3 +168,5 @@ def test_delay_report_of_micro_batches_equals_batch(spark, sf, folder):
     assert len(seen) >= 3
     assert seen[-1][1] == rows(totals)
     assert seen[-1][2] == list(map(str, E.recent_high_delays(delayed, order).collect()))
+    # as many files after many batches as after two
+    assert len([p for p in Path(f"{folder}/state").rglob("part-*.parquet")]) <= 4
