@@ -41,47 +41,60 @@ def piece_size(m: int) -> tuple[int, int]:
     return k, m - k + 1
 
 
-def _pieces(m: int, at_every: int) -> Column:
-    """(m, at, h) for the pieces of `words` at positions 1, 1 + at_every, ..."""
+_PIECE = "struct<m:int,at:int,h:bigint,around:array<string>>"
+
+
+def _pieces(m: int, at_every: int, size: int) -> Column:
+    """(m, at, h, around) for the pieces of `words` at positions 1, 1 + at_every, ...
+
+    around: the 2 * size + 1 words around the first word of the piece, null outside the
+    text, so rows made of pieces needn't carry the text. Words are taken one by one: a
+    slice of a long array costs the whole array.
+    """
     k, _ = piece_size(m)
     last = F.size("words") - k + 1
-    one = lambda at: F.struct(F.lit(m).alias("m"), at.alias("at"), F.xxhash64(F.slice("words", at, k), F.lit(m)).alias("h"))
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last, F.lit(at_every)), one)).otherwise(F.array().cast("array<struct<m:int,at:int,h:bigint>>"))
+    word = lambda at: F.when(at >= 1, F.get("words", at - 1))
+    one = lambda at: F.struct(
+        F.lit(m).alias("m"), at.alias("at"), F.xxhash64(F.array(*[F.get("words", at + j) for j in range(-1, k - 1)]), F.lit(m)).alias("h"),
+        F.array(*[word(at + j) for j in range(-size, size + 1)]).alias("around"),
+    )
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last, F.lit(at_every)), one)).otherwise(F.array().cast(f"array<{_PIECE}>"))
 
 
-def _context(words_: str, at: Column, size: int) -> Column:
-    """The 2 * size + 1 words around the first word of a piece; null outside the text."""
-    inside = lambda j: F.when(j >= 1, F.get(words_, j - 1))
-    return F.transform(F.sequence(at - size, at + size), inside)
+def _cut(df: DataFrame, text: str, *more: Column) -> DataFrame:
+    """More columns and words. These come from a generator: an optimizer that put their
+    expression in place of the column would evaluate it again for each piece."""
+    return df.select(*more, F.explode(F.array(words(F.col(text)))).alias("words"))
 
 
 def index_of(items: DataFrame, size: int = SIZE, key: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int], int]:
     """Pieces of all items with their context, the window lengths that occur, and the number of words."""
-    cut = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("words")).where("size(words) > 0")
+    cut = _cut(items, text, F.col(key).cast("string").alias("item")).where("size(words) > 0")
     length = F.least(F.size("words"), F.lit(size))
     seen = cut.groupBy(length.alias("m")).agg(F.sum(F.size("words")).alias("n")).collect()
     lengths = sorted(r["m"] for r in seen)
     cut = cut.withColumn("length", length)
-    pieces = F.concat(*[F.when(F.col("length") == m, _pieces(m, 1)).otherwise(F.array().cast("array<struct<m:int,at:int,h:bigint>>")) for m in lengths]) if lengths else F.array().cast("array<struct<m:int,at:int,h:bigint>>")
-    out = cut.select("item", "words", F.explode(pieces).alias("p")).select("item", F.col("p.m").alias("item_m"), F.col("p.h").alias("item_h"), _context("words", F.col("p.at"), size).alias("item_words"))
+    none = F.array().cast(f"array<{_PIECE}>")
+    pieces = F.concat(none, *[F.when(F.col("length") == m, _pieces(m, 1, size)).otherwise(none) for m in lengths])
+    out = cut.select("item", F.explode(pieces).alias("p")).select("item", F.col("p.m").alias("item_m"), F.col("p.h").alias("item_h"), F.col("p.around").alias("item_words"))
     return out, lengths, sum(r["n"] for r in seen)
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Of every row: key, n_words, spans (from, to; 1-based words, inclusive) and the items found, as strings."""
+    """Of every row: key, text_hash (xxhash64 of the text), n_words, spans (from, to; 1-based words, inclusive) and the items found, as strings."""
     index, lengths, n_words = index_of(items, size, item_key, item_text)
-    nothing = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("h")))
-    cut = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), words(F.col(text)).alias("words"))
+    nothing = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("at"), F.lit(None).cast("bigint").alias("h"), F.array().cast("array<string>").alias("around")))
+    cut = _cut(docs, text, F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"))
     # The first entry of a row stands for the row itself, which must not get lost.
-    looked = cut.select("key", "text_hash", "words", F.size("words").alias("n"), F.explode(F.concat(nothing, *[_pieces(m, piece_size(m)[1]) for m in lengths])).alias("p"))
-    looked = looked.select("key", "text_hash", "words", "n", "p.m", "p.at", "p.h")
+    # n is a column before the pieces are made: else every piece would carry the words for it
+    looked = cut.withColumn("n", F.size("words")).select("key", "text_hash", "n", F.explode(F.concat(nothing, *[_pieces(m, piece_size(m)[1], size) for m in lengths])).alias("p"))
+    looked = looked.select("key", "text_hash", "n", "p.m", "p.at", "p.h", F.col("p.around").alias("own"))
     if n_words <= BROADCAST_WORDS:
-        index = F.broadcast(index)
-        found = looked.join(index, F.col("h") == F.col("item_h"), "left").where("at = 0 or item is not null")
-        found = found.withColumn("own", F.when(F.col("at") > 0, _context("words", F.col("at"), size)))
+        found = looked.join(F.broadcast(index), F.col("h") == F.col("item_h"), "left").where("at = 0 or item is not null")
     else:
-        looked = looked.withColumn("own", F.when(F.col("at") > 0, _context("words", F.col("at"), size))).drop("words")
-        found = looked.join(index, F.col("h") == F.col("item_h"), "left").where("at = 0 or item is not null")
+        # rows that stand for themselves have nothing to look up: past the shuffle they would meet in one task
+        itself = looked.where("at = 0").select(*looked.columns, *[F.lit(None).cast(t).alias(c) for c, t in index.dtypes])
+        found = looked.where("at > 0").join(index, F.col("h") == F.col("item_h")).unionByName(itself)
 
     k = F.floor((F.col("m") + 1) / 2)
     same = lambda j: F.coalesce(F.get("own", j) == F.get("item_words", j), F.lit(False))
@@ -100,7 +113,7 @@ def matches(docs: DataFrame, items: DataFrame, size: int = SIZE, key: str = "doc
         F.collect_set(F.when(F.col("at") > 0, span)).alias("spans"),
         F.collect_set(F.when(F.col("at") > 0, F.col("item"))).alias("items"),
     )
-    return rows.select(F.col("key").alias(key), "n_words", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return rows.select(F.col("key").alias(key), "text_hash", "n_words", F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def covered_words(spans: Column) -> Column:
@@ -112,9 +125,9 @@ def covered_words(spans: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """The documents without any hit, with their columns. Keys of documents must be unique or null-free."""
-    bad = matches(docs, items, size).where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+    """The documents without any hit, with their columns; a row goes by its own text, whatever its key."""
+    bad = matches(docs, items, size).where(F.size("items") > 0).select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_key")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti").select(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,14 @@ from the band's size. Empty segments say nothing; a slack of E makes up for a se
 empty ones, and only sets with more of them index those too. No link is lost.
 
 Equal sets are one. Within the sets of a signature only links to its first set are
-tried, then components are formed; a few times the sets of other components are tried
-with one set of one component. What is then still apart is compared pair by pair, by parity
-sketches first, whose differing bits never exceed the differing shingles. All links
-are verified exactly by the shingles, as 64-bit hashes.
+tried, then components are formed; twice the sets of other components are tried with
+one set of one component. Then components are joined in rounds: under each signature a
+component proposes its nearest sets of other components, by parity sketches, whose
+differing bits never exceed the differing shingles. Proposals are verified, components
+that link become one, and the next round proposes twice as many, until no pair of
+different components that sketches allow is untested. So a group of near copies takes
+proposals in proportion to its components, not all its pairs, and no link between
+components is lost. All links are verified exactly by the shingles, as 64-bit hashes.
 
 Words are split at ASCII white space with A-Z lower-cased; fewer than five words make
 one shingle; null texts and texts without words have no shingle and no link. Each row
@@ -44,8 +48,8 @@ RATIO = 1.25
 COMMON = 0.05
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
-#: Rounds in which components are joined by single sets before pairs are compared.
-STARS = 3
+#: Rounds in which components are joined by single sets before they propose pairs.
+STARS = 2
 #: Members of a signature compared in one block.
 BLOCK = 1024
 #: Sets that a task remembers to have indexed already.
@@ -176,16 +180,16 @@ def signatures(place: np.ndarray, content: np.ndarray, j: int, x: int, y: int) -
 
 
 def _batches(df: DataFrame, key: str, text: str, row, schema: str, names: list[str]):
-    """Rows (key, *columns) of `row(shingles)` for every text."""
-    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    """Rows (key, text_hash, *columns) of `row(shingles)` for every text; text_hash is xxhash64."""
+    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"))
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches):
         for part in _slices(batches):
             rows = [row(shingles(x)) for x in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(c) for c in zip(*rows, strict=True)]], ["key", *names])
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text_hash"), *[pa.array(c) for c in zip(*rows, strict=True)]], ["key", "text_hash", *names])
 
-    return source.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+    return source.mapInArrow(run, f"key {kind}, text_hash long, {schema}").withColumnRenamed("key", key)
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,7 +252,7 @@ def verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, key: str, text
     rows = docs.select(F.col(key).alias("own_rep"), F.col(text).alias("text"))
     texts = rows.join(F.broadcast(ids) if few else ids, F.col("own_rep").eqNullSafe(F.col("rep")))
     sets = _batches(texts, "set_id", "text", lambda s: (s.view(np.int64).tolist(), set_id(s)), "shingles array<bigint>, own long", ["shingles", "own"])
-    sets = written(sets.where("own = set_id").drop("own"))
+    sets = written(sets.where("own = set_id").drop("own", "text_hash"))
     of = lambda s: sets.select(F.col("set_id").alias(s), F.col("shingles").alias(f"s_{s}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     union = F.size("s_a") + F.size("s_b") - shared
@@ -274,11 +278,12 @@ def _labelled(groups: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
     return rows.join(open_.select("sig", "n", "top"), "sig")
 
 
-def _cross_pairs(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs of sets under one signature that lie in different components and may link.
+def _proposals(groups: DataFrame, labels: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """(a, b, more): pairs of sets under one signature that lie in different components and may link.
 
     A group of any size is compared block by block, each pair of blocks a task of its
-    own, and only pairs that pass the sketches leave it.
+    own. Of the pairs that pass the sketches only those leave it that are among the
+    `most` nearest of one of their components there; `more` tells that some stayed.
     """
     placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n_shingles").join(facts.select("set_id", "sketch"), "set_id")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
@@ -291,28 +296,44 @@ def _cross_pairs(groups: DataFrame, labels: DataFrame, facts: DataFrame) -> Data
         held: list[tuple] = []
         group = None
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, bool]] = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if r[:3] != group:
-                    out += compared(held, group)
+                    out += nearest(compared(held, group), most)
                     held, group = [], r[:3]
                 held.append(r[3:])
             yield _pairs(out)
-        yield _pairs(compared(held, group))
+        yield _pairs(nearest(compared(held, group), most))
 
     def _pairs(out):
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b, more = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
 
-    return cells.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    proposed = cells.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long, more boolean")
+    return proposed.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+
+
+def nearest(pairs: list[tuple[int, int, int, int, int]], most: int) -> list[tuple[int, int, bool]]:
+    """(a, b, more) of the pairs (a, b, label_a, label_b, difference) that are among the `most` nearest of a component."""
+    if not pairs:
+        return []
+    a, b, label_a, label_b, apart = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+    keep = np.zeros(len(a), bool)
+    label, twice = np.concatenate((label_a, label_b)), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((b[twice], a[twice], apart[twice], label))
+    label = label[order]
+    rank = np.arange(len(order)) - np.searchsorted(label, label)
+    keep[twice[order[rank < most]]] = True
+    more = not keep.all()
+    return [(x, y, more) for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
 
 
 #: Members of a block from which on all of them are compared by arrays.
 MANY = 48
 
 
-def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int]]:
-    """Pairs of a cell's rows (block, set_id, label, n, sketch) that may link, of different components.
+def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int, int, int, int]]:
+    """(a, b, label_a, label_b, least difference) of a cell's rows (block, set_id, label, n, sketch) that may link, of different components.
 
     A cell of two blocks has the pairs between them, a cell of one block those within.
     """
@@ -326,8 +347,8 @@ def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int]]:
             for other, b, label_b, m, t in rows[i + 1 :]:
                 if m * PERCENT > n * 100:
                     break
-                if label != label_b and (within or own != other) and least_difference(s, t) <= most_difference(n + m):
-                    out.append((min(a, b), max(a, b)))
+                if label != label_b and (within or own != other) and (apart := least_difference(s, t)) <= most_difference(n + m):
+                    out.append((a, b, label, label_b, apart) if a < b else (b, a, label_b, label, apart))
         return out
     block, ids, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
     bits = folded([r[4] for r in rows])
@@ -343,9 +364,11 @@ def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int]]:
         for some in (coarse, bits):
             apart = np.bitwise_count(some[k] ^ some[i]).sum(axis=1, dtype=np.int64)
             total = n[k] + n[i]
-            k = k[apart <= total - 2 * -(-PERCENT * total // (100 + PERCENT))]
-        if len(k):
-            found += zip(np.minimum(ids[k], ids[i]).tolist(), np.maximum(ids[k], ids[i]).tolist(), strict=True)
+            near = apart <= total - 2 * -(-PERCENT * total // (100 + PERCENT))
+            k, apart = k[near], apart[near]
+        for j, d in zip(k.tolist(), apart.tolist(), strict=True):
+            x, y = (i, j) if ids[i] < ids[j] else (j, i)
+            found.append((int(ids[x]), int(ids[y]), int(label[x]), int(label[y]), d))
     return found
 
 
@@ -383,14 +406,24 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
             break
         tested, links = tested.union(new), links.union(found)
         labels = components(links)
-    more = written(_cross_pairs(groups, labels, facts).join(tested, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        labels = components(links.union(written(verified(more, facts, docs, key, text))))
+    most = 1
+    while True:
+        proposed = written(_proposals(groups, labels, facts, most))
+        new = written(proposed.drop("more").join(tested, ["a", "b"], "left_anti"))
+        if new.limit(1).count():
+            found = written(verified(new, facts, docs, key, text))
+            tested = tested.union(new)
+            if found.limit(1).count():
+                links = links.union(found)
+                labels = components(links)
+        if not proposed.where("more").limit(1).count():
+            break
+        most *= 2
     return sets.drop("sketch"), labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (smallest key reachable by links) of every row."""
+    """key, n_shingles, component_id (smallest key reachable by links) and text_hash of every row."""
     sets, labels = joined(docs, key, text)
     least = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     known = least.join(labels, F.col("set_id") == F.col("id"), "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
@@ -398,14 +431,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     found = known.join(smallest, "label").select("set_id", "component_id")
     out = sets.join(found, "set_id", "left")
     own: Column = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(key), "n_shingles", own.alias("component_id"))
+    return out.select(F.col("doc_id").alias(key), "n_shingles", own.alias("component_id"), "text_hash")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents but for those that a link joins to a smaller key; rows with a null key stay."""
-    more = classes(docs, key, text).where(F.col("component_id") < F.col(key)).select(key).distinct()
-    return docs.join(more, key, "left_anti").select(*docs.columns)
+    """The documents but for those that a link joins to a smaller key; rows with a null key stay.
+
+    A row goes by its own text: another text of the same key is judged by itself.
+    """
+    more = classes(docs, key, text).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(more, (docs[key] == F.col("_key")) & (F.xxhash64(docs[text].cast("string")) == F.col("_hash")), "left_anti").select(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -1,8 +1,9 @@
 """64-bit hashes of all words of a text at once.
 
 Words are runs of bytes other than the six ASCII white-space characters. A word's
-hash is the sum of a random number for each byte times a power for its place, taken
-from running sums over the text, and mixed at the end.
+hash is the sum of a number for each byte and place in the word, from a table of random
+numbers for 64 places times one for each 64, taken from running sums over the text, and
+mixed at the end. No structure of a word, such as a repeated pattern, meets another in it.
 """
 
 from __future__ import annotations
@@ -23,19 +24,18 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_OF_BYTE = mixed(np.arange(256, dtype=np.uint64), 23)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: By place in 64 and byte; the 64s of a longer word have odd factors of their own.
+PLACES = 64
+_OF_PLACE = mixed(np.arange(PLACES * 256, dtype=np.uint64), 23)
+_FACTORS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, for at least n places."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+def _factors(n: int) -> np.ndarray:
+    global _FACTORS
+    if len(_FACTORS) < n:
+        _FACTORS = mixed(np.arange(1 << (n - 1).bit_length(), dtype=np.uint64), 31) | np.uint64(1)
+        _FACTORS[0] = 1
+    return _FACTORS
 
 
 def _hashes(b: np.ndarray) -> np.ndarray:
@@ -43,10 +43,17 @@ def _hashes(b: np.ndarray) -> np.ndarray:
     space[1:-1] = _SPACE[b]
     edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[::2], edges[1::2]
-    power, inverse = _powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[b] * power[: len(b)], out=total[1:])
-    return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64), 29)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    inside = np.flatnonzero(~space[1:-1])
+    place = np.arange(len(inside)) - np.repeat(np.cumsum(size) - size, size)
+    term = _OF_PLACE[(place & (PLACES - 1)) * 256 + b[inside]]
+    longest = int(size.max())
+    if longest > PLACES:
+        term = term * _factors(longest // PLACES + 1)[place // PLACES]
+    total = np.add.reduceat(term, np.cumsum(size) - size)
+    return mixed(total + size.astype(np.uint64), 29)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
