@@ -301,3 +301,71 @@ def test_strings_with_a_common_beginning_are_a_dimension(spark):
     for r in kd_shards.kd_shards(docs.where("doc_id < 200"), shards=2).collect():
         shards.setdefault(r.shard, set()).add(r.doc_id % 2)
     assert sorted(map(len, shards.values())) == [1, 1]
+
+
+def thue_morse(n, first="a", second="b"):
+    return "".join(first if bin(k).count("1") % 2 == 0 else second for k in range(n))
+
+
+def test_words_of_one_pattern_differ(spark):
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    h = word_hashes.word_hashes(f"{one} {two} {one}".encode())
+    assert h[0] == h[2] != h[1]
+    rest = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.deduplicated(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(docs.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
+
+
+def test_rows_go_by_their_own_text_not_by_their_key(spark):
+    words = lambda a: " ".join(f"w{k}" for k in range(a, a + 30))
+    docs = spark.createDataFrame([(1, words(0)), (5, words(0)), (5, words(100)), (None, words(0)), (6, None)], "doc_id long, text string").withColumn("text_hash", F.lit("clash"))
+    left = jaccard_join.one_of_each(docs)
+    assert sorted(map(str, left.collect())) == sorted(map(str, [r for r in docs.collect() if (r.doc_id, r.text) != (5, words(0))]))
+    items = spark.createDataFrame([("i", words(0))], "item_id string, text string")
+    kept = decontaminate.clean_documents(docs, items)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["5", "6"] and kept.columns == docs.columns
+    assert jaccard_join.one_of_each(docs.limit(0)).count() == 0 and decontaminate.clean_documents(docs.limit(0), items).count() == 0
+
+
+def test_a_group_of_near_copies_is_one_component_of_few_proposals(spark, monkeypatch):
+    """Each copy differs from the text in some words of its own, so most pairs don't link but all are reachable."""
+    rnd = random.Random(6)
+    text = [f"w{k}" for k in range(200)]
+    docs = []
+    for k in range(900):
+        t = list(text)
+        for i in rnd.sample(range(0, 200, 5), rnd.choice((1, 2, 3))):
+            t[i] = f"x{k}_{i}"
+        docs.append((k, " ".join(t)))
+    sizes = []
+    propose = jaccard_join._proposals
+
+    def counted(*args):
+        out = propose(*args)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_proposals", counted)
+    monkeypatch.setattr(jaccard_join, "STARS", 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    rows = jaccard_join.classes(df).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert sum(sizes) < 20 * len(docs)
+
+
+def test_proposals_are_the_nearest_of_a_component():
+    pairs = [(1, 2, 1, 2, 5), (1, 3, 1, 3, 4), (2, 3, 2, 3, 9), (4, 5, 4, 1, 7)]
+    assert jaccard_join.nearest(pairs, 1) == [(1, 2, True), (1, 3, True), (4, 5, True)]
+    assert jaccard_join.nearest(pairs, 9) == [(a, b, False) for a, b, *_ in pairs] and jaccard_join.nearest([], 1) == []
+
+
+def test_a_very_long_text_takes_time_in_proportion(spark):
+    import time
+
+    items = spark.createDataFrame([("i", " ".join(f"w{k}" for k in range(300_000, 300_030)))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(640_000)))], "doc_id long, text string")
+    start = time.time()
+    got = decontaminate.matches(docs, items).withColumn("n_hit", decontaminate.covered_words(F.col("spans"))).first()
+    assert time.time() - start < 60 and (got.n_words, got.n_hit) == (640_000, 30)
+    assert (min(s["from"] for s in got.spans), max(s["to"] for s in got.spans)) == (300_001, 300_030)
