@@ -116,20 +116,29 @@ def affected_dates(late: DataFrame) -> DataFrame:
 
 def rebuilt(
     bronze: DataFrame, days: DataFrame, customer: Column | None = None, channel: Column | None = None,
-    processed: datetime | None = None,
+    processed: datetime | None = None, partition: str | None = None,
 ) -> DataFrame:
-    """Silver rows of the days in column ``_day``."""
-    rows = bronze.join(days, F.to_date("transaction_time") == F.col("_day"), "left_semi")
+    """Silver rows of the days in column ``_day``.
+
+    ``partition`` is a day column by which bronze is laid out: its own value meets the
+    days, so that partitions are pruned while the query runs.
+    """
+    own = F.to_date("transaction_time") if partition is None else F.col(partition)
+    rows = bronze.join(days, own == F.col("_day"), "left_semi")
     return silver_sales(rows, customer=customer, channel=channel, processed=processed)
 
 
 def reprocess(
     bronze: DataFrame, silver: DataFrame, dates: DataFrame, customer: Column | None = None,
-    channel: Column | None = None, processed: datetime | None = None,
+    channel: Column | None = None, processed: datetime | None = None, partition: str | None = None,
 ) -> DataFrame:
-    """Silver with all affected days rebuilt from bronze in one pass."""
+    """Silver with all affected days rebuilt from bronze in one pass.
+
+    With ``partition``, the day column by which bronze is laid out, only touched days
+    are read from it.
+    """
     touched = dates.select(F.col("event_date").alias("_day")).distinct()
-    fresh = rebuilt(bronze, touched, customer, channel, processed)
+    fresh = rebuilt(bronze, touched, customer, channel, processed, partition)
     return U.replace_slice(
         silver, fresh, "transaction_date", touched.withColumnRenamed("_day", "transaction_date")
     )

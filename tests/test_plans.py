@@ -121,3 +121,28 @@ def test_not_a_number_stays_in_its_pairs(spark):
     assert sums["x0", "x1"].n == 30 and sums["x0", "x1"].sxy == sums["x0", "x1"].sxy
     assert sums["x0", "x2"].n == 31 and sums["x0", "x2"].sx != sums["x0", "x2"].sx
     assert sums["x2", "x3"].n == 31
+
+
+def test_reprocess_prunes_untouched_days(spark, sf, folder):
+    from smeltry.plans import late
+    from smeltry.plans.silver import silver_sales
+    from smeltry.workload import STAMP
+
+    w = Workload(spark, sf)
+    w.bronze_sales.withColumn("event_day", F.to_date("transaction_time")).write.partitionBy("event_day").parquet(f"{folder}/bronze")
+    bronze = spark.read.parquet(f"{folder}/bronze")
+    before = silver_sales(bronze.filter("ingestion_time < timestamp'2024-01-16'"), processed=STAMP)
+    dates = late.with_arrival_delay(w.bronze_sales).filter("is_late_arrival").select("event_date").distinct().orderBy("event_date").limit(2)
+    pruned = late.reprocess(bronze, before, dates, processed=STAMP, partition="event_day")
+    plain = late.reprocess(bronze, before, dates, processed=STAMP)
+    assert pruned.exceptAll(plain).count() == 0 and plain.exceptAll(pruned).count() == 0
+    assert "dynamicpruning" in plan(late.rebuilt(bronze, dates.select(F.col("event_date").alias("_day")), partition="event_day")).lower()
+
+
+def test_hashed_keys_are_unique_and_repeatable(spark):
+    from smeltry.operators import rows as Rows
+
+    df = spark.range(20_000).select(F.concat(F.lit("CUST-"), F.col("id")).alias("c"))
+    keyed = lambda n: {r.c: r.sk for r in Rows.surrogate_key_hash(df.repartition(n), "c", "sk").collect()}
+    one, two = keyed(3), keyed(7)
+    assert one == two and len(set(one.values())) == len(one) and min(one.values()) >= 0
