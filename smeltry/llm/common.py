@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,10 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that the cluster names in `spark.checkpoint.dir`.
 
-    Only where that setting is missing (tests, a notebook) a temporary folder is used.
+    Only where that setting is missing in local mode (tests, a notebook) a temporary
+    folder is used; on a cluster no executor would see the driver's.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and not spark.sparkContext.getCheckpointDir():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -136,9 +136,18 @@ def kd_shards(docs: DataFrame, shards: int = 8, dims: dict[str, Column] | None =
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Writes the documents by shard, in slot order within a file; texts move once."""
-    joined = docs.join(placed.select(key, "shard", "slot"), key)
-    joined.repartition("shard", F.floor(F.col("slot") / SLOT_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents by shard, in slot order within a file; texts move once.
+
+    The folders' column is `shard`, with an underscore behind it where the documents have one.
+    """
+    shard, slot = "shard", "slot"
+    while shard in docs.columns:
+        shard += "_"
+    while slot in docs.columns:
+        slot += "_"
+    joined = docs.join(placed.select(key, F.col("shard").alias(shard), F.col("slot").alias(slot)), key)
+    ordered = joined.repartition(shard, F.floor(F.col(slot) / SLOT_ROWS)).sortWithinPartitions(shard, slot)
+    ordered.write.partitionBy(shard).parquet(path)
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,3 +369,12 @@ def test_a_very_long_text_takes_time_in_proportion(spark):
     got = decontaminate.matches(docs, items).withColumn("n_hit", decontaminate.covered_words(F.col("spans"))).first()
     assert time.time() - start < 60 and (got.n_words, got.n_hit) == (640_000, 30)
     assert (min(s["from"] for s in got.spans), max(s["to"] for s in got.spans)) == (300_001, 300_030)
+
+
+def test_shards_of_documents_with_a_column_of_that_name(spark, folder):
+    docs = spark.createDataFrame([(k, f"text {k}", "own", -k) for k in range(40)], "doc_id long, text string, shard string, slot int").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(6)})
+    placed = kd_shards.kd_shards(docs)
+    kd_shards.write_shards(docs, placed, f"{folder}/clash")
+    back = spark.read.parquet(f"{folder}/clash")
+    assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == [(k, "own", -k) for k in range(40)]
+    assert {(r.doc_id, r.shard_) for r in back.collect()} == {(r.doc_id, r.shard) for r in placed.collect()}
