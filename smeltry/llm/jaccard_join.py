@@ -14,8 +14,8 @@ tried, then components are formed; twice the sets of other components are tried
 one set of one component. Then components are joined in rounds: under each signature a
 component proposes its nearest sets of other components, by parity sketches, whose
 differing bits never exceed the differing shingles. Proposals are verified, components
-that link become one, and the next round proposes twice as many, until no pair of
-different components that sketches allow is untested. So a group of near copies takes
+that link become one, and the next round proposes four times as many, or all once
+nothing links, until no pair of different components that sketches allow is untested. So a group of near copies takes
 proposals in proportion to its components, not all its pairs, and no link between
 components is lost. All links are verified exactly by the shingles, as 64-bit hashes.
 
@@ -46,6 +46,8 @@ PERCENT = 80
 RATIO = 1.25
 #: Share of shingles taken as common to unrelated texts, for the cost of an allocation.
 COMMON = 0.05
+#: With fewer, shingles that cancel out on a bit let many pairs just below the bound pass.
+SKETCH_BITS = 8
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
 #: Rounds in which components are joined by single sets before they propose pairs.
@@ -77,8 +79,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit; at least two bits a shingle."""
-    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    """Parity of the shingles that fall on each bit; at least SKETCH_BITS bits a shingle."""
+    bits = 1 << max(6, (SKETCH_BITS * len(s) - 1).bit_length())
     odd = np.bincount((mixed(s, 11) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -328,6 +330,8 @@ def nearest(pairs: list[tuple[int, int, int, int, int]], most: int) -> list[tupl
     return [(x, y, more) for x, y in zip(a[keep].tolist(), b[keep].tolist(), strict=True)]
 
 
+#: More pairs than a block can have.
+EVERY = BLOCK * BLOCK
 #: Members of a block from which on all of them are compared by arrays.
 MANY = 48
 
@@ -410,15 +414,18 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     while True:
         proposed = written(_proposals(groups, labels, facts, most))
         new = written(proposed.drop("more").join(tested, ["a", "b"], "left_anti"))
+        linked = False
         if new.limit(1).count():
             found = written(verified(new, facts, docs, key, text))
             tested = tested.union(new)
-            if found.limit(1).count():
+            linked = bool(found.limit(1).count())
+            if linked:
                 links = links.union(found)
                 labels = components(links)
         if not proposed.where("more").limit(1).count():
             break
-        most *= 2
+        # where the nearest don't link any more, what is left is tested at once
+        most = most * 4 if linked else EVERY
     return sets.drop("sketch"), labels
 
 
