@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -65,36 +69,85 @@ def stream_upsert(
     return writer.trigger(**trigger).start()
 
 
+def _report_state(by: str, order: Sequence[tuple[str, str]], last: int):
+    """(reduce, merge) of a delay report's state: counts by label, and the ``last`` newest rows, as Arrow streams.
+
+    Plain nested functions, so that Python workers need nothing but Arrow.
+    """
+    names = ["counts", "newest"]
+
+    def packed(t: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        return sink.getvalue().to_pybytes()
+
+    def unpacked(parts) -> pa.Table:
+        return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parts])
+
+    def summed(t: pa.Table) -> pa.Table:
+        out = t.group_by([by, "delay_category"]).aggregate([("messages", "sum")])
+        return out.select([by, "delay_category", "messages_sum"]).rename_columns(t.column_names)
+
+    def top(t: pa.Table) -> pa.Table:
+        # one stable sort a column, least first, as nulls stand first or last with the direction
+        for name, way in reversed(order):
+            at = pc.sort_indices(t.select([name]), sort_keys=[(name, way)], null_placement="at_end" if way == "descending" else "at_start")
+            t = t.take(at)
+        return t.slice(0, last).combine_chunks()
+
+    def reduce(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            ones = t.select([by, "delay_category"]).append_column("messages", pa.array(np.ones(len(t), np.int64)))
+            row = [pa.array([packed(x)], pa.binary()) for x in (summed(ones), top(t))]
+            yield pa.RecordBatch.from_arrays(row, names)
+
+    def merge(key, frames, state):
+        held = [state.get] if state.exists else []
+        parts = [*held, *(r for f in frames for r in f[names].itertuples(index=False, name=None))]
+        counts, newest = (list(c) for c in zip(*parts, strict=True))
+        now = packed(summed(unpacked(counts))), packed(top(unpacked(newest)))
+        state.update(now)
+        yield pd.DataFrame([now], columns=names)
+
+    return reduce, merge
+
+
 def delay_report_stream(
-    stream: DataFrame, report: Callable[[DataFrame, DataFrame, int], None], folder: str, checkpoint: str,
-    event_ts: str, ingest_ts: str, order: Sequence[Column], by: str = "topic",
+    stream: DataFrame, report: Callable[[DataFrame, DataFrame, int], None], checkpoint: str,
+    event_ts: str, ingest_ts: str, order: Sequence[str], by: str = "topic",
     threshold_hours: float = E.SALES_ALERT_HOURS, last: int = 50, show: int = 5, every: str | None = None,
 ) -> StreamingQuery:
-    """After each micro-batch: percentages per ``by`` and label so far, and the newest high delays.
+    """After each micro-batch with rows: percentages per ``by`` and label so far, and the newest high delays.
 
     ``report(totals, recent, batch_id)`` gets the frames of ``E.delay_totals`` and
-    ``E.recent_high_delays`` over all rows read yet. What is carried from batch to
-    batch is bounded: counts per label, and the ``last`` newest rows. It is written
-    to two slots of ``folder`` in turn: a replayed batch reads the slot of the batch
-    before and writes its own again, and the folder never holds more.
+    ``E.recent_high_delays`` over all rows read yet. ``order`` names columns, a leading
+    ``-`` for descending order; they should make a total order. What is carried from
+    batch to batch lies in the state store and is bounded: counts per label, and the
+    ``last`` newest rows. Each Arrow batch is reduced to that much before the shuffle, so
+    the one task that merges gets ``last`` rows for every batch of thousands. A
+    replayed batch starts from the state of the batch before.
     """
     spark = stream.sparkSession
-    slot = lambda name, n: f"{folder}/{name}/slot-{n % 2}"
+    delayed = R.with_delay(stream, event_ts, ingest_ts, MONITOR_DELAY)
+    ways = [(c[1:], "descending") if c.startswith("-") else (c, "ascending") for c in order]
+    newest_first = [F.col(c).desc() if way == "descending" else F.col(c).asc() for c, way in ways]
+    counted = delayed.select(by, "delay_category", F.lit(0).cast("bigint").alias("messages")).schema
+    held = "counts binary, newest binary"
+    reduce, merge = _report_state(by, ways, last)
+    merged = (
+        delayed.mapInArrow(reduce, held).withColumn("all", F.lit(0)).groupBy("all")
+        .applyInPandasWithState(merge, held, held, "update", "NoTimeout")
+    )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        delayed = R.with_delay(batch, event_ts, ingest_ts, MONITOR_DELAY)
-        counts = delayed.groupBy(by, "delay_category").agg(F.count(F.lit(1)).alias("messages"))
-        newest = delayed
-        if batch_id > 0:
-            counts = counts.unionByName(spark.read.schema(counts.schema).parquet(slot("counts", batch_id - 1)))
-            newest = newest.unionByName(spark.read.schema(newest.schema).parquet(slot("newest", batch_id - 1)))
-        summed = counts.groupBy(by, "delay_category").agg(F.sum("messages").alias("messages"))
-        summed.coalesce(1).write.mode("overwrite").parquet(slot("counts", batch_id))
-        newest.orderBy(*order).limit(last).coalesce(1).write.mode("overwrite").parquet(slot("newest", batch_id))
-        read = lambda name: spark.read.parquet(slot(name, batch_id))
-        report(E.delay_totals(read("counts"), by), E.recent_high_delays(read("newest"), order, threshold_hours, last, show), batch_id)
+        for counts, newest in batch.collect():  # one row of bounded size
+            frame = lambda data, schema: spark.createDataFrame(pa.ipc.open_stream(data).read_all(), schema)
+            recent = E.recent_high_delays(frame(newest, delayed.schema), newest_first, threshold_hours, last, show)
+            report(E.delay_totals(frame(counts, counted), by), recent, batch_id)
 
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = merged.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
 

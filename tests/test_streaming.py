@@ -155,18 +155,43 @@ def test_metrics(spark, folder):
 
 def test_delay_report_of_micro_batches_equals_batch(spark, sf, folder):
     df = Workload(spark, sf).bronze_sales.select("transaction_id", "product_id", "transaction_time", "ingestion_time", F.lit("sales").alias("topic"))
-    order = [F.col("ingestion_time").desc(), F.col("transaction_id"), F.col("product_id"), F.col("transaction_time")]
-    stream = file_stream(df, f"{folder}/in", 4, "ingestion_time")
+    order = ["-ingestion_time", "transaction_id", "product_id", "transaction_time"]
+    batch_order = [F.col("ingestion_time").desc(), F.col("transaction_id"), F.col("product_id"), F.col("transaction_time")]
+    file_stream(df, f"{folder}/all", 4, "ingestion_time")
+    files = sorted(Path(f"{folder}/all").glob("part-*"))
+    Path(f"{folder}/in").mkdir()
     seen = []
-    q = jobs.delay_report_stream(
-        stream, lambda totals, recent, n: seen.append((n, rows(totals), list(map(str, recent.collect())))),
-        f"{folder}/state", f"{folder}/cp", "transaction_time", "ingestion_time", order,
-    )
-    q.awaitTermination()
-    delayed = R.with_delay(df, "transaction_time", "ingestion_time", MONITOR_DELAY)
-    totals = E.delay_totals(delayed.groupBy("topic", "delay_category").agg(F.count(F.lit(1)).alias("messages")))
-    assert len(seen) >= 3
-    assert seen[-1][1] == rows(totals)
-    assert seen[-1][2] == list(map(str, E.recent_high_delays(delayed, order).collect()))
-    # as many files after many batches as after two
-    assert len([p for p in Path(f"{folder}/state").rglob("part-*.parquet")]) <= 4
+
+    def run(n):  # the next n files, from the same checkpoint
+        for f in files[:n]:
+            f.rename(f"{folder}/in/{f.name}")
+        del files[:n]
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        report = lambda totals, recent, n: seen.append((n, rows(totals), list(map(str, recent.collect()))))
+        q = jobs.delay_report_stream(stream, report, f"{folder}/cp", "transaction_time", "ingestion_time", order)
+        q.awaitTermination()
+        read = spark.read.schema(df.schema).parquet(f"{folder}/in")
+        delayed = R.with_delay(read, "transaction_time", "ingestion_time", MONITOR_DELAY)
+        totals = E.delay_totals(delayed.groupBy("topic", "delay_category").agg(F.count(F.lit(1)).alias("messages")))
+        assert seen[-1][1] == rows(totals)
+        assert seen[-1][2] == list(map(str, E.recent_high_delays(delayed, batch_order).collect()))
+
+    run(2)
+    assert [n for n, *_ in seen] == [0, 1]
+    run(len(files))  # a restart goes on from the state store
+    assert [n for n, *_ in seen] == list(range(len(seen))) and len(seen) >= 3
+
+
+def test_delay_report_keeps_nulls_and_ties_in_order(spark, folder):
+    data = [("a", "2024-01-02 00:00:00", 1), ("a", None, 2), (None, "2024-01-02 00:00:00", 3), ("b", "2024-01-03 00:00:00", None)]
+    df = spark.createDataFrame([(t, i, n, "2024-01-01 00:00:00") for t, i, n in data * 30], "topic string, i string, n int, e string")
+    df = df.select("topic", F.col("i").cast("timestamp").alias("i"), "n", F.col("e").cast("timestamp").alias("e"))
+    df.repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    seen = []
+    report = lambda totals, recent, _: seen.append((rows(totals), rows(recent)))
+    jobs.delay_report_stream(stream, report, f"{folder}/cp", "e", "i", ["-i", "n", "topic"], last=40, show=40).awaitTermination()
+    delayed = R.with_delay(df, "e", "i", MONITOR_DELAY)
+    counts = delayed.groupBy("topic", "delay_category").agg(F.count(F.lit(1)).alias("messages"))
+    recent = E.recent_high_delays(delayed, [F.col("i").desc(), F.col("n"), F.col("topic")], last=40, show=40)
+    assert seen[-1] == (rows(E.delay_totals(counts)), rows(recent)) and len(seen[-1][1]) == 40
