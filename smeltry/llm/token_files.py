@@ -46,7 +46,12 @@ MASK_DELTA = 0xA282EAD8
 # White space of the Unicode standard, at which a text may be cut between words.
 _WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNK = regex.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_SPACED = regex.compile(f"[{_WHITE}] ")
+_EACH_WHITE = [c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{_WHITE}]", c)]
+#: White space before a space, and beside a line end.
+_SPACED = [c + " " for c in _EACH_WHITE]
+_LINED = [c + "\n" for c in _EACH_WHITE] + ["\n" + c for c in _EACH_WHITE if c != "\n"]
+#: Marks that the pattern takes for themselves behind a word.
+_MARKS = tuple(",.;:!?)")
 
 
 class ByteLevel:
@@ -70,9 +75,11 @@ class ByteLevel:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         alphabet = {b: t for b, t in enumerate(self._alphabet())}
         self.letters = str.maketrans({chr(b): t for b, t in alphabet.items()})
+        self.space = alphabet[0x20]
         self.tokens = Chunks(self._token)
         #: By the word behind one space, and by the run of white space with its word.
         self.words, self.runs = Chunks(self._word), Chunks(self._run)
+        self.line_end = self._token("\n")
 
     @staticmethod
     def _alphabet() -> list[str]:
@@ -88,6 +95,12 @@ class ByteLevel:
         return self._pack([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))])
 
     def _word(self, word: str) -> bytes:
+        if word.isascii():
+            # the pattern keeps ASCII letters together, and these letters stand for themselves
+            if word.isalpha():
+                return self._pack([t.id for t in self.model.tokenize(self.space + word)])
+            if word.endswith(_MARKS) and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.tokens[word[-1]]
         first, *rest = self.pattern.findall(" " + word)
         if not rest:
             return self._token(first)
@@ -98,17 +111,22 @@ class ByteLevel:
     def _run(self, run: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(run)))
 
+    def _line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return b"".join((self.runs[first], *map(self.words.__getitem__, rest)))
+
     def encode(self, text: str) -> bytes:
         """Packed ids of a text, as the tokenizer gives them without special tokens added."""
         if not text:
             return b""
         if any(x in text for x in self.added):
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if "  " in text or text[0] == " " or _SPACED.search(text):
+        if text[0] == " " or any(pair in text for pair in _SPACED):
             out = b"".join(map(self.runs.__getitem__, _CHUNK.findall(text)))
         else:
-            first, *rest = text.split(" ")
-            out = b"".join((self.runs[first], *map(self.words.__getitem__, rest)))
+            # a line end between words is a token of its own
+            lines = [text] if text[0] == "\n" or text[-1] == "\n" or any(pair in text for pair in _LINED) else text.split("\n")
+            out = self.line_end.join([self._line(line) for line in lines])
         for known in (self.words, self.runs, self.tokens):
             known.keep_small()
         return out

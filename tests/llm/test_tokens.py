@@ -97,6 +97,14 @@ def test_byte_level_ids_equal_the_library():
         assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_byte_level_ids_of_lines_and_marks_equal_the_library():
+    ours, theirs, rnd = token_files.load(BYTES, "<u4"), Tokenizer.from_file(BYTES), random.Random(9)
+    word, between = ["foo", "Bar,", "a.", "x!?", "it's", "é)", "12;", "", "\t", "\x85", "\x1c"], [" ", "\n", " ", " \n", "\n\n", "\n\t", "\r\n", "\u2003", "\t\n"]
+    for _ in range(5000):
+        t = "".join(rnd.choice(word) + rnd.choice(between) for _ in range(rnd.randint(1, 9)))
+        assert np.frombuffer(ours.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_records_come_back(spark, folder, wide, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
