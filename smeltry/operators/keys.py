@@ -28,13 +28,24 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     """
     w = W.partitionBy("_hash", *keys).orderBy(*order)
     return (
-        df.withColumn("_hash", F.xxhash64(*keys))
+        near(df, keys).withColumn("_hash", F.xxhash64(*keys))
         .withColumn("_rn", F.row_number().over(w))
         .filter("_rn = 1")
         .drop("_rn", "_hash")
     )
 
 
+def near(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows, those of a key mostly together, in partitions of AQE's advisory size.
+
+    A map-side aggregate or group limit holds every distinct key that its task reads. Over a
+    join or a large file split this comes on top of their own memory, and grows with them
+    when few keys repeat; behind this it is bounded by the advisory size. AQE splits a hot
+    key's partition, so the caller must still combine by key. Without AQE nothing changes.
+    """
+    return df.withColumn("_near", F.xxhash64(*keys, F.lit("near"))).hint("rebalance", "_near").drop("_near")
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """``dropDuplicates`` with a defined survivor.
 

@@ -155,11 +155,14 @@ def reprocessing_summary(late: DataFrame, day: date | str) -> DataFrame:
 
 
 def key_presence(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """Every key of either side with flags for where it occurs, in one shuffle."""
+    """Every key of either side with flags for where it occurs.
+
+    Keys are brought together before they are reduced, as most occur once a side.
+    """
     a = left.select(F.col(left_key).alias("key"), F.lit(True).alias("l"), F.lit(False).alias("r"))
     b = right.select(F.col(right_key).alias("key"), F.lit(False).alias("l"), F.lit(True).alias("r"))
     return (
-        a.unionByName(b).filter("key IS NOT NULL").groupBy("key")
+        K.near(a.unionByName(b).filter("key IS NOT NULL"), ["key"]).groupBy("key")
         .agg(F.bool_or("l").alias("in_left"), F.bool_or("r").alias("in_right"))
     )
 
