@@ -1,9 +1,9 @@
 """Column rules compiled into aggregates.
 
 A rule is one number over a table and a verdict on it. All simple rules of a
-table share one aggregate over one scan. Rules that need exact distinct counts
-share a second one, which reads only their key columns, so that the wide first
-pass is not repeated for every distinct set.
+table share one aggregate over one scan. Rules that need exact distinct counts have
+others, which read only their key columns: one for each chain of key sets that hold
+one another.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smeltry.functions import columns as C
+from smeltry.operators.keys import near
 
 # --- fixed values -----------------------------------------------------------
 NULL_LIMITS = {"critical_fields": 0.0, "important_fields": 0.05, "optional_fields": 0.20}
@@ -35,13 +36,14 @@ class Rule:
     """``value`` is an aggregate; ``verdict(value, total)`` yields its status.
 
     Rules whose counts add up over slices of a table also name these: ``bad`` rows, and
-    ``base`` where the value is their share of it.
+    ``base`` where the value is their share of it. Rules on the distinct values of
+    ``distinct_on`` have no aggregate: ``of_distinct(distinct, total)`` is their value.
     """
 
     check: str
     column: str
     metric: str
-    value: Column
+    value: Column | None
     verdict: Verdict
     threshold: float | None = None
     distinct_on: tuple[str, ...] = ()
@@ -49,6 +51,7 @@ class Rule:
     condition: str | None = None
     bad: Column | None = None
     base: Column | None = None
+    of_distinct: Callable[[Column, Column], Column] | None = None
 
 
 def _counted(check, column, metric, bad, verdict, threshold, base=None, **more) -> Rule:
@@ -105,16 +108,10 @@ def completeness(column: str) -> Rule:
     )
 
 
-def _distinct(columns: Sequence[str]) -> Column:
-    # A struct is never NULL itself, so a NULL key counts as one value.
-    return F.count_distinct(F.struct(*columns))
-
-
 def duplicates(columns: Sequence[str], limit: float = DUPLICATE_LIMIT) -> Rule:
-    value = share(F.count(F.lit(1)) - _distinct(columns), F.count(F.lit(1)))
     return Rule(
-        "duplicates", "_".join(columns), "duplicate_percentage", value,
-        lambda v, t: _fail_if(v > limit), limit, tuple(columns), tuple(columns),
+        "duplicates", "_".join(columns), "duplicate_percentage", None, lambda v, t: _fail_if(v > limit), limit,
+        tuple(columns), tuple(columns), of_distinct=lambda n, total: share(total - n, total),
     )
 
 
@@ -127,8 +124,9 @@ def key_duplicates(columns: Sequence[str]) -> list[Rule]:
 
 
 def unique(column: str) -> Rule:
-    value = F.count(F.lit(1)) - _distinct([column])
-    return Rule("uniqueness", column, "duplicate_count", value, _count_fails, 0.0, (column,), (column,))
+    return Rule(
+        "uniqueness", column, "duplicate_count", None, _count_fails, 0.0, (column,), (column,), of_distinct=lambda n, total: total - n,
+    )
 
 
 def value_range(column: str, low=None, high=None) -> list[Rule]:
@@ -183,6 +181,36 @@ def result(table: str, rule: Rule, value: Column, total: Column) -> Column:
     )
 
 
+def _chains(sets: Sequence[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
+    """Key sets in chains, each set in one with a longer one that holds it, if any."""
+    out: list[list[tuple[str, ...]]] = []
+    for keys in sorted(dict.fromkeys(sets), key=len, reverse=True):
+        holding = [chain for chain in out if set(keys) <= set(chain[-1])]
+        if holding:
+            holding[0].append(keys)
+        else:
+            out.append([keys])
+    return out
+
+
+def _evaluate_distinct(df: DataFrame, table: str, rules: Sequence[Rule], chain: Sequence[tuple[str, ...]]) -> DataFrame:
+    """Rules on a chain of key sets.
+
+    Rows are reduced to the longest set, that to the next and so on, while the rows and
+    the sets behind each group are added up. Several distinct counts in one aggregate would
+    repeat each row for each set, and a task would hold them all beside what it reads.
+    """
+    counted = {"_total": F.count(F.lit(1))}
+    reduced = df.select(*dict.fromkeys(chain[0]))
+    for i, keys in enumerate(chain):
+        reduced = near(reduced, keys).groupBy(*dict.fromkeys(keys)).agg(*[c.alias(n) for n, c in counted.items()])
+        counted = {n: F.sum(n) for n in counted} | {f"_n{i}": F.count(F.lit(1))}
+    counts = reduced.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in counted.items()])
+    total = F.col("_total")
+    rows = [result(table, r, r.of_distinct(F.col(f"_n{chain.index(r.distinct_on)}"), total), total) for r in rules if r.distinct_on in chain]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def _evaluate(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_total")]
     aggs += [r.value.alias(f"_v{i}") for i, r in enumerate(rules)]
@@ -214,8 +242,7 @@ def run_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     exact = [r for r in usable if r.distinct_on]
     if simple:
         parts.append(_evaluate(df, table, simple))
-    if exact:
-        parts.append(_evaluate(df, table, exact))
+    parts += [_evaluate_distinct(df, table, exact, chain) for chain in _chains([r.distinct_on for r in exact])]
     if absent:
         rows = [(table, r.check, r.column, "ERROR", r.metric, None, r.threshold) for r in absent]
         parts.append(_literal_rows(df, rows))
