@@ -119,39 +119,35 @@ def salted_join(
     are at most ``1 / hot_share`` hot keys, whatever the data size. Their left
     rows are spread over ``salts`` tasks by the row's hash and their right rows
     repeated once per salt; all other keys keep salt 0. Rows without a key match
-    nothing and are spread as well.
+    nothing and are spread as well. The hot keys reach the tasks as one list, so
+    that neither side is shuffled to be told of them.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left")
-    total = left.agg(F.count(F.lit(1)).alias("n"))
-    hot = (
-        left.groupBy(F.col(left_key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_hot").isNotNull() & (F.col("_n") >= total.scalar() * hot_share))
-        .select("_hot")
-    )
     spread = [c for c in left.columns if "map<" not in dict(left.dtypes)[c]]
-    salted_left = (
-        left.join(hot, F.col(left_key) == F.col("_hot"), "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_hot").isNotNull() | F.col(left_key).isNull(),
-                F.pmod(F.xxhash64(*spread), F.lit(salts)),
-            ).otherwise(F.lit(0).cast("bigint")),
-        )
-        .drop("_hot")
+    dealt = left.withColumn("_spread", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    # Counted with the spread, which takes the columns that the join takes, so that shuffles below are reused.
+    counts = (
+        dealt.groupBy(F.col(left_key).alias("_hot"), "_spread").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("_hot").agg(F.sum("_n").alias("_n"))
+    )
+    total = counts.agg(F.sum("_n").alias("n"))
+    hot = (
+        counts.filter(F.col("_hot").isNotNull() & (F.col("_n") >= total.scalar() * hot_share))
+        .agg(F.collect_list("_hot").alias("hot")).scalar()
     )
+    salted_left = dealt.withColumn(
+        "_salt",
+        F.when(F.array_contains(hot, F.col(left_key)) | F.col(left_key).isNull(), F.col("_spread"))
+        .otherwise(F.lit(0).cast("bigint")),
+    ).drop("_spread")
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    salted_right = (
-        right.join(hot, F.col(right_key) == F.col("_hot"), "left")
-        .withColumn(
-            "_rsalt",
-            F.explode(
-                F.when(F.col("_hot").isNotNull(), every)
-                .otherwise(F.array(F.lit(0).cast("bigint")))
-            ),
-        )
-        .drop("_hot")
+    salted_right = right.withColumn(
+        "_rsalt",
+        F.explode(
+            F.when(F.array_contains(hot, F.col(right_key)), every)
+            .otherwise(F.array(F.lit(0).cast("bigint")))
+        ),
     )
     on = (F.col(left_key) == F.col(right_key)) & (F.col("_salt") == F.col("_rsalt"))
     if condition is not None:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from smeltry.operators import joins as J
 from smeltry.operators import keys as K
 from smeltry.plans import late
 
@@ -51,3 +52,13 @@ def test_without_aqe_nothing_is_shuffled_before(spark):
         assert "REBALANCE" not in plan(got) and got.filter("key = 'hot'").first()["id"] == 19_998
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_salted_join_tells_neither_side_of_hot_keys_by_a_join(spark):
+    left = rows(spark).withColumn("v", F.col("id") * 2)
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "name string, w int")
+    got = J.salted_join(left, right, "key", "name", "left", 4)
+    main = plan(got).split("Subquery")[0]
+    assert main.count("Join") == 1
+    want = left.join(right, F.col("key") == F.col("name"), "left")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
