@@ -1,9 +1,10 @@
 """Column rules compiled into aggregates.
 
 A rule is one number over a table and a verdict on it. All simple rules of a
-table share one aggregate over one scan. Rules that need exact distinct counts have
-others, which read only their key columns: one for each chain of key sets that hold
-one another.
+table share one aggregate over one scan. Rules that need exact distinct counts
+share a second one, which reads only their key columns, so that the wide first
+pass is not repeated for every distinct set. Key sets that hold one another are
+reduced in turn instead.
 """
 
 from __future__ import annotations
@@ -108,6 +109,11 @@ def completeness(column: str) -> Rule:
     )
 
 
+def _distinct(columns: Sequence[str]) -> Column:
+    # A struct is never NULL itself, so a NULL key counts as one value.
+    return F.count_distinct(F.struct(*columns))
+
+
 def duplicates(columns: Sequence[str], limit: float = DUPLICATE_LIMIT) -> Rule:
     return Rule(
         "duplicates", "_".join(columns), "duplicate_percentage", None, lambda v, t: _fail_if(v > limit), limit,
@@ -194,7 +200,7 @@ def _chains(sets: Sequence[tuple[str, ...]]) -> list[list[tuple[str, ...]]]:
 
 
 def _evaluate_distinct(df: DataFrame, table: str, rules: Sequence[Rule], chain: Sequence[tuple[str, ...]]) -> DataFrame:
-    """Rules on a chain of key sets.
+    """Rules on key sets each of which holds the next.
 
     Rows are reduced to the longest set, that to the next and so on, while the rows and
     the sets behind each group are added up. Several distinct counts in one aggregate would
@@ -213,7 +219,8 @@ def _evaluate_distinct(df: DataFrame, table: str, rules: Sequence[Rule], chain:
 
 def _evaluate(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("_total")]
-    aggs += [r.value.alias(f"_v{i}") for i, r in enumerate(rules)]
+    values = [r.value if r.of_distinct is None else r.of_distinct(_distinct(r.distinct_on), F.count(F.lit(1))) for r in rules]
+    aggs += [v.alias(f"_v{i}") for i, v in enumerate(values)]
     rows = [result(table, r, F.col(f"_v{i}"), F.col("_total")) for i, r in enumerate(rules)]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
@@ -242,7 +249,11 @@ def run_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     exact = [r for r in usable if r.distinct_on]
     if simple:
         parts.append(_evaluate(df, table, simple))
-    parts += [_evaluate_distinct(df, table, exact, chain) for chain in _chains([r.distinct_on for r in exact])]
+    chains = _chains([r.distinct_on for r in exact])
+    if len(chains) == 1:
+        parts.append(_evaluate_distinct(df, table, exact, chains[0]))
+    elif exact:
+        parts.append(_evaluate(df, table, exact))
     if absent:
         rows = [(table, r.check, r.column, "ERROR", r.metric, None, r.threshold) for r in absent]
         parts.append(_literal_rows(df, rows))
