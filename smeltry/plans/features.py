@@ -113,6 +113,31 @@ def affinity_for_pairs(affinity: DataFrame, pairs: DataFrame, dim_product: DataF
     )
 
 
+def purchases_of_pairs(sales: DataFrame, as_of: date | str, strict: bool = False) -> DataFrame:
+    """``frequency_features`` and ``purchase_labels`` of all pairs, in one grouping of the sales.
+
+    A pair with purchases on one side of ``as_of`` only has counts of 0, or no labels.
+    """
+    start = C.as_date(as_of)
+    first, last = _label_days(as_of, strict)
+    t = F.col("transaction_time")
+    before, after = C.in_days("transaction_time", _back(as_of, 30), as_of), C.in_days("transaction_time", first, last)
+    ago = C.days_before(as_of, t)
+    return (
+        sales.filter(before | after).groupBy(*PAIR)
+        .agg(
+            A.count_within(before, ago, 7).alias("purchase_count_7d"),
+            A.count_within(before, ago, 30).alias("purchase_count_30d"),
+            F.min(F.when(after, F.to_date(t))).alias("_first"),
+        )
+        .select(
+            *PAIR, "purchase_count_7d", "purchase_count_30d",
+            (F.col("_first") <= C.day_lit(start + timedelta(days=7))).alias("purchased_next_7d"),
+            F.when(F.col("_first").isNotNull(), F.lit(True)).alias("purchased_next_30d"),
+        )
+    )
+
+
 def customer_features(sales: DataFrame, as_of: date | str) -> DataFrame:
     """Tenure, number of purchases and mean order value up to ``as_of``."""
     until = F.col("transaction_time") < F.date_add(C.day_lit(as_of), 1).cast("timestamp")
@@ -170,6 +195,11 @@ def product_features(
     )
 
 
+def _label_days(as_of: date | str, strict: bool) -> tuple[date, date]:
+    start = C.as_date(as_of)
+    return start + timedelta(days=1 if strict else 0), start + timedelta(days=30 if strict else 29)
+
+
 def purchase_labels(sales: DataFrame, as_of: date | str, strict: bool = False) -> DataFrame:
     """Whether a pair is bought again within 7 and 30 days.
 
@@ -178,8 +208,7 @@ def purchase_labels(sales: DataFrame, as_of: date | str, strict: bool = False) -
     a feature day.
     """
     start = C.as_date(as_of)
-    first = start + timedelta(days=1) if strict else start
-    last = start + timedelta(days=30 if strict else 29)
+    first, last = _label_days(as_of, strict)
     return (
         sales.filter(C.in_days("transaction_time", first, last))
         .groupBy(*PAIR)
@@ -202,22 +231,22 @@ def base_pairs(events: DataFrame, as_of: date | str) -> DataFrame:
 
 def assemble_features(
     recency: DataFrame, frequency: DataFrame, affinity: DataFrame, customers: DataFrame,
-    products: DataFrame, labels: DataFrame, dim_product: DataFrame,
+    products: DataFrame, labels: DataFrame | None, dim_product: DataFrame,
 ) -> DataFrame:
     """Left joins of all feature groups onto the interacting pairs.
 
     The recency groups are exactly the distinct base pairs, so they start the
     chain. Frequency and labels are keyed and partitioned like them and join
-    without a further shuffle. Product features are put beside the category on
+    without a further shuffle; ``labels`` may be None when frequency holds them. Product features are put beside the category on
     the dimension's side, so that the pairs meet the products once; affinity
     then joins by (customer, category).
     """
     catalogue = dim_product.filter("is_current").select("product_id", "category").join(
         products, "product_id", "left"
     )
+    purchases = recency.join(frequency, PAIR, "left")
     return (
-        recency.join(frequency, PAIR, "left")
-        .join(labels, PAIR, "left")
+        (purchases if labels is None else purchases.join(labels, PAIR, "left"))
         .join(catalogue, "product_id", "left")
         .join(affinity, ["customer_id", "category"], "left")
         .join(customers, "customer_id", "left")
@@ -231,10 +260,10 @@ def feature_table(
 ) -> DataFrame:
     """The feature table of a day, in its declared schema."""
     joined = assemble_features(
-        recency_features(events, as_of), frequency_features(sales, as_of),
+        recency_features(events, as_of), purchases_of_pairs(sales, as_of, strict_labels),
         category_affinity(sales, dim_product, as_of), customer_features(sales, as_of),
         product_features(sales, dim_product, as_of, ratings),
-        purchase_labels(sales, as_of, strict_labels), dim_product,
+        None, dim_product,
     )
     now = (F.lit(stamp) if stamp is not None else F.current_timestamp()).cast("timestamp")
     filled = R.fill_defaults(joined, DEFAULTS).withColumns(
