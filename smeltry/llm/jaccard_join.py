@@ -15,8 +15,10 @@ one set of one component. Then components are joined in rounds: under each signa
 component proposes its nearest sets of other components, by parity sketches, whose
 differing bits never exceed the differing shingles. Proposals are verified, components
 that link become one, and the next round proposes four times as many, or all once
-nothing links, until no pair of different components that sketches allow is untested. So a group of near copies takes
-proposals in proportion to its components, not all its pairs, and no link between
+nothing links, until no pair of different components that sketches allow is untested.
+Only signatures under which some pair was held back are compared again. The first round
+and the pairs to be tried meet sketches of about a bit a shingle, which tell unrelated sets apart;
+what is left meets the whole ones. So a group of near copies takes proposals in proportion to its components, not all its pairs, and no link between
 components is lost. All links are verified exactly by the shingles, as 64-bit hashes.
 
 Words are split at ASCII white space with A-Z lower-cased; fewer than five words make
@@ -48,6 +50,8 @@ RATIO = 1.25
 COMMON = 0.05
 #: With fewer, shingles that cancel out on a bit let many pairs just below the bound pass.
 SKETCH_BITS = 8
+#: Bits a shingle of the short sketch, and bits more: unrelated sets differ on half of them, linked ones on no more than 0.25 a shingle.
+COARSE_BITS, COARSE_MORE = 0.6, 32
 #: Sets that are looked up by broadcast, at 16 bytes each; more are joined by shuffle.
 BROADCAST_SETS = 500_000
 #: Rounds in which components are joined by single sets before they propose pairs.
@@ -85,6 +89,14 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def coarse(s: bytes, n: int) -> bytes:
+    """The sketch of n shingles, folded to few bits."""
+    bits = 1 << max(6, math.ceil(math.log2(COARSE_BITS * n + COARSE_MORE)))
+    if len(s) * 8 <= bits:
+        return s
+    return np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, bits // 64), axis=0).tobytes()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference; the longer sketch is folded."""
     x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
@@ -195,9 +207,9 @@ def _batches(df: DataFrame, key: str, text: str, row, schema: str, names: list[s
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, set_id and sketch of every row."""
-    row = lambda s: (len(s), set_id(s), sketch(s))
-    return _batches(docs, key, text, row, "n_shingles long, set_id long, sketch binary", ["n_shingles", "set_id", "sketch"])
+    """key, n_shingles, set_id, sketch and coarse sketch of every row."""
+    row = lambda s: (len(s), set_id(s), whole := sketch(s), coarse(whole, len(s)))
+    return _batches(docs, key, text, row, "n_shingles long, set_id long, sketch binary, coarse binary", ["n_shingles", "set_id", "sketch", "coarse"])
 
 
 def indexed(docs: DataFrame, plan: dict[int, tuple[int, int]], text: str = "text") -> DataFrame:
@@ -233,8 +245,16 @@ def _sizes_allow(n: Column, m: Column) -> Column:
 
 
 def _could_link(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that sizes and sketches don't rule out. facts: set_id, n, sketch."""
-    of = lambda s: facts.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    """Pairs (a, b) of sets that sizes and sketches don't rule out: short ones first, whole ones for what these leave."""
+    left = written(_near(pairs, facts, "coarse"))
+    ids = written(left.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    few = ids.count() <= BROADCAST_SETS
+    return _near(left, facts.join(F.broadcast(ids) if few else ids, "set_id", "left_semi"), "sketch")
+
+
+def _near(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) of sets that sizes and one of the sketches don't rule out."""
+    of = lambda s: facts.select(F.col("set_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col(column).alias(f"sketch_{s}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     both = both.where(_sizes_allow(F.col("n_a"), F.col("n_b")))
 
@@ -280,14 +300,15 @@ def _labelled(groups: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
     return rows.join(open_.select("sig", "n", "top"), "sig")
 
 
-def _proposals(groups: DataFrame, labels: DataFrame, facts: DataFrame, most: int) -> DataFrame:
-    """(a, b, more): pairs of sets under one signature that lie in different components and may link.
+def _proposals(groups: DataFrame, labels: DataFrame, facts: DataFrame, most: int, column: str = "sketch") -> DataFrame:
+    """(a, b, sig): pairs of sets under one signature that lie in different components and may link.
 
     A group of any size is compared block by block, each pair of blocks a task of its
     own. Of the pairs that pass the sketches only those leave it that are among the
-    `most` nearest of one of their components there; `more` tells that some stayed.
+    `most` nearest of one of their components there. Signatures where some stayed are
+    rows of their own, with neither a nor b.
     """
-    placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n_shingles").join(facts.select("set_id", "sketch"), "set_id")
+    placed = _labelled(groups, labels).select("sig", "set_id", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "n_shingles").join(facts.select("set_id", F.col(column).alias("sketch")), "set_id")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = placed.withColumn("own", own).withColumn("other", other).select(
@@ -298,21 +319,25 @@ def _proposals(groups: DataFrame, labels: DataFrame, facts: DataFrame, most: int
         held: list[tuple] = []
         group = None
         for batch in batches:
-            out: list[tuple[int, int, bool]] = []
+            out: list[tuple] = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if r[:3] != group:
-                    out += nearest(compared(held, group), most)
+                    out += of_cell(held, group)
                     held, group = [], r[:3]
                 held.append(r[3:])
-            yield _pairs(out)
-        yield _pairs(nearest(compared(held, group), most))
+            yield _rows(out)
+        yield _rows(of_cell(held, group))
+
+    def of_cell(rows, cell):
+        pairs = nearest(compared(rows, cell), most)
+        held_back = [(None, None, cell[0])] if pairs and pairs[0][2] else []
+        return [(a, b, None) for a, b, _ in pairs] + held_back
 
-    def _pairs(out):
-        a, b, more = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+    def _rows(out):
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "sig"])
 
-    proposed = cells.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long, more boolean")
-    return proposed.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
+    return cells.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long, sig long").distinct()
 
 
 def nearest(pairs: list[tuple[int, int, int, int, int]], most: int) -> list[tuple[int, int, bool]]:
@@ -347,25 +372,29 @@ def compared(rows: list[tuple], cell: tuple | None) -> list[tuple[int, int, int,
     within = cell[1] == cell[2]
     if len(rows) < MANY:
         out = []
-        for i, (own, a, label, n, s) in enumerate(rows):
-            for other, b, label_b, m, t in rows[i + 1 :]:
+        known = [(*r[:4], len(r[4]), int.from_bytes(r[4], "little")) for r in rows]
+        for i, (own, a, label, n, size, s) in enumerate(known):
+            for j in range(i + 1, len(known)):
+                other, b, label_b, m, size_b, t = known[j]
                 if m * PERCENT > n * 100:
                     break
-                if label != label_b and (within or own != other) and (apart := least_difference(s, t)) <= most_difference(n + m):
+                if label == label_b or not within and own == other:
+                    continue
+                apart = (s ^ t).bit_count() if size == size_b else least_difference(rows[i][4], rows[j][4])
+                if apart <= most_difference(n + m):
                     out.append((a, b, label, label_b, apart) if a < b else (b, a, label_b, label, apart))
         return out
     block, ids, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(4))
     bits = folded([r[4] for r in rows])
-    coarse = bits
-    for _ in range(2):  # a quarter of the bits rules most pairs out
-        if coarse.shape[1] > 1:
-            coarse = coarse[:, : coarse.shape[1] // 2] ^ coarse[:, coarse.shape[1] // 2 :]
+    short = bits
+    while short.shape[1] > 1 and short.shape[1] * 64 >= 2 * n[-1]:  # a bit a shingle rules most pairs out
+        short = short[:, : short.shape[1] // 2] ^ short[:, short.shape[1] // 2 :]
     last = np.searchsorted(n, n * 100 // PERCENT, side="right")
     found = []
     for i in range(len(n)):
         k = np.arange(i + 1, last[i])
         k = k[(label[k] != label[i]) & ((block[k] != block[i]) | within)]
-        for some in (coarse, bits):
+        for some in (short, bits) if short is not bits else (bits,):
             apart = np.bitwise_count(some[k] ^ some[i]).sum(axis=1, dtype=np.int64)
             total = n[k] + n[i]
             near = apart <= total - 2 * -(-PERCENT * total // (100 + PERCENT))
@@ -388,7 +417,7 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, labels): every row's key, n_shingles and set_id; the component of each linked set (id, label)."""
     sets = written(shingle_sets(docs, key, text).withColumnRenamed(key, "doc_id"))
-    facts = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
+    facts = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("coarse").alias("coarse")))
     step = F.floor(F.log(F.col("n_shingles")) / math.log(RATIO)).cast("int")
     counts = {r[0]: r[1] for r in facts.groupBy(step).count().collect()}
     top = facts.agg(F.max("n_shingles")).first()[0] or 1
@@ -410,10 +439,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
             break
         tested, links = tested.union(new), links.union(found)
         labels = components(links)
-    most = 1
+    most, column = 1, "coarse"
     while True:
-        proposed = written(_proposals(groups, labels, facts, most))
-        new = written(proposed.drop("more").join(tested, ["a", "b"], "left_anti"))
+        proposed = written(_proposals(groups, labels, facts, most, column))
+        new = written(_could_link(proposed.where("sig is null").select("a", "b").join(tested, ["a", "b"], "left_anti"), facts))
         linked = False
         if new.limit(1).count():
             found = written(verified(new, facts, docs, key, text))
@@ -422,11 +451,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
             if linked:
                 links = links.union(found)
                 labels = components(links)
-        if not proposed.where("more").limit(1).count():
+        left = proposed.where("sig is not null").select("sig")
+        if not left.limit(1).count():
             break
+        groups = written(groups.join(left, "sig", "left_semi"))
         # where the nearest don't link any more, what is left is tested at once
-        most = most * 4 if linked else EVERY
-    return sets.drop("sketch"), labels
+        most, column = most * 4 if linked or column == "coarse" else EVERY, "sketch"
+    return sets.drop("sketch", "coarse"), labels
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -360,6 +360,39 @@ def test_proposals_are_the_nearest_of_a_component():
     assert jaccard_join.nearest(pairs, 9) == [(a, b, False) for a, b, *_ in pairs] and jaccard_join.nearest([], 1) == []
 
 
+def test_short_sketches_never_exceed_the_difference_and_part_unrelated_sets():
+    rnd = random.Random(8)
+    for n in (5, 60, 400, 3000):
+        a = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+        near = [w if rnd.random() < 0.97 else "x" for w in a]
+        other = [f"v{rnd.randint(0, 10**6)}" for _ in range(n)]
+        s, t, u = (jaccard_join.shingles(" ".join(w)) for w in (a, near, other))
+        short = lambda x: jaccard_join.coarse(jaccard_join.sketch(x), len(x))
+        assert jaccard_join.least_difference(short(s), short(t)) <= len(set(s.tolist()) ^ set(t.tolist()))
+        assert jaccard_join.least_difference(short(s), jaccard_join.sketch(t)) <= len(set(s.tolist()) ^ set(t.tolist()))
+        assert n < 60 or jaccard_join.least_difference(short(s), short(u)) > jaccard_join.most_difference(len(s) + len(u))
+        assert len(short(s)) * 8 <= max(64, 1.2 * n + 64)
+
+
+def test_only_signatures_with_pairs_held_back_are_compared_again(spark, monkeypatch):
+    """Unrelated texts under one signature meet once, in short sketches; a chain of copies goes on."""
+    seen = []
+    propose = jaccard_join._proposals
+
+    def noted(groups, *args):
+        seen.append((groups.select("sig").distinct().count(), *args[2:]))
+        return propose(groups, *args)
+
+    monkeypatch.setattr(jaccard_join, "_proposals", noted)
+    monkeypatch.setattr(jaccard_join, "STARS", 0)
+    rnd = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = [(k, f"{passage} " + " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(300))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard_join.classes(df).collect()} == {k: k for k in range(40)}
+    assert seen[0][0] > 0 and seen[0][1:] == (1, "coarse") and len(seen) == 1
+
+
 def test_a_very_long_text_takes_time_in_proportion(spark):
     import time
 
