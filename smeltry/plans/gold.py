@@ -168,14 +168,16 @@ def value_segment(transactions: Column, average: Column) -> Column:
 def customer_metrics(fact: DataFrame, dim_product: DataFrame, unique_sales: bool = True) -> DataFrame:
     """Per customer key: distinct sales, spend, last day, distinct categories.
 
-    Categories are looked up on the distinct (customer, product) pairs rather
-    than on every sale, and everything is reduced to one row per customer before
-    any dimension is joined, so a hot product or customer is combined map-side.
-    ``unique_sales`` as in ``daily_channel_sales``.
+    Sales that stand in the fact once look their category up and are grouped once, combined
+    map-side by (customer, category): the fact is worked out once, and a hot product is
+    left to AQE as elsewhere. ``unique_sales`` as in ``daily_channel_sales``; without it
+    sales are counted apart, and categories on the distinct (customer, product) pairs.
     """
     known = fact.filter("customer_sk IS NOT NULL")
+    if unique_sales:
+        return _metrics_in_one(known, dim_product)
     totals = known.groupBy("customer_sk").agg(
-        (F.count if unique_sales else F.count_distinct)("sale_id").alias("total_transactions"),
+        F.count_distinct("sale_id").alias("total_transactions"),
         F.sum("total_amount").alias("total_spend"),
         F.count("total_amount").alias("_amounts"),
         F.max("date_id").alias("last_purchase_date"),
@@ -198,6 +200,25 @@ def customer_metrics(fact: DataFrame, dim_product: DataFrame, unique_sales: bool
     )
 
 
+def _metrics_in_one(known: DataFrame, dim_product: DataFrame) -> DataFrame:
+    """`customer_metrics` of sales that stand in the fact once."""
+    # a product that is current twice must not count its sales twice
+    found = dim_product.filter("is_current").groupBy(F.col("product_id").alias("_id")).agg(F.collect_set("category").alias("_categories"))
+    rows = known.select("customer_sk", "product_id", "sale_id", "total_amount", "date_id").join(found, F.col("product_id") == F.col("_id"), "left")
+    rows = rows.select("*", F.posexplode_outer("_categories").alias("_pos", "_category"))
+    once = {c: F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col(c)) for c in ("sale_id", "total_amount")}
+    totals = rows.withColumns(once).groupBy("customer_sk").agg(
+        F.count("sale_id").alias("total_transactions"),
+        F.sum("total_amount").alias("total_spend"),
+        F.count("total_amount").alias("_amounts"),
+        F.max("date_id").alias("last_purchase_date"),
+        F.count_distinct("_category").alias("unique_categories"),
+    )
+    return totals.withColumn("avg_transaction_value", C.exact_mean(F.col("total_spend"), F.col("_amounts"), 6)).select(
+        "customer_sk", "total_transactions", "total_spend", "last_purchase_date", "avg_transaction_value", "unique_categories"
+    )
+
+
 def customer_segmentation(
     fact: DataFrame, dim_customer: DataFrame, dim_product: DataFrame, day: date | str,
 ) -> DataFrame:
