@@ -11,11 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from smeltry.llm import decontaminate, jaccard_join, quality_rules, sentence_pieces, substring_dedup
-from smeltry.llm.common import table, written
+from smeltry.llm.common import small_batches, table, written
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, by the base rule or by rules learned from the labels."""
+    small_batches(spark)
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,6 +27,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut out; documents left empty go."""
+    small_batches(spark)
     return substring_dedup.kept_documents(docs)
 
 
@@ -36,6 +38,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit, with begin and end) and checksums of ids and decoded text."""
+    small_batches(spark)
     rows = sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return rows.select("doc_id", *sentence_pieces.digest_columns(), "ids")
 

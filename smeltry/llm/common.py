@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
+#: Bound of the batches of rows between Spark and its Python workers, where the session sets none.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this library to the Python workers, once for each application, unless they find it anyway."""
@@ -32,6 +36,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes for the rest of the session, unless it bounds them itself.
+
+    Spark's own bounds, 10,000 rows and 64 MB, let a task with texts hold a few times
+    that on each side, and neither side gives it back.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Every query reads one first, so the workers get the library here."""
     ship(spark)

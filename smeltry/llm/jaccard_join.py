@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from smeltry.llm.common import table, written
+from smeltry.llm.common import small_batches, table, written
 from smeltry.llm.components import components
 from smeltry.llm.sentence_pieces import _slices
 from smeltry.llm.word_hashes import mixed, word_hashes
@@ -416,6 +416,7 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, labels): every row's key, n_shingles and set_id; the component of each linked set (id, label)."""
+    small_batches(docs.sparkSession)
     sets = written(shingle_sets(docs, key, text).withColumnRenamed(key, "doc_id"))
     facts = written(sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("coarse").alias("coarse")))
     step = F.floor(F.log(F.col("n_shingles")) / math.log(RATIO)).cast("int")

@@ -44,6 +44,7 @@ def encode(df: DataFrame, model_file: str, key: str = "doc_id", text: str = "tex
             if decoded:
                 out.append(pa.array([model.decode(memoryview(x).cast("I").tolist()) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(out, ["key", "ids", "decoded"][: len(out)])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, f"key {kind}, ids binary" + ", decoded string" * decoded).withColumnRenamed("key", key)
 
