@@ -39,8 +39,8 @@ def ship(spark: SparkSession) -> None:
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes for the rest of the session, unless it bounds them itself.
 
-    Spark's own bounds, 10,000 rows and 64 MB, let a task with texts hold a few times
-    that on each side, and neither side gives it back.
+    By Spark's own bounds, 10,000 rows and 64 MB, a batch of texts can have tens of MB,
+    of which the JVM and the worker may hold copies.
     """
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_BYTES)
