@@ -11,8 +11,10 @@ nearest distance found so far is followed.
 Every vector goes to the list of its nearest centroid, and vectors near a boundary go to
 the next lists as well, at most COPIES in all. A query reads the lists whose centroid's
 distance is within a ratio of the nearest one's; the ratio is the least with which COVER
-of the neighbours of sampled queries are in a list that is read. Lists are stored in
-blocks of bounded size, so a list of any length is many tasks' work.
+of the neighbours of sampled queries are in a list that is read. Lists that follow each
+other in the order of the cuts form a part. A query goes once to each part of which it
+reads a list, with a bit for each list of the part, so its vector isn't sent once for each
+list. A part's rows are stored by list in blocks of bounded size.
 
 Of rows with equal vectors, the first k + 1 by key are kept in lists: no other can be in
 an answer. Scores are sums of products in double precision, in the order of components;
@@ -36,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from smeltry.llm.common import table, written
-from smeltry.llm.vectors import packed, usable
+from smeltry.llm.common import small_batches, table, written
+from smeltry.llm.vectors import cut, usable
 
 #: Rows and bytes of the sample that centroids are fitted on, at most.
 SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
@@ -49,12 +51,14 @@ COPIES, NEAR = 3, 1.05
 COVER = 0.97
 #: Sampled queries; stored rows that give a query its first neighbours, one of SEED_SHARE, and their bytes at most.
 TRIALS, SEEDS, SEED_SHARE, SEED_BYTES = 400, 16_384, 4, 16 << 20
-#: Rows and queries in a block.
+#: Rows and queries in a block, at most.
 ROWS, QUERIES = 4096, 1024
+#: Parts that the lists form: so many, more where a part would get more rows than this, fewer if there are fewer lists.
+PARTS, PART_ROWS = 32, 65_536
 #: Links of a centroid to near and to far ones; entries of a search; centroids followed at least.
 NEAREST, FAR, ENTRIES, FOLLOW = 14, 4, 16, 8
-#: Vectors that are looked up in the graph at once.
-AT_ONCE = 128
+#: Vectors that are looked up in the graph at once; bytes of the vectors whose distances are taken at once.
+AT_ONCE, GATHERED = 128, 4 << 20
 
 
 @dataclass
@@ -77,8 +81,10 @@ class Index:
         expanded = np.zeros((n, k), bool)
 
         def meet(flat: np.ndarray) -> None:
-            q, c = np.divmod(flat, k)
-            out.flat[flat] = np.sqrt(((x[q] - self.centroids[c]) ** 2).sum(axis=1))
+            most = max(1, GATHERED // (8 * x.shape[1]))
+            for some in (flat[at : at + most] for at in range(0, len(flat), most)):
+                q, c = np.divmod(some, k)
+                out.flat[some] = np.sqrt(((x[q] - self.centroids[c]) ** 2).sum(axis=1))
 
         entries = np.unique(np.linspace(0, k - 1, min(k, ENTRIES)).astype(np.int64))
         meet((np.arange(n)[:, None] * k + entries).ravel())
@@ -105,17 +111,13 @@ class Index:
             lists.append(order[q, k])
         return np.concatenate(rows), np.concatenate(lists)
 
-    def read_by(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list) for the lists that each query reads: those within the ratio of the nearest."""
-        rows, lists = [], []
-        for at in range(0, len(q), AT_ONCE):
+    def read_by(self, q: np.ndarray) -> np.ndarray:
+        """Whether each query reads each list: those within the ratio of the nearest."""
+        reads = np.ones((len(q), len(self.centroids)), bool)
+        for at in range(0, len(q) if math.isfinite(self.ratio) else 0, AT_ONCE):
             d = self.distances(self.lift(q[at : at + AT_ONCE], query=True), self.ratio)
-            if math.isinf(self.ratio):
-                d = np.zeros(d.shape)
-            r, k = np.nonzero(d <= d.min(axis=1, keepdims=True) * min(self.ratio, 1e300))
-            rows.append(r + at)
-            lists.append(k)
-        return np.concatenate(rows), np.concatenate(lists)
+            reads[at : at + AT_ONCE] = d <= d.min(axis=1, keepdims=True) * min(self.ratio, 1e300)
+        return reads
 
 
 def balanced(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -200,11 +202,12 @@ def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, keys: np.ndarray,
     for at in range(0, len(q), AT_ONCE):
         part = np.ascontiguousarray(q[at : at + AT_ONCE].T)
         rough = part.T @ columns
-        slack = 1e-9 * max(1.0, float(np.abs(rough).max(initial=0)))
+        slack = 1e-9 * max(1.0, float(rough.max(initial=0)), -float(rough.min(initial=0)))
         near = (rough >= floor[at : at + AT_ONCE, None] - slack) & (keys != own[at : at + AT_ONCE, None])
-        if near.shape[1] > k:
-            rough[~near] = -np.inf
-            near &= rough >= np.partition(rough, -k, axis=1)[:, [-k]] - slack
+        many = np.flatnonzero(near.sum(axis=1) > k)
+        if len(many):
+            some = np.where(near[many], rough[many], -np.inf)
+            near[many] &= some >= np.partition(some, -k, axis=1)[:, [-k]] - slack
         i, row = np.nonzero(near)
         score = np.zeros(len(i))
         for x, y in zip(part, columns, strict=True):
@@ -216,6 +219,38 @@ def best_of(own: np.ndarray, q: np.ndarray, floor: np.ndarray, keys: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+class Asked:
+    """A block of queries at a part: the k best rows found for each so far, and the floor that they set."""
+
+    def __init__(self, own: np.ndarray, q: np.ndarray, floor: np.ndarray, reads: np.ndarray, k: int):
+        self.own, self.q, self.floor, self.reads, self.k = own, q, floor.copy(), reads, k
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def meet(self, lists: np.ndarray, keys: np.ndarray, v: np.ndarray) -> None:
+        """Rows by list, which are numbered within the part."""
+        more = [self.found]
+        starts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+        for at, end in zip(starts, np.append(starts[1:], len(lists)), strict=True):
+            some = np.flatnonzero(self.reads[:, lists[at]])
+            if len(some):
+                i, row, score = best_of(self.own[some], self.q[some], self.floor[some], keys[at:end], v[at:end], self.k)
+                more.append((some[i], keys[at:end][row], score))
+        i, key, score = (np.concatenate(c) for c in zip(*more, strict=True))
+        order = np.lexsort((key, -score, i))
+        i, key, score = i[order], key[order], score[order]
+        # a row of several lists is found once in each, with the same score
+        once = np.append(True, (i[1:] != i[:-1]) | (key[1:] != key[:-1]))[: len(i)]
+        i, key, score = i[once], key[once], score[once]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        last = rank == self.k - 1
+        self.floor[i[last]] = np.maximum(self.floor[i[last]], score[last])
+        self.found = i[rank < self.k], key[rank < self.k], score[rank < self.k]
+
+    def rows(self) -> pa.RecordBatch:
+        i, key, score = self.found
+        return _found(self.own[i], key, score)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -237,7 +272,8 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
 
     `is_query` takes the key column.
     """
-    kind = "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    small_batches(df.sparkSession)
+    kind, of = ("<f4", "float") if df.schema[vector].dataType.simpleString() == "array<float>" else ("<f8", "double")
     rows = written(usable(df, key, vector, zero=False))
     copy = F.row_number().over(Window.partitionBy("v").orderBy("key"))
     kept = written(rows.withColumn("_copy", copy).where(F.col("_copy") <= k + 1).drop("_copy"))
@@ -247,53 +283,68 @@ def neighbours(df: DataFrame, is_query: Callable[[Column], Column], key: str = "
     index = fit(_sampled(kept, n, min(SAMPLE, SAMPLE_BYTES // (8 * dim)), 5)[1], norm2, n, k)
     seed_keys, seeds = _sampled(kept, n, min(SEEDS, SEED_BYTES // (8 * dim), math.ceil(n / SEED_SHARE)), 6)
 
+    lists = len(index.centroids)
+    per = math.ceil(lists / min(lists, max(PARTS, math.ceil(COPIES * n / PART_ROWS))))  # lists of a part
+
     def in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, lists = index.lists_of(_matrix(batch.column("v"), dim))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch.column("key").take(pa.array(row)), batch.column("v").take(pa.array(row))], ["list", "key", "v"])
+                v = _matrix(batch.column("v"), dim)
+                row, own = index.lists_of(v)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dim), pa.array(v[row].astype(kind).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array((own // per).astype(np.int32)), pa.array((own % per).astype(np.int32)), batch.column("key").take(pa.array(row)), vectors], ["part", "list", "key", "v"])
 
-    def reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 1000) for at in range(0, batch.num_rows, 1000)):
-                q, own = _matrix(part.column("v"), dim), part.column("key").to_numpy()
+            for some in (batch.slice(at, QUERIES) for at in range(0, batch.num_rows, QUERIES)):
+                q, own = _matrix(some.column("v"), dim), some.column("key").to_numpy()
                 floor = np.full(len(q), -np.inf)
                 if len(seeds) > k:
                     i, _, score = best_of(own, q, floor, seed_keys, seeds, k)
                     floor[i] = score  # in the order of ranks: the last is the k-th
-                row, lists = index.read_by(q)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("key", "v")), pa.array(floor[row])], ["list", "key", "v", "floor"]
-                )
+                reads = index.read_by(q)
+                for part in range(0, lists, per):
+                    here = np.flatnonzero(reads[:, part : part + per].any(axis=1))
+                    if len(here):
+                        values = own[here], q[here].astype(kind), floor[here], np.packbits(reads[here, part : part + per], axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array([part // per], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], ["part", "own", "q", "floor", "reads"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q, own = _matrix(batch.column("v"), dim), batch.column("key").to_numpy()
-            yield _found(own, seed_keys, best_of(own, q, np.full(len(q), -np.inf), seed_keys, seeds, k))
+            query, row, score = best_of(own, q, np.full(len(q), -np.inf), seed_keys, seeds, k)
+            yield _found(own[query], seed_keys[row], score)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asked = None, None
         for batch in batches:
-            for c in batch.to_pylist():
-                v = np.frombuffer(c["v"], kind).reshape(-1, dim).astype(np.float64)
-                q = np.frombuffer(c["q"], kind).reshape(-1, dim).astype(np.float64)
-                keys, own, floor = np.frombuffer(c["key"], np.int64), np.frombuffer(c["own"], np.int64), np.frombuffer(c["floor"], np.float64)
-                yield _found(own, keys, best_of(own, q, floor, keys, v, k))
+            for at in range(batch.num_rows):
+                value = lambda c, kind: np.frombuffer(batch.column(c)[at].as_buffer(), kind)  # noqa: B023, E731
+                own = value("own", np.int64)
+                if block != (mark := (batch.column("part")[at].as_py(), int(own[0]))):  # a query is in one block of a part
+                    if asked:
+                        yield asked.rows()
+                    reads = np.unpackbits(value("reads", np.uint8).reshape(len(own), -1), axis=1).astype(bool)
+                    block, asked = mark, Asked(own.copy(), value("q", kind).reshape(-1, dim).astype(np.float64), value("floor", np.float64), reads, k)
+                asked.meet(value("list", np.int32), value("key", np.int64), value("v", kind).reshape(-1, dim).astype(np.float64))
+        if asked:
+            yield asked.rows()
 
     queries = rows.where(is_query(F.col("key")))
-    stored = packed(kept.mapInArrow(in_lists, "list int, key long, v array<double>"), ROWS, "list", kinds={"key": "<i8", "v": kind})
-    asked = packed(queries.mapInArrow(reads, "list int, key long, v array<double>, floor double"), QUERIES, "list", kinds={"key": "<i8", "v": kind, "floor": "<f8"})
-    cells = stored.select("list", "key", "v").join(asked.select("list", F.col("key").alias("own"), F.col("v").alias("q"), "floor"), "list")
+    stored = cut(kept.mapInArrow(in_lists, f"part int, list int, key long, v array<{of}>"), ROWS, "part", "list", kinds={"list": "<i4", "key": "<i8", "v": kind})
+    asked = queries.mapInArrow(asks, "part int, own binary, q binary, floor binary, reads binary")
+    # queries lead: a block of them meets the blocks of its part one after another
+    cells = asked.join(stored, "part")
     shape = "query_id long, vec_id long, score double"
     found = cells.mapInArrow(scored, shape).union(queries.mapInArrow(first, shape))
-    # a neighbour is found once in each list that holds it
+    # a neighbour is found once in each part that holds it
     found = found.repartition("query_id").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _found(own: np.ndarray, keys: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    query, row, score = best
-    return pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(keys[row]), pa.array(score)], ["query_id", "vec_id", "score"])
+def _found(query: np.ndarray, key: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(query), pa.array(key), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

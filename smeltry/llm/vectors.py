@@ -37,9 +37,18 @@ def packed(df: DataFrame, size: int, *groups: str, kinds: dict[str, str]) -> Dat
     placed = df.join(counts, list(groups)) if groups else df.withColumn("_rows", F.lit((counts.first() or [0])[0]))
     blocks = F.ceil(F.col("_rows") / size).cast("int")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(17)), blocks).cast("int"))
+    return _blocks(placed.repartition(*groups, "block").sortWithinPartitions(*groups, "block", "key"), [*groups, "block"], kinds)
+
+
+def cut(df: DataFrame, size: int, group: str, order: str, kinds: dict[str, str]) -> DataFrame:
+    """Rows of each group, by `order` and key, in blocks of at most `size` rows: group, n and the columns of `kinds` as in `packed`."""
+    return _blocks(df.repartition(group).sortWithinPartitions(group, order, "key"), [group], kinds, size)
+
+
+def _blocks(rows: DataFrame, own: list[str], kinds: dict[str, str], most: int | None = None) -> DataFrame:
+    """Rows that follow each other with the same `own` columns as one, or as several of at most `most` rows."""
     names = list(kinds)
-    source = placed.select(*groups, "block", *names).repartition(*groups, "block").sortWithinPartitions(*groups, "block", "key")
-    own = [*groups, "block"]
+    source = rows.select(*own, *names)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -47,23 +56,24 @@ def packed(df: DataFrame, size: int, *groups: str, kinds: dict[str, str]) -> Dat
 
         def row():
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            values = [*label, sum(len(h[0]) for h in held), *(c.tobytes() for c in columns)]
+            values = [*label, n, *(c.tobytes() for c in columns)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [*types, pa.int32(), *[pa.binary()] * len(names)], strict=True)], [*own, "n", *names])
 
-        types = None
+        n, types = 0, None
         for batch in batches:
             types = [batch.schema.field(c).type for c in own]
             marks = list(zip(*(batch.column(c).to_pylist() for c in own), strict=True))
             at = 0
             while at < len(marks):
-                end = at + 1
-                while end < len(marks) and marks[end] == marks[at]:
-                    end += 1
-                if label is not None and marks[at] != label:
+                if label is not None and (marks[at] != label or n == most):
                     yield row()
-                    held = []
+                    held, n = [], 0
                 label = marks[at]
+                end = at + 1
+                while end < len(marks) and marks[end] == label and (most is None or n + end - at < most):
+                    end += 1
                 held.append([_flat(batch.column(c).slice(at, end - at), kinds[c]) for c in names])
+                n += end - at
                 at = end
         if held:
             yield row()

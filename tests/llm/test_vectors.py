@@ -156,6 +156,35 @@ def test_neighbours_of_any_norm_with_copies(spark):
     assert got[3000] == want[3000] and got[4180] == want[4180]
 
 
+def shuffled(spark):
+    """Rows that all stages have written for shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_what_queries_send_does_not_grow_with_the_lists(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(rng.normal(size=(4000, 64)).astype(np.float32))]
+    sent = []
+    for n in (100, 10):
+        monkeypatch.setattr(P, "LIST_ROWS", n)
+        before = shuffled(spark)
+        found(spark, rows)
+        sent.append(shuffled(spark) - before)
+    assert sent[1] < 1.5 * sent[0]  # with ten times as many lists, of which a query reads many
+
+
+def test_blocks_of_any_size_give_the_same_neighbours(spark, monkeypatch):
+    rows = clustered(2500)
+    want = found(spark, rows)
+    for name, n in (("ROWS", 40), ("QUERIES", 7), ("PARTS", 2), ("PART_ROWS", 1500)):
+        monkeypatch.setattr(P, name, n)
+    assert found(spark, rows) == want
+
+
 def test_few_candidates_are_all_found(spark):
     rows = clustered(9)
     rows = [(k * 20, v, x) for k, v, x in rows]
