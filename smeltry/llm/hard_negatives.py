@@ -10,8 +10,10 @@ bitmap, and the next dimensions are read for the others only. In the end scores
 The first scan keeps candidates of the anchor's label that may be among its best few:
 its positives. Each positive opens a window of scores, between two shares of its own;
 the second scan keeps candidates of other labels that may be among the best of a window.
-Both meet anchors with rows block by block, so a task holds one block of each, and what
-leaves a block is a few rows an anchor. Ties go to the smaller key.
+Both meet anchors with rows block by block, so a task holds one block of rows and a few of
+anchors, and what leaves a block is a few rows an anchor. Blocks of both are stored once and
+read where they meet; nothing is repeated in a shuffle or sent to the driver. Ties go to
+the smaller key.
 
 Rows without a key, label or vector, with null or non-finite components, or with a
 vector of another length than most, take no part, nor do components so large that a
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from smeltry.llm.common import table, written
+from smeltry.llm.common import small_batches, table, written
 from smeltry.llm.vectors import packed, usable
 
 #: Rows, and anchors, of a block.
@@ -69,8 +71,11 @@ class Block:
             if not len(alive):
                 break
             end = min(at + STEP, len(a))
-            part = dims[order[at:end]] if len(alive) == dims.shape[1] else dims[order[at:end, None], alive]
-            total += weights[at:end] @ part
+            if 2 * len(alive) < dims.shape[1]:
+                total += weights[at:end] @ dims[order[at:end, None], alive]
+            else:  # cheaper than to pick most of the rows out first
+                part = weights[at:end] @ dims[order[at:end]]
+                total += part if len(alive) == len(part) else part[alive]
             if end < len(a) and total.max() - total.min() < most[end] - least[end]:
                 continue  # the bounds of any two candidates still overlap
             keep = useful(total + least[end], total + most[end])
@@ -111,11 +116,12 @@ def in_windows(windows: list[tuple[int, int]], k: int) -> Useful:
     return useful
 
 
-def _scanned(rows: DataFrame, anchors: DataFrame, blocks: int, dim: int, found, schema: str) -> DataFrame:
+def _scanned(rows: DataFrame, anchors: DataFrame, dim: int, found, schema: str) -> DataFrame:
     """`found(block, key, label, vector, extra)` for every anchor and block of rows; it gives tuples."""
-    # a stated set of anchors against all rows: each block of anchors meets each block of rows once
-    everywhere = anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("key", "label", "v", "extra")], F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block"))
-    cells = rows.select("block", "key", "label", "v").join(everywhere, "block").drop("block")
+    # a stated set of anchors against all rows: each block of anchors meets each block of rows once.
+    # By the hint neither side is broadcast, as Spark would do by its guess of a block's size.
+    asked = written(anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("key", "label", "v", "extra")]))
+    cells = rows.select("key", "label", "v").hint("shuffle_replicate_nl").crossJoin(asked)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +154,7 @@ def hard_negatives(
     Components become floor(scale * x). `is_anchor` takes the key column; labels are
     integers. A negative's score lies between `low` and `high` percent of the positive's.
     """
+    small_batches(df.sparkSession)
     label = F.col(label) if isinstance(label, str) else label
     rows = usable(df, key, vector, label.cast("long").alias("label")).where("label IS NOT NULL")
     rows = written(rows)
@@ -156,10 +163,8 @@ def hard_negatives(
     bound = math.isqrt(((1 << 63) - 1) // dim) - 1
     whole = F.transform("v", lambda x: F.floor(x * scale))
     rows = rows.where(F.forall("v", lambda x: F.abs(x * scale) < bound)).select("key", "label", whole.alias("v"), F.expr("array_repeat(0L, 0)").alias("extra"))
-    n = rows.count()
     kinds = {"key": "<i8", "label": "<i8", "v": "<i8"}
     stored = written(packed(rows, ROWS, kinds=kinds))
-    blocks = math.ceil(n / ROWS)
     anchors = rows.where(is_anchor(F.col("key")))
 
     def best_positives(block, own, label, v, _):
@@ -167,7 +172,7 @@ def hard_negatives(
         return [(own, k, s) for k, s in block.best(rows, scores, positives)]
 
     with_extra = kinds | {"extra": "<i8"}
-    found = _scanned(stored, packed(anchors, ANCHORS, kinds=with_extra), blocks, dim, best_positives, "own long, key long, score long")
+    found = _scanned(stored, packed(anchors, ANCHORS, kinds=with_extra), dim, best_positives, "own long, key long, score long")
     mine = written(_first(found, ["own"], positives).select("own", F.col("key").alias("positive"), F.col("score").alias("p"), "rank"))
     # the positives' keys, then their scores, beside each anchor
     at = lambda c: [F.max(F.when(F.col("rank") == r, F.col(c))) for r in range(1, positives + 1)]
@@ -187,7 +192,7 @@ def hard_negatives(
             out += [(own, extra[1 + i], extra[1 + positives + i], k, s) for k, s in block.best(rows[inside], scores[inside], negatives)]
         return out
 
-    found = _scanned(stored, packed(anchors, ANCHORS, kinds=with_extra), blocks, dim, best_negatives, "own long, positive long, p long, key long, score long")
+    found = _scanned(stored, packed(anchors, ANCHORS, kinds=with_extra), dim, best_negatives, "own long, positive long, p long, key long, score long")
     return _first(found, ["own", "positive"], negatives).select(
         F.col("own").alias("anchor_id"), F.col("positive").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("key").alias("negative_id"),
         F.col("p").alias("positive_score"), F.col("score").alias("negative_score"),

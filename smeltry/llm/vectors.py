@@ -34,10 +34,13 @@ def packed(df: DataFrame, size: int, *groups: str, kinds: dict[str, str]) -> Dat
     Blocks are dealt by the key's hash, so a group of any size is spread evenly.
     """
     counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
-    placed = df.join(counts, list(groups)) if groups else df.withColumn("_rows", F.lit((counts.first() or [0])[0]))
+    n = 0 if groups else (counts.first() or [0])[0]
+    placed = df.join(counts, list(groups)) if groups else df.withColumn("_rows", F.lit(n))
     blocks = F.ceil(F.col("_rows") / size).cast("int")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(17)), blocks).cast("int"))
-    return _blocks(placed.repartition(*groups, "block").sortWithinPartitions(*groups, "block", "key"), [*groups, "block"], kinds)
+    # so many partitions as blocks, as what follows works on a block for long
+    dealt = placed.repartition(*groups, "block") if groups else placed.repartition(max(1, -(-n // size)), "block")
+    return _blocks(dealt.sortWithinPartitions(*groups, "block", "key"), [*groups, "block"], kinds)
 
 
 def cut(df: DataFrame, size: int, group: str, order: str, kinds: dict[str, str]) -> DataFrame:

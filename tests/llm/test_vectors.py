@@ -75,6 +75,14 @@ def test_hard_negatives_of_repeated_rows_and_nothing(spark, odd):
     assert negatives(spark, []) == [] and negatives(spark, [(50, [1.0], 1)]) == []
 
 
+def test_no_block_is_broadcast(spark, odd, monkeypatch):
+    monkeypatch.setattr(H, "ROWS", 64)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = H.hard_negatives(frame(spark, odd), lambda k: k % 50 == 0, label=moved)
+    assert out.count() == len(brute_negatives(odd))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pruning_leaves_what_a_full_scan_finds():
     rnd = np.random.default_rng(2)
     v = rnd.integers(-200, 200, (500, 32)).astype(np.int64)
